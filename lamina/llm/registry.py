@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, packing, tokencount
 
-QUERIES = {"op3_byte_bpe": bpe.op3_byte_bpe}
+QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op6_token_counts": tokencount.op6_token_counts,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -96,3 +96,11 @@ class BoundedCache(dict):
                 del self[k]
         value = self[key] = self.compute(key)
         return value
+
+
+def bounded_sample(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``most`` of the rows, chosen by a hash of their id: all of them where there are fewer."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, tokencount
+from . import bpe, language, packing, tokencount, toxicity
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op6_token_counts": tokencount.op6_token_counts,
+    "op7_language_id": language.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, language, packing, tokencount, toxicity
+from . import bpe, chat, hnsw, html, language, packing, tokencount, toxicity
 
 QUERIES = {
+    "op2_chat_format": chat.op2_chat_format,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_nearest_neighbours": hnsw.op4_nearest_neighbours,
     "op6_token_counts": tokencount.op6_token_counts,
     "op7_language_id": language.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_html_extraction": html.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, hnsw, html, language, packing, tokencount, toxicity
+from . import bpe, chat, hnsw, html, jaccard, language, packing, tokencount, toxicity
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_nearest_neighbours": hnsw.op4_nearest_neighbours,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_token_counts": tokencount.op6_token_counts,
     "op7_language_id": language.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,

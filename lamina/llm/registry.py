@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, hnsw, html, jaccard, language, packing, tokencount, toxicity
+from . import bpe, chat, fingerprint, hnsw, html, jaccard, language, packing, tokencount, toxicity
 
 QUERIES = {
+    "op1_imatch": fingerprint.op1_imatch,
     "op2_chat_format": chat.op2_chat_format,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_nearest_neighbours": hnsw.op4_nearest_neighbours,

@@ -1,10 +1,67 @@
-"""The corpus pipeline: its stages one after another, each written and read again."""
+"""The corpus pipeline: its stages one after another, each written and read again.
+
+Every stage is a function of (spark, docs, sf_dir) on all that the stage before it kept; all but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.llm import jaccard, language, packing, toxicity
+from lamina.llm.common import held_out, saved, small_batches, table
+
+#: A document goes if no language is found in it or fewer of its letters than this share are in the one found most.
+LANGUAGE_LEAST = 0.25
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; one goes that has no letter or is a mixture of which no language has much."""
+    small_batches(spark)
+    model = language.learn(docs.where(~held_out()))
+    if not model["langs"]:
+        return docs
+    rejected = language.labelled(docs, model).where((F.col("lang_pred") == "und") | (F.col("score") < LANGUAGE_LEAST))
+    return without(docs, rejected)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted to be toxic."""
+    small_batches(spark)
+    model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return without(docs, toxicity.scored(docs, model).where("predicted = 1"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id."""
+    small_batches(spark)
+    return without(docs, jaccard.near_duplicates(docs).where("component_id <> doc_id"))
+
+
+def pack_best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, each with its sequence and place."""
+    return packing.packed(docs)
+
+
+#: Rejected ids are broadcast up to so many; beyond, the join is a shuffled one.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    ids = saved(rejected.where("doc_id is not null").select("doc_id").distinct(), "rejected")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+STAGES = [("language", keep_languages), ("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("packing", pack_best_fit)]
+
+#: SQL can express none of the four stages: the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = None
+from lamina import queries
+
+QUERIES = dict(queries.QUERIES)
+ORACLE_SQL = dict(queries.ORACLE_SQL)
+FLAGSHIP = queries.stitch

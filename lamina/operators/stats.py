@@ -39,7 +39,7 @@ def throughput(tasks: DataFrame, *keys: str) -> DataFrame:
 
 def human_bytes(n: Column) -> Column:
     """A size with one decimal in the largest unit of 1024 that keeps it at 1 or more."""
-    text = F.format_string("%.1f B", n.cast("double"))
+    text = F.format_string("%.1f B", F.bround(n.cast("double"), 1))
     for power, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        text = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(text)
+        text = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1))).otherwise(text)
     return text

@@ -23,11 +23,11 @@ from .common import BoundedCache, bounded_sample, held_out, map_batches, table
 SAMPLE, TOKENS = 30_000, 100_000
 #: The prior's weight as a share of all tokens counted, the z value and the log-odds from which a token counts as toxic
 #: (high, as there are many tokens to test), and the drift.
-PRIOR, Z_LEAST, ODDS_LEAST, DRIFT = 0.1, 4.5, 2.5, 0.25
+PRIOR, Z_LEAST, ODDS_LEAST, DRIFT = 0.1, 3.5, 2.5, 0.25
 #: Lengths of word beginnings that stand for words not learned themselves, and the log-odds that these need.
 STEMS, STEM_ODDS_LEAST = (6, 5, 4), 1.5
 THRESHOLD = 0.3
-KEPT = 300_000
+KEPT = 800_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -138,9 +138,9 @@ def logistic_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(0.0, w[1]))
 
 
-def learn(rows: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model from rows (doc_id, text, toxic): odds from three quarters of a bounded sample, calibration from the rest."""
-    taken = bounded_sample(rows.where("toxic is not null"), sample).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+def learn(rows: DataFrame) -> dict:
+    """The model from rows (doc_id, text, toxic): odds from three quarters of them, calibration from the rest."""
+    taken = rows.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     apart = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0
     model: dict = {"odds": token_odds(taken.where(~apart)), "lambda": 1.0, "k": 1.0, "logistic": (-3.0, 0.0)}
     if not model["odds"]:
@@ -194,9 +194,12 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) id", f"`{text_col}` text"), run, "id long, score double, predicted int, passages array<struct<first: int, last: int, excess: double>>").withColumnRenamed("id", id_col)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with labels that may be learned from."""
-    return docs.select("doc_id", "text").join(labels.where(~held_out()).select("doc_id", "toxic"), "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Texts with labels that may be learned from: about ``sample`` labels, chosen by a hash of the id and at most twice as
+    many, which are therefore broadcast; the texts aren't shuffled."""
+    free = labels.where(~held_out() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    taken = bounded_sample(free, sample).limit(2 * sample)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(taken), "doc_id")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

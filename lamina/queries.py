@@ -239,7 +239,7 @@ def rel_error(spark, d):
 
 def stage_throughput(spark, d):
     tasks = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("bytes"), F.col("l_quantity").alias("seconds"))
-    return rounded(stats.throughput(tasks, "l_returnflag", "l_linestatus"), "rate", "slowest", "fastest", digits=4)
+    return rounded(stats.throughput(tasks, "l_returnflag", "l_linestatus"), "rate", "slowest", "fastest", digits=9)
 
 
 def human_bytes(spark, d):
@@ -367,7 +367,7 @@ ORACLE_SQL = {
     "axis_mean": f"WITH {_STACK} SELECT z, x, {_r('avg(v)')} FROM st GROUP BY 1, 2",
     "percentile_clip": f"SELECT (l_suppkey % 8)::INT AS z, {_r('quantile_cont(l_extendedprice, 0.01)', 'low', 4)}, {_r('quantile_cont(l_extendedprice, 0.99)', 'high', 4)} FROM lineitem GROUP BY 1",
     "rel_error": f"WITH {_VOLUME} SELECT {_r('max(abs(a.v - b.v)) / max(abs(a.v))', 'rel_max')}, {_r('sqrt(sum((a.v - b.v) * (a.v - b.v))) / sqrt(sum(a.v * a.v))', 'rel_l2')}, {_r('sum(a.v * b.v)', 'inner')} FROM vol a JOIN vol b ON a.z = b.z AND a.y = b.y AND a.x = 15 - b.x",
-    "stage_throughput": f"SELECT l_returnflag, l_linestatus, {_r('sum(l_extendedprice) / max(l_quantity)', 'rate', 4)}, {_r('min(l_extendedprice / l_quantity)', 'slowest', 4)}, {_r('max(l_extendedprice / l_quantity)', 'fastest', 4)} FROM lineitem GROUP BY 1, 2",
+    "stage_throughput": f"SELECT l_returnflag, l_linestatus, {_r('sum(l_extendedprice) / max(l_quantity)', 'rate', 9)}, {_r('min(l_extendedprice / l_quantity)', 'slowest', 9)}, {_r('max(l_extendedprice / l_quantity)', 'fastest', 9)} FROM lineitem GROUP BY 1, 2",
     "human_bytes": "SELECT o_orderkey, CASE " + " ".join(f"WHEN b >= {1024**k} THEN printf('%.1f {u}', b / {1024.0**k}::DOUBLE)" for k, u in ((5, "PB"), (4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))) + " ELSE printf('%.1f B', b::DOUBLE) END AS size FROM (SELECT o_orderkey, o_orderkey * o_custkey AS b FROM orders)",
     "nufft_gather": f"WITH {_VOLUME}, {_TAPS} SELECT z, t, r, {_r('sum(w * v) / 8', 're', 2)}, {_r('sum(w * v * 0.5) / 8', 'im', 2)} FROM tp JOIN vol ON vol.y = ky AND vol.x = kx GROUP BY 1, 2, 3",
     "nufft_scatter": f"WITH {_STACK}, {_TAPS} SELECT z, ky, kx, {_r('sum(w * v)', 're', 2)}, {_r('sum(w * v * 0.5)', 'im', 2)} FROM tp JOIN st ON st.t = tp.t AND st.x = r GROUP BY 1, 2, 3",

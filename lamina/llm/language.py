@@ -7,6 +7,7 @@ a penalty for each switch labels spans of words. The n-grams are counted on a bo
 from __future__ import annotations
 
 import math
+import struct
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
@@ -27,7 +28,7 @@ SWITCH, WORD_MOST = 8.0, 6.0
 SCRIPT_SHARE = 0.01
 #: Longer runs without white space are cut into parts of half this length.
 WORD_CHARS = 64
-KEPT = 300_000
+KEPT = 800_000
 
 #: First code points of script ranges (fixed values of Unicode), "" between them; letters elsewhere count as "other".
 SCRIPTS = [
@@ -46,12 +47,14 @@ def script_of(char: str) -> str:
 
 
 def letters_of(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFC", word).lower() if c.isalpha())
+    if not word.isascii():
+        word = unicodedata.normalize("NFC", word)
+    return word.lower() if word.isalpha() else "".join([c for c in word.lower() if c.isalpha()])
 
 
 def grams_of(letters: str) -> list[str]:
     marked = f"^{letters}$"
-    return [marked[i : i + 3] for i in range(len(marked) - 2)] + [marked[i : i + 2] for i in range(len(marked) - 1)]
+    return [marked[i : i + 3] for i in range(len(letters))]
 
 
 def words_of(text: str) -> list[str]:
@@ -102,33 +105,37 @@ class Scorer:
         self.langs = model["langs"]
         counts = [model["counts"].get(lang, {}) for lang in self.langs]
         vocabulary = set().union(*counts) if counts else set()
-        self.logs: dict[str, list[float]] = {}
+        self.logs: dict[str, tuple[float, ...]] = {}
         totals = [sum(c.values()) + 0.5 * len(vocabulary) + 1 for c in counts]
         for g in vocabulary:
-            self.logs[g] = [math.log((c.get(g, 0) + 0.5) / t) for c, t in zip(counts, totals, strict=True)]
-        self.unseen = [math.log(0.5 / t) for t in totals]
+            self.logs[g] = tuple(math.log((c.get(g, 0) + 0.5) / t) for c, t in zip(counts, totals, strict=True))
+        self.unseen = tuple(math.log(0.5 / t) for t in totals)
         self.script_langs: dict[str, list[int]] = {}
         for k, lang in enumerate(self.langs):
             shares, total = model["scripts"][lang], sum(model["scripts"][lang].values())
             for script, n in shares.items():
                 if n >= SCRIPT_SHARE * total:
                     self.script_langs.setdefault(script, []).append(k)
+        self.all = frozenset(range(len(self.langs)))
+        self.scripts = BoundedCache(script_of, 100_000)
+        self.pack = struct.Struct(f"<{len(self.langs) + 1}f").pack
+        self.silent = bytes(4 * len(self.langs) + 4)
         self.words = BoundedCache(self._word, KEPT)
 
     def _word(self, word: str) -> bytes:
         """32-bit floats: the score in each language, 0 for the best one, and the number of letters."""
         letters = letters_of(word)
         if not letters:
-            return bytes(4 * len(self.langs) + 4)
-        script = Counter(map(script_of, letters)).most_common(1)[0][0]
-        fits = self.script_langs.get(script) or range(len(self.langs))
-        scores = [0.0] * len(self.langs)
-        for g in grams_of(letters):
-            for k, x in enumerate(self.logs.get(g, self.unseen)):
-                scores[k] += x
-        best = max(scores[k] for k in fits)
-        row = [max(-WORD_MOST, scores[k] - best) if k in fits else -WORD_MOST for k in range(len(scores))]
-        return np.array([*row, len(letters)], "<f4").tobytes()
+            return self.silent
+        fits = self.script_langs.get("latin" if letters.isascii() else self._script(letters), self.all)
+        logs, unseen, marked = self.logs, self.unseen, f"^{letters}$"
+        rows = [logs.get(marked[i : i + 3], unseen) for i in range(len(letters))]
+        scores = [sum(x) for x in zip(*rows, strict=True)]
+        best = max([scores[k] for k in fits])
+        return self.pack(*[max(-WORD_MOST, x - best) if k in fits else -WORD_MOST for k, x in enumerate(scores)], len(letters))
+
+    def _script(self, letters: str) -> str:
+        return Counter(map(self.scripts.__getitem__, letters)).most_common(1)[0][0]
 
     def matrix(self, words: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<f4").reshape(len(words), len(self.langs) + 1)
@@ -166,7 +173,8 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     if k == 1:
         return np.zeros(n, int)
     gain = np.concatenate(([0.0], np.cumsum((np.delete(scores, one, 1) - scores[:, one : one + 1]).max(1))))
-    if (gain - np.minimum.accumulate(gain)).max() <= switch:  # leaving this label for any stretch costs at least what it wins
+    # Another label wins at most this on a stretch; one at either end costs a switch, one between costs two.
+    if gain.max() <= switch and gain[-1] - gain.min() <= switch and (gain - np.minimum.accumulate(gain)).max() <= 2 * switch:
         return np.full(n, one)
     value, back = scores[0].tolist(), []
     for row in scores[1:].tolist():

@@ -325,6 +325,22 @@ def _r(expression: str, name: str = "v", digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
 
 
+def _kernel(name: str, n: int) -> str:
+    """The propagation kernel along an axis of n samples, mirrored to 2n, by an explicit transform."""
+    f = f"(CASE WHEN m.range < {n} THEN m.range ELSE m.range - {2 * n} END / ({2 * n} * 1.38e-6))"
+    phase = f"(-pi() * (1.24e-9 / 30.0) * 0.2 * {f} * {f} + 2 * pi() * m.range * d.range / {2 * n})"
+    return f"{name} AS (SELECT d.range::INT AS d, sum(cos({phase})) / {2 * n} AS hr, sum(sin({phase})) / {2 * n} AS hi FROM range({2 * n}) d, range({2 * n}) m GROUP BY 1)"
+
+
+def _propagated(source: str, axis: str, other: str, kernel: str, n: int) -> str:
+    """A pass along an axis: each output is the sum over the mirrored line of the kernel times the wave."""
+    mirrored = f"CASE WHEN j.range < {n // 2} THEN {n // 2} - 1 - j.range WHEN j.range >= {3 * n // 2} THEN {2 * n + n // 2} - 1 - j.range ELSE j.range - {n // 2} END"
+    return (
+        f"(SELECT t, {other}, k.range::INT AS {axis}, sum(hr * re - hi * im) AS re, sum(hr * im + hi * re) AS im FROM {source} s JOIN range({2 * n}) j ON s.{axis} = {mirrored}, range({n}) k "
+        f"JOIN {kernel} h ON h.d = (k.range + {n // 2} - j.range + {2 * n}) % {2 * n} GROUP BY 1, 2, 3)"
+    )
+
+
 _SINE = "(0.5 - 0.5 * cos(pi() * {}))"
 
 ORACLE_SQL = {
@@ -359,6 +375,8 @@ ORACLE_SQL = {
     "unsharp": f"WITH {_VOLUME}, {_GAUSS} SELECT z, y, x, {_r('vol.v + 0.7 * (vol.v - g3.v)')} FROM vol JOIN g3 USING (z, y, x)",
     "psi_from_proj": f"WITH {_STACK} SELECT t, z, x, {_r('exp(-v / 20.0 / 100.0) * cos(v / 20.0)', 're')}, {_r('exp(-v / 20.0 / 100.0) * sin(v / 20.0)', 'im')} FROM st",
     "intensity": f"WITH {_STACK} SELECT t, z, x, {_r('exp(-v / 20.0 / 100.0 * 2)')} FROM st",
+    "fresnel": f"WITH {_STACK}, ps AS (SELECT t, z, x, exp(-v / 20.0 / 100.0) * cos(v / 20.0) AS re, exp(-v / 20.0 / 100.0) * sin(v / 20.0) AS im FROM st), {_kernel('hx', 16)}, {_kernel('hz', 8)}, ax AS MATERIALIZED {_propagated('ps', 'x', 'z', 'hx', 16)}, az AS {_propagated('ax', 'z', 'x', 'hz', 8)} SELECT t, z, x, {_r('re', 're', 5)}, {_r('im', 'im', 5)} FROM az",
+    "paganin": f"WITH {_STACK}, q AS (SELECT a.range AS kz, b.range AS kx, 5e-4 / ((1.24e-9 / 30.0) * 0.2 * (pow(CASE WHEN b.range < 8 THEN b.range ELSE b.range - 16 END / (16 * 1.38e-6), 2) + pow(CASE WHEN a.range < 4 THEN a.range ELSE a.range - 8 END / (8 * 1.38e-6), 2)) / (4 * pi()) + 5e-4) AS h FROM range(8) a, range(16) b), k AS MATERIALIZED (SELECT a.range AS dz, b.range AS dx, sum(h * cos(2 * pi() * (kz * a.range / 8.0 + kx * b.range / 16.0))) / 128 AS h FROM range(8) a, range(16) b, q GROUP BY 1, 2), c AS (SELECT o.t, o.z, o.x, sum(h * (0.5 + s.v / 100)) AS v FROM st o JOIN st s ON o.t = s.t JOIN k ON dz = (o.z - s.z + 8) % 8 AND dx = (o.x - s.x + 16) % 16 GROUP BY 1, 2, 3) SELECT t, z, x, {_r('-ln(greatest(v, 1e-6))', 'v', 5)} FROM c",
     "dezinger": f"WITH {_STACK}, m AS (SELECT *, range::INT AS k FROM (SELECT 1), range(9)), nb AS (SELECT c.t, c.z, c.x, median(s.v) AS md FROM st c, m, st s WHERE s.z = c.z AND s.t = CASE WHEN c.t + k // 3 - 1 < 0 THEN 0 WHEN c.t + k // 3 - 1 > 11 THEN 11 ELSE c.t + k // 3 - 1 END AND s.x = CASE WHEN c.x + k % 3 - 1 < 0 THEN 0 WHEN c.x + k % 3 - 1 > 15 THEN 15 ELSE c.x + k % 3 - 1 END GROUP BY 1, 2, 3) SELECT t, z, x, {_r('CASE WHEN v - md > 2.0 THEN md ELSE v END')} FROM st JOIN nb USING (t, z, x)",
     "darkflat": f"WITH {_STACK}, f AS (SELECT z, x, avg(CASE WHEN t >= 6 THEN v + 100 END) AS f, avg(CASE WHEN t < 6 THEN v END) AS d FROM st GROUP BY 1, 2) SELECT t, z, x, {_r('(v - d) / (f * (1 + 1e-5) - d)')} FROM st JOIN f USING (z, x)",
     "tent_weight": f"WITH {_MOSAIC}, {_SIDES} SELECT scan, ot AS t, oz AS z, ox AS x, {_r('sum(least(z + 0.5, hh - 0.5 - z, 4) * least(x + 0.5, ww - 0.5 - x, 4))::DOUBLE', 'w')}, count(*) AS n FROM px GROUP BY 1, 2, 3, 4",

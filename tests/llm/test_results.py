@@ -132,7 +132,9 @@ def brute_components(texts):
     return {i: root(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
 
-def test_near_duplicates_are_brute_forces(spark):
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_near_duplicates_are_brute_forces(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
     draw = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [draw.choices(vocabulary, k=60) for _ in range(6)]

@@ -46,12 +46,13 @@ class Block:
         self.text, self.odds, self.path = text, odds, path
 
 
-def _named_odds(attributes: str) -> float:
+def _named_odds(attributes: str, inside: bool) -> float:
+    """inside: within an article, where a header is its own."""
     total = 0.0
     for m in _NAMED.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
         words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        if any(w in BOILERPLATE for w in words):
+        if any(w in BOILERPLATE and not (inside and w == "header") for w in words):
             total = max(total, WORD_ODDS)
         elif not total and any(w in CONTENT for w in words):
             total = CONTENT_ODDS
@@ -115,10 +116,9 @@ def blocks_of(html: str) -> list[Block]:
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
             above = stack[-1][1] if stack else 0.0
-            named = _named_odds(m[4] or m[7] or "")
-            own = named or ELEMENTS.get(tag, 0.0)
-            if tag == "header" and not named and any(s[0] in ("article", "main") for s in stack):
-                own = 0.0  # an article's own heading
+            inside = any(s[0] in ("article", "main") for s in stack)
+            named = _named_odds(m[4] or m[7] or "", inside)
+            own = named or (0.0 if inside and tag == "header" else ELEMENTS.get(tag, 0.0))
             if own > 0 and above < 0:
                 above = 0.0  # boilerplate within the article
             elif own < 0 and above > 0:

@@ -257,6 +257,11 @@ def test_main_text():
     assert html.main_text(PAGE) == "Title & more\nFirst para.\nSecond\none\ntwo"
 
 
+def test_header_of_an_article():
+    page = '<body><div class="page-header">Site name and a slogan</div><article><div class="post-header"><h1>Title</h1></div><p>Text of the article.</p><div class="share-box">Share this</div></article></body>'
+    assert html.main_text(page) == "Title\nText of the article."
+
+
 def test_minimum_cut_is_brute_forces():
     draw = random.Random(4)
     for _ in range(100):

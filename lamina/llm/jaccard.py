@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, map_batches, saved, table
+from .common import BoundedCache, saved, table
 
 N, PERCENT = 5, 75
 #: An n-gram that so many sets within one block of a task have is put last; a block holds about so many n-grams.
@@ -32,8 +32,9 @@ FREQUENT, BLOCK = 4, 4_000_000
 #: Frequent n-grams that are broadcast at most (24 bytes each), those seen most; others keep their place by hash, which
 #: only makes their lists longer.
 ORDERED = 2_000_000
-#: Longer lists of one n-gram aren't searched for pairs that can be similar; all their documents meet.
-PRUNED = 512
+#: Of the documents with one n-gram, pairs are made and their common n-grams counted where there are so many at most; of
+#: more, all meet under the n-gram.
+PAIRED = 256
 #: Documents on each side of a tile, and n-grams in a fragment.
 TILE, FRAGMENT = 1024, 2048
 #: Members' ids are broadcast up to so many; beyond, the join is a shuffled one.
@@ -151,10 +152,16 @@ def in_order(found: np.ndarray, order: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def members(docs: DataFrame, order: tuple) -> DataFrame:
-    """(doc_id, key): documents that can be similar to another one meet under a key."""
+    """(doc_id, key): documents that can be similar to another one meet under a key.
+
+    Similar sets share not just one n-gram of their prefixes but many: of each at most as many are not in the other as its
+    size exceeds the least overlap. So a pair that shares too few goes, which leaves out chance matches.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(gram, n, frequent, doc_id) for each rare n-gram of a prefix, n being the size of the set and frequent how many
+        others the prefix has; for those with a key, (key, -1, 0, doc_id)."""
         for batch in batches:
             parts: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -164,19 +171,17 @@ def members(docs: DataFrame, order: tuple) -> DataFrame:
                     continue
                 p = prefix_length(n)
                 grams, at = in_order(found, shared.value)
-                grams, at = grams[:p], at[:p]
-                keys = np.unique(shared.value[2][at[at >= 0]])
-                rare = np.flatnonzero(at < 0)
-                parts.append((np.concatenate((grams[rare].view(np.int64), keys)), np.concatenate((rare.astype(np.int32), np.full(len(keys), -1, np.int32))), doc_id, n))
+                rare, at = grams[:p][at[:p] < 0], at[:p][at[:p] >= 0]
+                keys = np.unique(shared.value[2][at])
+                parts.append((np.concatenate((rare.view(np.int64), keys)), np.concatenate((np.full(len(rare), n, np.int32), np.full(len(keys), -1, np.int32))), len(at), doc_id))
             if parts:
                 sizes = [len(x[0]) for x in parts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[0] for x in parts])), pa.array(np.concatenate([x[1] for x in parts])), pa.array(np.repeat(np.array([x[2] for x in parts], np.int64), sizes)), pa.array(np.repeat(np.array([x[3] for x in parts], np.int32), sizes))],
-                    names=["gram", "place", "doc_id", "n"],
-                )
+                columns = [np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), np.repeat(np.array([x[2] for x in parts], np.int32), sizes), np.repeat(np.array([x[3] for x in parts], np.int64), sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "n", "frequent", "doc_id"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by n-gram, then document: its first document is the key of those that can be similar to another."""
+        """Of rows by n-gram, then document: (a, b, need) for a pair that needs so many common n-grams; need -1 for a
+        document a that meets others under the key b."""
         left: list[np.ndarray] | None = None
         for batch in batches:
             now = [batch.column(i).to_numpy() for i in range(4)]
@@ -189,58 +194,43 @@ def members(docs: DataFrame, order: tuple) -> DataFrame:
             yield met(left)
 
     def met(rows: list[np.ndarray]) -> pa.RecordBatch:
-        grams, places, ids, sizes = rows
-        out_ids, out_keys = [], []
+        out: list[tuple] = []
+        keyed = rows[1] < 0
+        out.append((rows[3][keyed], rows[0][keyed], np.full(int(keyed.sum()), -1)))
+        grams, sizes, frequent, ids = (x[~keyed] for x in rows)
         if len(grams):
             starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
             counts = np.diff(np.append(starts, len(grams)))
-            two = starts[counts == 2]
-            need = least_overlap(sizes[two].astype(np.int64), sizes[two + 1].astype(np.int64))
-            good = two[(sizes[two] - places[two] >= need) & (sizes[two + 1] - places[two + 1] >= need) & (ids[two] != ids[two + 1])]
-            out_ids += [ids[good], ids[good + 1]]
-            out_keys += [ids[good], ids[good]]
+            firsts, seconds = [starts[counts == 2]], [starts[counts == 2] + 1]
             for start, count in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
-                run = slice(start, start + count)
-                some = ids[run]
-                if count <= PRUNED:
-                    n, room = sizes[run].astype(np.int64), (sizes[run] - places[run]).astype(np.int64)
-                    fits = np.minimum(room[:, None], room[None, :]) >= least_overlap(n[:, None], n[None, :])
-                    np.fill_diagonal(fits, False)
-                    some = some[fits.any(1)]
-                if len(some) > 1:
-                    out_ids.append(some)
-                    out_keys.append(np.full(len(some), some[0]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (out_ids, out_keys)], names=["doc_id", "key"])
-
-    made = docs.select("doc_id", "text").mapInArrow(entries, "gram long, place int, doc_id long, n int")
-    return made.transform(lambda d: _both(d, meet))
-
-
-def _both(made: DataFrame, meet) -> DataFrame:
-    """Rare n-grams are shuffled to meet; keys of frequent ones (place -1) are members as they are. One pass makes both."""
-    keyed = F.when(F.col("place") < 0, F.col("doc_id")).otherwise(F.col("gram"))
-    rows = made.repartition(keyed).sortWithinPartitions("gram", "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rare() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                is_key = batch.column(1).to_numpy() < 0
-                if is_key.any():
-                    keys = batch.filter(pa.array(is_key))
-                    direct.append(pa.RecordBatch.from_arrays([keys.column(2), keys.column(0)], names=["doc_id", "key"]))
-                    batch = batch.filter(pa.array(~is_key))
-                if batch.num_rows:
-                    yield batch
-
-        direct: list[pa.RecordBatch] = []
-        for out in meet(rare()):
-            yield from direct
-            direct.clear()
-            if out.num_rows:
-                yield out
-        yield from direct
-
-    return rows.mapInArrow(run, "doc_id long, key long").distinct()
+                if count <= PAIRED:
+                    i, j = np.triu_indices(count, 1)
+                    firsts.append(start + i)
+                    seconds.append(start + j)
+                else:
+                    run = ids[start : start + count]
+                    out.append((run, np.full(count, run[0]), np.full(count, -1)))
+            a, b = np.concatenate(firsts), np.concatenate(seconds)
+            na, nb = sizes[a].astype(np.int64), sizes[b].astype(np.int64)
+            overlap = least_overlap(na, nb)
+            need = overlap + 1 - -(-PERCENT * np.maximum(na, nb) // 100) - np.minimum(frequent[a], frequent[b])
+            good = (overlap <= np.minimum(na, nb)) & (ids[a] != ids[b])
+            out.append((ids[a][good], ids[b][good], np.maximum(need, 1)[good]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "need"])
+
+    made = docs.select("doc_id", "text").mapInArrow(entries, "gram long, n int, frequent int, doc_id long")
+    # A frequent n-gram's key isn't what its rows are dealt by: they meet later, under each key in tiles.
+    dealt = made.repartition(F.when(F.col("n") < 0, F.col("doc_id")).otherwise(F.col("gram"))).sortWithinPartitions("gram", "doc_id")
+    pairs = dealt.mapInArrow(meet, "a long, b long, need int").groupBy("a", "b", (F.col("need") < 0).alias("keyed")).agg(F.count("*").alias("common"), F.max("need").alias("need"))
+    kept = saved(pairs.where("keyed or common >= need").select("a", "b", "keyed"), "pairs")
+    under = kept.where("keyed").select(F.col("a").alias("doc_id"), F.col("b").alias("key"))
+    # A pair needs no key of its own where both also meet the same smallest other document.
+    single = kept.where("not keyed").select("a", "b")
+    least = single.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m"))
+    with_a = single.join(least.select(F.col("node").alias("a"), F.col("m").alias("m_a")), "a", "left")
+    with_b = with_a.join(least.select(F.col("node").alias("b"), F.col("m").alias("m_b")), "b")
+    paired = with_b.where("m_a is null or m_a <> m_b").select(F.explode(F.array("a", "b")).alias("doc_id"), F.col("a").alias("key"))
+    return under.union(paired).distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -282,8 +272,12 @@ def forest(rows: np.ndarray, columns: np.ndarray, left: np.ndarray, right: np.nd
 def links(docs: DataFrame, met: DataFrame) -> DataFrame:
     """(a, b), a > b: similar documents, as few of them as give the same components."""
 
-    def sets(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "grams": [shingles(t).tobytes() for t in batch.column(1).to_pylist()]}
+    where = pa.list_(pa.struct([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32())]))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), grams, batch.column(2).cast(where)], names=["doc_id", "grams", "tiles"])
 
     def tile(key: tuple, group: pa.Table) -> pa.Table:
         ids, sides = group.column("doc_id").to_numpy(), group.column("side").to_numpy()
@@ -303,13 +297,15 @@ def links(docs: DataFrame, met: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / TILE).cast("int")
     placed = met.join(groups.withColumn("blocks", blocks), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = saved(placed.select("doc_id", "key", "blocks", "block"), "members")
-    ids = placed.select("doc_id").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    found = map_batches(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), sets, "doc_id long, grams binary")
     # A block goes to the tiles with itself, with those before it (as the second side) and with those after it.
     tiles = placed.select("doc_id", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("doc_id", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    return found.join(tiles, "doc_id").groupBy("key", "i", "j").applyInArrow(tile, "a long, b long")
+    tile_of = F.struct("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    listed = saved(tiles.select("doc_id", tile_of.alias("tile")).groupBy("doc_id").agg(F.collect_list("tile").alias("tiles")), "tiles")
+    few = tiles.count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(listed) if few else listed, "doc_id")
+    found = texts.mapInArrow(sets, "doc_id long, grams binary, tiles array<struct<key: long, i: int, j: int, side: int>>")
+    spread = found.select("doc_id", "grams", F.explode("tiles").alias("t")).select("doc_id", "grams", "t.key", "t.i", "t.j", "t.side")
+    return spread.groupBy("key", "i", "j").applyInArrow(tile, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -354,3 +350,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w
+), n AS MATERIALIZED (SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT n.doc_id, n.n AS n_shingles, min(reached) AS component_id FROM n JOIN r USING (doc_id) GROUP BY 1, 2
+"""

@@ -257,6 +257,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """
 
     def run(batch: pa.RecordBatch) -> dict:
+        BoundedCache.working_on(__name__)
         coder = byte_bpe(path, pattern)
         ids = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
         return {"id": batch.column(0), "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [coder.decode(x) for x in ids]}
@@ -269,6 +270,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ids and texts needn't leave the worker."""
 
     def run(batch: pa.RecordBatch) -> dict:
+        BoundedCache.working_on(__name__)
         coder = byte_bpe(path, pattern)
         out: dict = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for text in batch.column(1).to_pylist():

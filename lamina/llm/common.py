@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -71,11 +72,27 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class BoundedCache(dict):
-    """Values by key, computed on a miss. When full, the younger half goes: what came first came because it is frequent."""
+    """Values by key, computed on a miss. When full, the younger half goes: what came first came because it is frequent.
+
+    A worker that goes on with another operator's tasks gives up the caches of the one before: see ``working_on``.
+    """
+
+    #: The operator that this worker works on, and the caches that are in use.
+    owner, alive = "", weakref.WeakSet()
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
         self.compute, self.limit = compute, limit
+        BoundedCache.alive.add(self)
+
+    __hash__ = object.__hash__
+
+    @staticmethod
+    def working_on(owner: str) -> None:
+        if BoundedCache.owner != owner:
+            for cache in list(BoundedCache.alive):
+                cache.clear()
+            BoundedCache.owner = owner
 
     def __missing__(self, key):
         if len(self) >= self.limit:

@@ -58,6 +58,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, n: int = N) -> np.ndarray:
     """The set of 64-bit hashes of n words in a row, ascending. Words: runs of anything but ASCII white space, A-Z lower-cased.
     With fewer words the whole sequence is one; without a word the set is empty."""
+    BoundedCache.working_on(__name__)
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)

@@ -195,6 +195,7 @@ _scorers: dict[str, Scorer] = {}
 
 
 def _scorer(key: str, model: dict) -> Scorer:
+    BoundedCache.working_on(__name__)
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(model)

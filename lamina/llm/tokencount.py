@@ -43,8 +43,8 @@ class Lengths:
         self.encode = _processor(path).encode
         words = frequent[0].split(" ") if frequent[1] else []
         self.known = dict(zip(words, np.frombuffer(frequent[1], "<u4").tolist(), strict=True))
-        self.misses = BoundedCache(lambda unit: len(self.encode(unit, num_threads=1)), KEPT)
-        self.misses[""] = 1  # a single space at the end of a text
+        # nothing after a space: a single space at the end of a text
+        self.misses = BoundedCache(lambda unit: len(self.encode(unit, num_threads=1)) if unit else 1, KEPT)
 
     def of(self, text: str) -> int:
         if not text:
@@ -98,6 +98,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text_col))
 
     def run(batch: pa.RecordBatch) -> dict:
+        BoundedCache.working_on(__name__)
         lengths, texts = _lengths(path, shared.value), batch.column(1).to_pylist()
         n = [lengths.of(t) if t else 0 for t in texts]
         return {"id": batch.column(0), "n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}

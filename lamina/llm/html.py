@@ -18,7 +18,7 @@ from .common import map_batches, table
 
 #: Elements whose content is never text of the page.
 _DROPPED = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|select|option|datalist|audio|video"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_DROPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<({_DROPPED})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
 #: Elements inside a block of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +31,8 @@ BOILERPLATE = frozenset(
     "recommended recommendations register related replies reply respond reviews rss search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tagcloud tags teaser toolbar "
     "topbar tracking warning widget widgets".split()
 )
+#: Those of them that name what others wrote, or other articles: an article within is not the page's own.
+OTHERS = frozenset("comment comments commentlist disqus recommended recommendations related replies reply respond reviews promoted sponsored teaser".split())
 CONTENT = frozenset("article articlebody blogpost body content entry main maincontent post postcontent prose story text".split())
 WORD_ODDS, CONTENT_ODDS = 7.0, -2.0
 #: Capacity between blocks that follow one another, by how near they are in the DOM, and between blocks with the same parent.
@@ -46,25 +48,89 @@ class Block:
         self.text, self.odds, self.path = text, odds, path
 
 
-def _named_odds(attributes: str, inside: bool) -> float:
-    """inside: within an article, where a header is its own."""
-    total = 0.0
-    for m in _NAMED.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        if any(w in BOILERPLATE and not (inside and w == "header") for w in words):
-            total = max(total, WORD_ODDS)
-        elif not total and any(w in CONTENT for w in words):
-            total = CONTENT_ODDS
-    return total
+class Element:
+    """words: those of BOILERPLATE in its names, with the class "comment" or "reply" as such; content: whether one is of CONTENT;
+    above: articles and mains that it is in; before: how many blocks came before; held: characters in it, and in articles in it."""
+
+    __slots__ = ("above", "articles", "before", "content", "firm", "held", "odds", "others", "parent", "reply", "tag", "words")
+
+    def __init__(self, tag: str, attributes: str, parent: Element | None, before: int):
+        self.tag, self.parent, self.before = tag, parent, before
+        self.above = (parent.above | {parent.tag} if parent.tag in ("article", "main") else parent.above) if parent else frozenset()
+        self.held = self.articles = 0
+        self.words, self.content, self.reply = set(), False, False
+        for m in _NAMED.finditer(attributes):
+            value = m[1] or m[2] or m[3] or ""
+            words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            self.words.update(w for w in words if w in BOILERPLATE and not (self.above and w == "header"))  # an article's header is its own
+            self.content = self.content or any(w in CONTENT for w in words)
+            self.reply = self.reply or not {"comment", "reply"}.isdisjoint(value.lower().split())
+
+
+def _boilerplate(e: Element, total: int, in_articles: int, after_text: bool) -> bool:
+    """Whether the words that e is named by speak of the text in it, and not of the page that it wraps.
+
+    total, in_articles: characters of the page; after_text: a paragraph of content came before e.
+    """
+    if not e.words or e.tag in ("html", "body", "main"):
+        return False
+    most = 2 * e.held > total
+    others = not e.words.isdisjoint(OTHERS)
+    if e.tag == "article":
+        return (e.reply or others and "article" in e.above) and (after_text or not most)
+    # What is left outside of e must not be the article itself, as beside a long notice.
+    wraps = 0 < in_articles <= 2 * e.articles or most and (bool(e.above) or 4 * (in_articles - e.articles) < e.held)
+    return not wraps or others and after_text
+
+
+def _classify(blocks: list[Block], elements: list[Element]) -> None:
+    """Adds to each block the odds of the elements that it is in."""
+    total = in_articles = 0
+    for b in blocks:
+        n = len(b.text)
+        total += n
+        inner = max((k for k, i in enumerate(b.path) if elements[i].tag in ("article", "main")), default=-1)
+        in_articles += n if inner >= 0 else 0
+        for k, i in enumerate(b.path):
+            elements[i].held += n
+            elements[i].articles += n if k < inner else 0
+    done, after_text = 0, False
+
+    def finish(end: int) -> None:
+        nonlocal done, after_text
+        for b in blocks[done:end]:
+            b.odds += elements[b.path[-1]].odds if b.path else 0.0
+            tags = {elements[i].tag for i in b.path}
+            after_text = after_text or b.odds < -1.0 and (len(b.text) >= 100 or "article" in tags or {"main", "p"} <= tags)
+        done = max(done, end)
+
+    for e in elements:
+        finish(e.before)
+        above, e.firm, e.others = (e.parent.odds, e.parent.firm, e.parent.others) if e.parent else (0.0, False, False)
+        if _boilerplate(e, total, in_articles, after_text):
+            own = WORD_ODDS
+            e.others = e.others or not e.words.isdisjoint(OTHERS)
+        else:
+            own = CONTENT_ODDS if e.content else 0.0 if e.above and e.tag == "header" else ELEMENTS.get(e.tag, 0.0)
+            e.firm = e.firm or own > 0
+        if own > 0 and above < 0:
+            above = 0.0  # boilerplate within the article
+        elif own < 0 and above > 0:
+            if e.tag in ("article", "main") and not e.firm and not e.others:
+                above = 0.0  # only names spoke against it
+            else:
+                own = 0.0  # a comment's own article stays a comment
+        e.odds = max(-6.0, above + own)
+    finish(len(blocks))
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks in order: runs of text between block elements, with the classifier's log-odds of boilerplate."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = []  # element, sum of odds down to it, its number
+    elements: list[Element] = []
+    stack: list[int] = []  # the elements that are open
     parts: list[str] = []
-    linked = serial = 0
+    linked = 0
     in_link = 0
 
     def close_block() -> None:
@@ -73,13 +139,13 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 n = len(text)
-                odds = (stack[-1][1] if stack else 0.0) + (0.8 if n < 40 else 0.0 if n < 100 else -1.5)
+                odds = 0.8 if n < 40 else 0.0 if n < 100 else -1.5
                 share = min(1.0, linked / n)
                 if share > 0.5:
                     odds += 4.0 * share
-                if stack and stack[-1][0] in ("h1", "p", "pre", "blockquote"):
+                if stack and elements[stack[-1]].tag in ("h1", "p", "pre", "blockquote"):
                     odds -= 1.0
-                out.append(Block(text, odds, tuple(s[2] for s in stack)))
+                out.append(Block(text, odds, tuple(stack)))
         parts, linked = [], 0
 
     def text(a: int, b: int) -> None:
@@ -107,26 +173,19 @@ def blocks_of(html: str) -> list[Block]:
         in_link = 0
         if ends:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+                if elements[stack[k]].tag == tag:
                     del stack[k:]
                     break
         elif tag not in VOID:
-            if stack and stack[-1][0] == "p":
+            if stack and elements[stack[-1]].tag == "p":
                 stack.pop()
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
+            if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and elements[stack[-1]].tag == tag:
                 stack.pop()
-            above = stack[-1][1] if stack else 0.0
-            inside = any(s[0] in ("article", "main") for s in stack)
-            named = _named_odds(m[4] or m[7] or "", inside)
-            own = named or (0.0 if inside and tag == "header" else ELEMENTS.get(tag, 0.0))
-            if own > 0 and above < 0:
-                above = 0.0  # boilerplate within the article
-            elif own < 0 and above > 0:
-                own = 0.0  # a comment's own article stays a comment
-            serial += 1
-            stack.append((tag, max(-6.0, above + own), serial))
+            elements.append(Element(tag, m[4] or m[7] or "", elements[stack[-1]] if stack else None, len(out)))
+            stack.append(len(elements) - 1)
     text(at, len(html))
     close_block()
+    _classify(out, elements)
     return out
 
 

@@ -262,6 +262,44 @@ def test_header_of_an_article():
     assert html.main_text(page) == "Title\nText of the article."
 
 
+LINES = [f"Paragraph {k} of the page, which has more than a hundred characters and no link, so that nobody would take it for a menu." for k in range(3)]
+
+
+@pytest.mark.parametrize(
+    "outer",
+    [
+        '<body class="right-sidebar">{}</body>', '<body class="has-header"><main>{}</main></body>', '<html class="no-ads"><body><div id="page" class="no-sidebar">{}</div></body></html>', '<body><article class="post comments-open">{}</article></body>',
+        '<body><div class="layout-sidebar"><article class="share-enabled">{}</article></div></body>', '<body><div class="comments-enabled"><main role="main">{}</main></div></body>', '<body><div class="comments-open"><div class="content">{}</div></div></body>',
+        '<body><main class="with-search"><div class="header-visible">{}</div></main></body>', '<body class="overlay"><div><form action="x" class="search"><input></form></div><div class="banner-on"><article>{}</article></div></body>',
+    ],
+)
+def test_words_of_a_wrapper(outer):
+    assert html.main_text(outer.format("".join(f"<p>{x}</p>" for x in LINES))) == "\n".join(LINES)
+
+
+def test_articles_in_wrappers_that_share_the_page():
+    page = "<body>" + "".join(f'<div class="item-header"><article><p>{x}</p></article></div>' for x in LINES) + "</body>"
+    assert html.main_text(page) == "\n".join(LINES)
+
+
+def test_boilerplate_stays_longer_than_the_article():
+    much = "".join(f"<p>{x}</p>" for x in LINES)
+    for other in ('<ol class="comment-list"><li><article class="comment-body">{}</article></li></ol>', '<div class="related"><article class="card">{}</article></div>', '<article class="comment">{}</article>', '<section id="comments">{}</section>'):
+        for page in (f"<body><article><p>{LINES[0]}</p></article>{other}</body>", f"<body><main><article><p>{LINES[0]}</p>{other}</article></main></body>"):
+            assert html.main_text(page.format(much)) == LINES[0], page
+    assert html.main_text(f'<body><div class="cookie-consent">{much}</div><article><p>{LINES[0]} {LINES[1]}</p></article></body>') == f"{LINES[0]} {LINES[1]}"
+
+
+@pytest.mark.parametrize("empty", ['<svg class="icon"/>', "<svg data-x='a > b' />", "<math/>", "<video-player src=x></video-player>", "<option-list>", "<svg-icon/>", "<title-bar></title-bar>"])
+def test_elements_that_drop_nothing(empty):
+    assert html.main_text(f"<body><p>{LINES[0]}</p>{empty}<p>{LINES[1]}</p></body>") == f"{LINES[0]}\n{LINES[1]}"
+
+
+def test_dropped_elements_stay_dropped():
+    for dropped in ("<svg><text>no</text></svg>", '<svg width="1" ><path d="x"/><text>no</text></svg>', "<script>no</script>", "<script\nsrc=x/>no</script>", "<math><mi>no</mi></math>", "<STYLE type=x>no</STYLE >", "<title>no</title>"):
+        assert html.main_text(f"<body><p>{LINES[0]}</p>{dropped}<p>{LINES[1]}</p></body>") == f"{LINES[0]}\n{LINES[1]}"
+
+
 def test_minimum_cut_is_brute_forces():
     draw = random.Random(4)
     for _ in range(100):

@@ -1,6 +1,7 @@
 """I-Match fingerprints with randomised lexicons, by DataFrame functions only.
 
-The lexicon is the terms whose inverse document frequency lies in a band. It is dealt at random into subsets, and a share of
+The lexicon is the terms whose inverse document frequency among distinct texts lies in a band. A text with few of them is
+described by its rarest other terms too, so that near copies which are many, or of rare terms only, keep their likeness. It is dealt at random into subsets, and a share of
 it into smaller ones beside them. A text's terms in the lexicon are made distinct and sorted, and those of each subset are
 hashed: one component of the fingerprint for each subset. Likeness is the share of equal components among those that either
 text has terms for: changed terms change the components of their subsets only.
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Terms that this share of the texts or more, and this share at most, contain are in the lexicon; always two texts at least.
+#: Terms that this share of the distinct texts or more, and this share at most, contain are in the lexicon; always two at least.
 #: With the lower share at 1/2000 there are at most 2000 times as many such terms as a text has on average.
 RARE, COMMON = 1 / 2000, 1 / 4
+#: A text with fewer terms in the lexicon has its other ones added up to so many: those rarer than the band first, then the
+#: more frequent ones from the rarest; among equals by their hash.
+FEWEST = 24
 #: Subsets that the whole lexicon is dealt into, and those that one term in SPARSE is dealt into.
 SUBSETS, SPARSE_SUBSETS, SPARSE = 96, 32, 8
-#: The lexicon is broadcast up to so many terms (16 bytes each); beyond, the join shuffles terms.
+#: The lexicon is broadcast up to so many terms (24 bytes each), and so are hashes of repeated texts; beyond, the join is shuffled.
 BROADCAST_TERMS = 2_000_000
 #: Cells of equal width that doc_ids are counted in, and rows of a run of neighbouring cells in which next rows are found.
 CELLS, RUN_ROWS = 16_384, 500
@@ -30,19 +34,41 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(text), r"[^\p{L}\p{N}]+")))
 
 
+def distinct_texts(texts: DataFrame) -> tuple[DataFrame, int]:
+    """Each text once, and their number. Only texts that are repeated are shuffled, once for each task that has them."""
+    hashed = texts.select(F.xxhash64("text").alias("whole"), "text")
+    copies = saved(hashed.groupBy("whole").count(), "copies")
+    repeated = copies.where("count > 1").select("whole", F.lit(True).alias("repeated"))
+    few = repeated.count() <= BROADCAST_TERMS
+    marked = hashed.join(F.broadcast(repeated) if few else repeated, "whole", "left")
+    once = marked.where("repeated").groupBy("whole").agg(F.first("text").alias("text"))
+    return marked.where("repeated is null").select("text").union(once.select("text")), copies.count()
+
+
+def entries_of(term: Column) -> Column:
+    """A term's entries (subset, then hash), one for each of its subsets: always one below SUBSETS, for some one of the others."""
+    dealt = F.pmod(F.xxhash64(term, F.lit(1)), F.lit(SUBSETS))
+    sparse = F.when(F.pmod(F.xxhash64(term, F.lit(2)), F.lit(SPARSE)) == 0, F.pmod(F.xxhash64(term, F.lit(3)), F.lit(SPARSE_SUBSETS)) + SUBSETS)
+    return F.array_compact(F.array(*(F.shiftleft(k.cast("long"), 56).bitwiseOR(term.bitwiseAND(_LOW)) for k in (dealt, sparse))))
+
+
 def lexicon(texts: DataFrame) -> DataFrame:
-    """(term, entry): a 64-bit hash of each term in the band, with an entry (subset, then hash) for each of its subsets.
+    """(term, entry, often): a 64-bit hash of each term in the band, with each of its entries; and of each term above the
+    band, without an entry, with its count. Of the latter there are at most 1 / COMMON times as many as a text has on average.
 
-    The empty term has a null entry. Counts are summed in each task before they are shuffled.
+    Each text counts once. Counts are summed in each task before they are shuffled.
     """
-    n = texts.count()
-    counts = texts.select(F.explode(terms(F.col("text"))).alias("word")).where("word <> ''").groupBy(F.xxhash64("word").alias("term")).count()
-    band = counts.where((F.col("count") >= max(2.0, RARE * n)) & (F.col("count") <= COMMON * n)).select("term")
-    dealt = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(SUBSETS))
-    sparse = F.when(F.pmod(F.xxhash64("term", F.lit(2)), F.lit(SPARSE)) == 0, F.pmod(F.xxhash64("term", F.lit(3)), F.lit(SPARSE_SUBSETS)) + SUBSETS)
-    entry = F.shiftleft(F.col("subset").cast("long"), 56).bitwiseOR(F.col("term").bitwiseAND(_LOW))
-    entries = band.select("term", F.explode(F.array(dealt, sparse)).alias("subset")).where("subset is not null").select("term", entry.alias("entry"))
-    return entries.union(texts.sparkSession.range(1).select(F.xxhash64(F.lit("")), F.lit(None).cast("long")))
+    once, n = distinct_texts(texts)
+    counts = once.select(F.explode(terms(F.col("text"))).alias("word")).where("word <> ''").groupBy(F.xxhash64("word").alias("term")).count()
+    known = counts.where(F.col("count") >= max(2.0, RARE * n)).withColumn("often", F.when(F.col("count") > COMMON * n, F.col("count")))
+    return known.select("term", F.explode_outer(F.when(F.col("often").isNull(), entries_of(F.col("term")))).alias("entry"), "often")
+
+
+def with_others(entries: Column, others: Column) -> Column:
+    """entries of the terms in the lexicon and, up to FEWEST terms, those of the first others (often, term)."""
+    known = F.size(F.filter(entries, lambda e: e < F.lit(SUBSETS << 56)))
+    added = F.slice(F.sort_array(others), F.lit(1), F.lit(FEWEST) - known)
+    return F.when(known >= FEWEST, entries).otherwise(F.concat(entries, F.flatten(F.transform(added, lambda x: entries_of(x["term"])))))
 
 
 def components(entries: Column) -> Column:
@@ -57,7 +83,7 @@ def components(entries: Column) -> Column:
 
 
 def written(parts: Column, whole: Column) -> Column:
-    """The fingerprint as a string: four hex digits a component; a hash of the whole text if no term is in the lexicon."""
+    """The fingerprint as a string: four hex digits a component; a hash of the whole text if it has no term."""
     return F.when(F.array_max(parts) > 0, F.lower(F.array_join(F.transform(parts, lambda x: F.lpad(F.hex(x), 4, "0")), ""))).otherwise(F.concat(F.lit("text-"), F.hex(whole)))
 
 
@@ -111,8 +137,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     words = sides.select("run", "at", "about", "side", F.explode("words").alias("word"))
     # What is known of a row travels with its empty term only.
     thin = words.select("run", "at", "side", F.xxhash64("word").alias("term"), F.when(F.col("word") == "", F.col("about")).alias("about"))
-    matched = thin.join(F.broadcast(known) if few else known, "term").groupBy("run", "at", "side").agg(F.collect_list("entry").alias("entries"), F.first("about", ignorenulls=True).alias("about"))
-    parts = matched.select("run", "at", "side", "about", components(F.col("entries")).alias("parts"))
+    other = F.when(F.col("entry").isNull() & F.col("about").isNull(), F.struct(F.coalesce("often", F.lit(0)).alias("often"), "term"))
+    matched = thin.join(F.broadcast(known) if few else known, "term", "left").groupBy("run", "at", "side").agg(F.collect_list("entry").alias("entries"), F.collect_list(other).alias("others"), F.first("about", ignorenulls=True).alias("about"))
+    parts = matched.select("run", "at", "side", "about", components(with_others(F.col("entries"), F.col("others"))).alias("parts"))
     both = parts.groupBy("run", "at").agg(F.first("about").alias("a"), F.first(F.when(F.col("side") == 0, F.col("parts")), ignorenulls=True).alias("p"), F.first(F.when(F.col("side") == 1, F.col("parts")), ignorenulls=True).alias("q"))
     after = Window.partitionBy("run").orderBy("at")
     nexts = both.withColumn("next", F.lead(F.struct("p", F.col("a.whole").alias("whole"))).over(after)).where("not a.guest")

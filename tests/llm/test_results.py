@@ -64,6 +64,42 @@ def test_token_count_query(spark, texts):
         assert r.n_tokens == len(model.encode(texts[r.doc_id])) and r.n_bytes == len(texts[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 4096)
 
 
+def near_copies(words, n, seed):
+    """n texts of words that differ in one character."""
+    out = []
+    for k in range(n):
+        mine = list(words)
+        at = random.Random(seed + k).randrange(len(mine))
+        mine[at] = mine[at][:2] + "xyzvwq"[k % 6] + str(k)
+        out.append(" ".join(mine))
+    return out
+
+
+def test_fingerprints_of_hot_near_copies(spark):
+    draw = random.Random(3)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(500)]
+    others = [" ".join(draw.choices(vocabulary, k=60)) for _ in range(80)]
+    hot = near_copies(["".join(draw.choices("klmnop", k=6)) for _ in range(80)], 40, 7)
+    copies = ["the very same " + others[0]] * 30
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(others + hot + copies)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    assert all(len(r.fingerprint) == 4 * (fingerprint.SUBSETS + fingerprint.SPARSE_SUBSETS) for r in rows.values())
+    assert min(rows[i].near_next for i in range(81, 120)) > 0.7
+    assert max(rows[i].near_next for i in range(1, 81)) < 0.5
+    assert {rows[i].near_next for i in range(121, 150)} == {1.0} and len({rows[i].fingerprint for i in range(120, 150)}) == 1
+    # A copy's terms count once: the other texts' fingerprints are those without the copies.
+    fewer = {r.doc_id: r for r in fingerprint.fingerprints(docs.where("doc_id < 121")).collect()}
+    assert all(fewer[i].fingerprint == rows[i].fingerprint for i in range(121))
+
+
+def test_fingerprints_of_rare_terms(spark):
+    rare = near_copies([f"rare{k}" for k in range(60)], 2, 5)
+    docs = spark.range(6000).selectExpr("id doc_id", "concat_ws(' ', 'common', id % 7, id % 11, id % 13) text").union(spark.createDataFrame([(6000 + i, t) for i, t in enumerate(rare)], "doc_id long, text string"))
+    rows = {r.doc_id: r for r in fingerprint.fingerprints(docs).where("doc_id >= 6000").collect()}
+    assert not any(r.fingerprint.startswith("text-") for r in rows.values())
+    assert rows[6001].near_next > 0.8 and rows[6000].near_next < 0.1
+
+
 def test_fingerprints(spark, texts):
     rows = {r.doc_id: r for r in QUERIES["op1_imatch"](spark, SF).collect()}
     order = sorted(texts, reverse=True)

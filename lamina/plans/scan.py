@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators import fbp, mosaic, radon, resample, stencil, stripe, wave
+from lamina.operators import fbp, model, mosaic, radon, resample, stencil, stripe, wave
 from lamina.operators.geometry import footprints, placements
 
 
@@ -52,7 +52,11 @@ def enlarged(volume: DataFrame, n: int, factor: int) -> DataFrame:
 
 def measured(volume: DataFrame, scan: Scan) -> DataFrame:
     """Intensities (t, z, x, v) behind a volume (z, y, x, v) after the distance."""
-    waves = wave.transmitted(radon.projected(volume, scan.angles), scan.norm, scan.beta_ratio, scan.phase_scale)
+    return _propagated(radon.projected(volume, scan.angles), scan)
+
+
+def _propagated(projections: DataFrame, scan: Scan) -> DataFrame:
+    waves = wave.transmitted(projections, scan.norm, scan.beta_ratio, scan.phase_scale)
     out = wave.propagated(waves, scan.distance, scan.voxel, scan.energy_kev)
     return out.select("t", "z", "x", wave.intensity(F.col("re"), F.col("im")).alias("v"))
 
@@ -72,3 +76,28 @@ def corrected(tiles: DataFrame, scan: Scan, height: int, width: int) -> DataFram
 def restored(stitched: DataFrame, scan: Scan) -> DataFrame:
     """The volume (z, y, x, v) from stitched intensities (t, z, x, v)."""
     return fbp.reconstructed(wave.retrieved(stitched, scan.distance, scan.alpha, scan.voxel, scan.energy_kev), scan.filter)
+
+
+def together(values: DataFrame, axis: str, size: int) -> DataFrame:
+    """Planes of all scans along one axis, as if they were one array's: for operators that work on each plane by itself."""
+    return values.withColumn(axis, (F.col("scan") * size + F.col(axis)).cast("int")).drop("scan")
+
+
+def apart(values: DataFrame, axis: str, size: int) -> DataFrame:
+    """The inverse of together()."""
+    return values.withColumns({"scan": F.floor(F.col(axis) / size).cast("int"), axis: (F.col(axis) % size).cast("int")})
+
+
+def whole(volumes: DataFrame, scans: DataFrame, scan: Scan) -> DataFrame:
+    """Volumes (scan, z, y, x, v) again, after measurement, cutting into the mosaic's tiles, correction, stitching, phase
+    retrieval and reconstruction. scans has each scan's geometry, with its n and nz those of the scan."""
+    projections = apart(radon.projected(together(volumes, "z", scan.nz), scan.angles), "z", scan.nz)
+    seen = apart(_propagated(together(projections, "t", scan.angles), scan), "t", scan.angles)
+    tiles, catalog = tiled(seen, scans, scan)
+    size = scans.agg(F.max("det_h"), F.max("det_w")).first()
+    stitched = mosaic.stitched(corrected(tiles, scan, *size), catalog, scan.angles)
+    # What no tile covers is air.
+    full = scans.select("scan").crossJoin(model.grid(scans.sparkSession, t=scan.angles, z=scan.nz, x=scan.n))
+    stack = full.join(stitched, ["scan", "t", "z", "x"], "left").withColumn("v", F.coalesce("v", F.lit(1.0)))
+    phases = apart(wave.retrieved(together(stack, "t", scan.angles), scan.distance, scan.alpha, scan.voxel, scan.energy_kev), "t", scan.angles)
+    return apart(fbp.reconstructed(together(phases, "z", scan.nz), scan.filter), "z", scan.nz).select("scan", "z", "y", "x", "v")

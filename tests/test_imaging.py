@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import fbp, geometry, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
-from lamina.plans.scan import Scan, enlarged, measured, restored
+from lamina.plans.scan import Scan, enlarged, measured, restored, tiled, whole
+from lamina.registry import QUERIES
 from lamina.sources import arrays, store
 
 
@@ -225,3 +226,38 @@ def test_whole_scan(spark):
         Scan(n=33, nz=4, angles=24)
     with pytest.raises(ValueError):
         Scan(n=32, nz=4, angles=24, filter="none at all")
+
+
+def test_whole_scans_through_the_mosaic(spark):
+    n, s = 32, 5.0
+    y, x = np.mgrid[:n, :n]
+    centres = [(15, 16), (12, 19), (18, 13)]
+    blobs = np.array([0.02 * np.exp(-((x - b) ** 2 + (y - a) ** 2) / (2 * s * s))[None] * np.ones((4, 1, 1)) for a, b in centres])
+    # Two columns and two rows of tiles, without a crop: 2 w - overlap - inset = n / 2, 2 h - z_overlap = nz.
+    scans = spark.createDataFrame([(k, 3, 10, 2, 2, 2, 16.0, 4.0, n, 4, 0) for k in range(3)], "scan int, det_h int, det_w int, overlap int, inset int, z_overlap int, sample_r double, sample_h double, n int, nz int, z_pad int")
+    scan = Scan(n=n, nz=4, angles=24, distance=1e-4, level=0)
+    again = array(whole(table(spark, blobs, "scan", "z", "y", "x"), scans, scan), "scan", "z", "y", "x")
+    assert again.shape == blobs.shape
+    for k, at in enumerate(centres):
+        assert np.unravel_index(again[k, 2].argmax(), again[k, 2].shape) == at
+        # Without a gap and without stripes to remove, tiles change nothing.
+        alone = array(restored(measured(table(spark, blobs[k], "z", "y", "x"), scan), scan), "z", "y", "x")
+        assert np.allclose(again[k], alone, rtol=0, atol=1e-9)
+    tiles, catalog = tiled(apart_measured(spark, blobs, scan), scans, scan)
+    assert catalog.count() == 12 and tiles.groupBy("scan", "zi", "xi", "z").count().count() == 3 * 4 * 3
+    one = Scan(n=n, nz=4, angles=24, distance=1e-4, wavelet="haar", level=2)
+    changed = array(whole(table(spark, blobs[:1], "scan", "z", "y", "x"), scans.where("scan = 0"), one), "scan", "z", "y", "x")
+    assert np.isfinite(changed).all() and not np.allclose(changed[0], again[0], rtol=0, atol=1e-6)
+
+
+def apart_measured(spark, blobs, scan):
+    stacks = [measured(table(spark, b, "z", "y", "x"), scan).withColumn("scan", F.lit(k)) for k, b in enumerate(blobs)]
+    return stacks[0].union(stacks[1]).union(stacks[2])
+
+
+def test_whole_scan_grows_with_its_tables(spark):
+    rows = {sf: QUERIES["whole_scan"](spark, f"/root/testdata/{sf}").groupBy("scan").count().collect() for sf in ("sf0.001", "sf0.01")}
+    for sf, found in rows.items():
+        suppliers = spark.read.parquet(f"/root/testdata/{sf}/supplier.parquet").selectExpr("floor(s_suppkey / 8)").distinct().count()
+        assert len(found) == suppliers and {r["count"] for r in found} == {8 * 16 * 16}
+    assert len(rows["sf0.01"]) > len(rows["sf0.001"])

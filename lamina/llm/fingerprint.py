@@ -24,7 +24,7 @@ FEWEST = 24
 SUBSETS, SPARSE_SUBSETS, SPARSE = 96, 32, 8
 #: The lexicon is broadcast up to so many terms (24 bytes each), and so are hashes of repeated texts; beyond, the join is shuffled.
 BROADCAST_TERMS = 2_000_000
-#: Cells of equal width that doc_ids are counted in, and rows of a run of neighbouring cells in which next rows are found.
+#: Cells that doc_ids are counted in, and rows of a run of neighbouring cells in which next rows are found.
 CELLS, RUN_ROWS = 16_384, 500
 _LOW = (1 << 56) - 1
 
@@ -99,18 +99,28 @@ def in_runs(docs: DataFrame) -> DataFrame:
     """docs with run: neighbours by doc_id share a run of about RUN_ROWS rows. Each run also has the row that follows its
     last one in descending order, the largest of the run below (below the lowest: of all), as a guest.
 
-    doc_ids are counted in cells of equal width; the cells, CELLS at most, are gathered into runs.
+    doc_ids are counted in cells of equal width, named by where they begin; cells with many times more rows than others are
+    cut again between their own ends, CELLS at most in each round. All cells are gathered into runs.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(0)).cast("int")
-    counts = docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+    low, high, total = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    low, top = low or 0, high or 0
+    number = F.coalesce("doc_id", F.lit(low))
+    most = max(RUN_ROWS, 8 * total // CELLS)
+    placed = docs.withColumn("cell", number - F.pmod(number - F.lit(low), F.lit(-(-(top - low + 1) // CELLS))))
+    while True:
+        counts = saved(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("top")), "cells")
+        full = counts.where((F.col("n") > most) & (F.col("least") < F.col("top"))).collect()  # fewer than CELLS / 8
+        if not full:
+            break
+        finer = [(r.cell, r.least, -(-(r.top - r.least + 1) // -(-CELLS * r.n // total))) for r in full]
+        parts = docs.sparkSession.createDataFrame(finer, "cell long, start long, width long")
+        placed = placed.join(F.broadcast(parts), "cell", "left").withColumn("cell", F.coalesce(number - F.pmod(number - F.col("start"), F.col("width")), "cell")).drop("start", "width")
     before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     runs = saved(counts.select("cell", "top", F.floor(F.coalesce(before, F.lit(0)) / RUN_ROWS).cast("int").alias("run")), "runs")
     tops = runs.groupBy("run").agg(F.max("top").alias("top"))
     below = tops.select("run", F.coalesce(F.lag("top").over(Window.orderBy("run")), F.lit(high)).alias("doc_id"))
-    # Both tables have CELLS rows at most.
-    own = docs.withColumn("cell", cell).join(F.broadcast(runs.select("cell", "run")), "cell").select("doc_id", "text", "run", F.lit(False).alias("guest"))
+    # Both tables have CELLS rows at most, and as many again for each round.
+    own = placed.join(F.broadcast(runs.select("cell", "run")), "cell").select("doc_id", "text", "run", F.lit(False).alias("guest"))
     guests = docs.join(F.broadcast(below), "doc_id").select("doc_id", "text", "run", F.lit(True).alias("guest"))
     return own.union(guests)
 

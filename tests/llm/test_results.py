@@ -64,6 +64,28 @@ def test_token_count_query(spark, texts):
         assert r.n_tokens == len(model.encode(texts[r.doc_id])) and r.n_bytes == len(texts[r.doc_id].encode()) and r.over_limit == (r.n_tokens > 4096)
 
 
+@pytest.mark.parametrize("far", [[10**12], [10**9 + k for k in range(3)] + [10**15], []])
+def test_runs_of_uneven_ids(spark, far):
+    ids = [*range(3000), *far, *[77] * 20, None]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = fingerprint.in_runs(docs).collect()
+    own = [r for r in rows if not r.guest]
+    assert sorted(r.text for r in own) == sorted(f"text {k}" for k in range(len(ids)))
+    runs = {}
+    for r in own:
+        runs.setdefault(r.run, []).append(-1 if r.doc_id is None else r.doc_id)
+    assert max(map(len, runs.values())) <= 3 * fingerprint.RUN_ROWS and len(runs) > 2
+    ordered = [runs[k] for k in sorted(runs)]
+    assert all(max(a) < min(b) for a, b in zip(ordered, ordered[1:], strict=False))
+    guests = {r.run: r.doc_id for r in rows if r.guest}
+    assert [guests[k] for k in sorted(runs)] == [max(ordered[-1]), *map(max, ordered[:-1])]
+
+
+def test_runs_of_one_id(spark):
+    docs = spark.range(1200).selectExpr("7L doc_id", "string(id) text")
+    assert fingerprint.in_runs(docs).where("not guest").count() == 1200
+
+
 def near_copies(words, n, seed):
     """n texts of words that differ in one character."""
     out = []

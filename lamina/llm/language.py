@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import struct
 import unicodedata
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -205,7 +206,7 @@ def _scorer(key: str, model: dict) -> Scorer:
 def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, lang_pred (``und`` for a null text or one without a letter), score (the share of letters in spans of
     that language) and spans (first and last word, lang). Other columns are left out, so none can clash."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model))
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
         scorer = _scorer(key, shared.value)
@@ -218,7 +219,7 @@ def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: st
 
 def labelled(docs: DataFrame, model: dict) -> DataFrame:
     """Per row: doc_id, lang_pred, score, as predicted() gives them, without the spans."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model))
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
         scorer = _scorer(key, shared.value)

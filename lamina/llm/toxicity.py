@@ -9,6 +9,7 @@ over what chance gives a text so long, and the sum over segments becomes a proba
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -184,7 +185,7 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     A null or empty text has no passage and the score of no evidence. Other columns are left out, so none can clash.
     """
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), str(id(model))
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
         scorer = _scorer(key, shared.value)

@@ -86,6 +86,21 @@ def test_runs_of_one_id(spark):
     assert fingerprint.in_runs(docs).where("not guest").count() == 1200
 
 
+@pytest.mark.parametrize("module", [language, toxicity])
+def test_models_at_one_address_are_told_apart(spark, module, monkeypatch):
+    """As if a model that nobody holds any longer had left its address to the next one."""
+    monkeypatch.setattr(module, "id", lambda x: 1, raising=False)
+    keys = set()
+    real = module.map_batches
+    monkeypatch.setattr(module, "map_batches", lambda df, fn, schema: keys.add(next(c.cell_contents for c, n in zip(fn.__closure__, fn.__code__.co_freevars, strict=True) if n == "key")) or real(df, fn, schema))
+    docs = spark.createDataFrame([(1, "some text", "en", 0)], "doc_id long, text string, lang string, toxic int")
+    model = {"langs": [], "scripts": {}, "counts": {}} if module is language else {"odds": {}, "lambda": 1.0, "k": 1.0, "logistic": (-3.0, 0.0)}
+    run = [language.predicted, language.labelled] if module is language else [toxicity.scored]
+    for f in run * 2:
+        f(docs, dict(model))
+    assert len(keys) == 2 * len(run)
+
+
 def near_copies(words, n, seed):
     """n texts of words that differ in one character."""
     out = []

@@ -173,11 +173,54 @@ class Utf8:
         return left
 
 
+def _characters() -> str:
+    return "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+
+
+def _class(found: list[str]) -> str:
+    """Characters, ascending, as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in map(ord, found):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def unlike_the_library() -> tuple[str, str]:
+    """Character classes of the letters and of the numbers of ``regex`` that aren't such to tiktoken, whose Unicode tables are
+    older: asked of the library itself, in one call for each, so that both agree whatever their versions are."""
+    import tiktoken
+
+    every, found = _characters(), []
+    for kind in (r"\p{L}", r"\p{N}"):
+        asked = tiktoken.Encoding("characters", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        theirs = set(asked.decode(asked.encode_ordinary(every)))
+        ours = regex.findall(kind, every)
+        if not theirs <= set(ours):
+            raise ValueError("tiktoken's Unicode tables are newer than those of regex")
+        found.append(_class([c for c in ours if c not in theirs]))
+    return found[0], found[1]
+
+
 class ByteBpe:
-    """Encodes and decodes whole texts as the rank file says, each match of the pattern by itself."""
+    """Encodes and decodes whole texts as the rank file says, each match of the pattern by itself.
+
+    A text with a character that only ``regex`` takes for a letter or a number is split by a pattern without these, which is
+    slower; other texts are split by the pattern as it is.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
+        letters, numbers = unlike_the_library()
+        self.unlike = regex.compile(f"[{letters}{numbers}]") if letters or numbers else None
+        same = pattern
+        for kind, others in ((r"\p{L}", letters), (r"\p{N}", numbers)):
+            if others:
+                same = same.replace(kind, f"[{kind}--[{others}]]")
+        self.same = regex.compile(same, regex.V1)
         self.fst = Transducer(ranks)
         self.spaced = BoundedCache(lambda word: self._word(" " + word), WORD_LIMIT)
         self.piece = BoundedCache(lambda piece: self.fst.encode(piece.encode()), WORD_LIMIT)
@@ -191,7 +234,8 @@ class ByteBpe:
                 self.texts.append(None)
 
     def _ids(self, text: str) -> bytes:
-        ids = list(chain.from_iterable(self.piece[p] if len(p) < 64 else self.fst.encode(p.encode()) for p in self.pattern.findall(text)))
+        pattern = self.same if self.unlike and not text.isascii() and self.unlike.search(text) else self.pattern
+        ids = list(chain.from_iterable(self.piece[p] if len(p) < 64 else self.fst.encode(p.encode()) for p in pattern.findall(text)))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, spaced: str) -> bytes | None:
@@ -267,7 +311,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. The digests are taken where the ids are made, so that
-    ids and texts needn't leave the worker."""
+    ids and texts needn't leave the worker.
+
+    A null text counts as empty: no ids, the digests of nothing. Rows that repeat, or have no doc_id, each have their own row;
+    equal texts have equal digests. Other columns are left out, so none can clash; an empty table gives an empty one. Texts are
+    encoded whole, of any length.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         BoundedCache.working_on(__name__)
@@ -284,4 +333,5 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digests() of all documents by the vocabulary of 50k byte-level tokens."""
     return digests(table(spark, sf_dir, "documents"), *vocabulary())

@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _local_shared()
     return at.rstrip("/")
 
@@ -73,6 +75,7 @@ def held_out(doc_id: str = "doc_id"):
 
 class BoundedCache(dict):
     """Values by key, computed on a miss. When full, the younger half goes: what came first came because it is frequent.
+    Keys longer than ``longest`` aren't kept, so that a few very long words can't fill a worker's memory.
 
     A worker that goes on with another operator's tasks gives up the caches of the one before: see ``working_on``.
     """
@@ -80,9 +83,9 @@ class BoundedCache(dict):
     #: The operator that this worker works on, and the caches that are in use.
     owner, alive = "", weakref.WeakSet()
 
-    def __init__(self, compute: Callable, limit: int):
+    def __init__(self, compute: Callable, limit: int, longest: int = 128):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.longest = compute, limit, longest
         BoundedCache.alive.add(self)
 
     __hash__ = object.__hash__
@@ -95,6 +98,8 @@ class BoundedCache(dict):
             BoundedCache.owner = owner
 
     def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > self.longest:
+            return self.compute(key)
         if len(self) >= self.limit:
             for k in list(self)[self.limit // 2 :]:
                 del self[k]

@@ -16,19 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bounded_sample, held_out, map_batches, table
+from .common import BoundedCache, held_out, map_batches, table
 
-#: Labelled rows that the scores are learned from at most, and n-grams kept at most, those seen most.
-SAMPLE, GRAMS = 20_000, 200_000
-#: What a change of language costs, in units of log probability; the most that one word can say against a language.
-SWITCH, WORD_MOST = 8.0, 6.0
+#: Labelled rows that the scores are learned from at most, shared evenly by the languages, and n-grams kept of each language
+#: at most, those seen most.
+SAMPLE, GRAMS = 20_000, 100_000
+#: What a change of language costs, in units of log probability; the most that so many letters in a row can say against a language.
+SWITCH, WORD_MOST, WORD_LETTERS = 8.0, 6.0, 32
 #: The share of a language's letters from which on it is held to be written in a script.
 SCRIPT_SHARE = 0.01
-#: Longer runs without white space are cut into parts of half this length.
-WORD_CHARS = 64
 KEPT = 800_000
 
 #: First code points of script ranges (fixed values of Unicode), "" between them; letters elsewhere count as "other".
@@ -58,22 +57,27 @@ def grams_of(letters: str) -> list[str]:
     return [marked[i : i + 3] for i in range(len(letters))]
 
 
-def words_of(text: str) -> list[str]:
-    words = text.split()
-    if words and max(map(len, words)) > WORD_CHARS:
-        half = WORD_CHARS // 2
-        words = [w[i : i + half] for w in words for i in range(0, len(w), half)]
-    return words
+def sample_of_each(rows: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` of the rows (doc_id, text, lang) at most, the same number of each language where there are so many:
+    a rare language keeps all its rows beside a frequent one."""
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
+    each = sample / max(1, len(counts))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["count"]) * (1 << 30))) for r in counts], "lang string, share long")
+    return rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share")).drop("share")
 
 
 def learn(rows: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> dict:
-    """The model from rows (doc_id, text, lang) whose lang isn't null: counts of n-grams and of scripts by language."""
+    """The model from rows (doc_id, text, lang) whose lang isn't null: counts of n-grams and of scripts by language.
+
+    Null texts add nothing, repeated rows count as often as they occur, other columns aren't read; without a row with a
+    language the model has none. Of n-grams seen equally often the first ones are kept.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.update((lang, w) for w in words_of(text or ""))
+                words.update((lang, w) for w in (text or "").split())
             if len(words) > 200_000:
                 yield emitted(words)
                 words = Counter()
@@ -91,10 +95,11 @@ def learn(rows: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> dict:
         keys = list(counts)
         return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keys], pa.string()), "gram": pa.array([k[1] for k in keys], pa.string()), "n": pa.array([counts[k] for k in keys], pa.int64())})
 
-    taken = bounded_sample(rows.where("lang is not null"), sample).select("text", "lang")
+    taken = sample_of_each(rows.where("lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang")), sample).select("text", "lang")
     summed = taken.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    best = Window.partitionBy("lang").orderBy(F.col("gram").startswith("\n").desc(), F.desc("n"), "gram")
     scripts, counts = {}, {}
-    for r in summed.orderBy(F.col("gram").startswith("\n").desc(), F.desc("n"), "lang", "gram").limit(grams).collect():  # bounded by grams
+    for r in summed.withColumn("at", F.row_number().over(best)).where(F.col("at") <= grams).orderBy("lang", "at").collect():  # bounded by the sample, and by grams for each language
         (scripts if r.gram[0] == "\n" else counts).setdefault(r.lang, {})[r.gram.strip("\n")] = r.n
     return {"langs": sorted(scripts), "scripts": scripts, "counts": counts}
 
@@ -133,7 +138,8 @@ class Scorer:
         rows = [logs.get(marked[i : i + 3], unseen) for i in range(len(letters))]
         scores = [sum(x) for x in zip(*rows, strict=True)]
         best = max([scores[k] for k in fits])
-        return self.pack(*[max(-WORD_MOST, x - best) if k in fits else -WORD_MOST for k, x in enumerate(scores)], len(letters))
+        least = -WORD_MOST * max(1.0, len(letters) / WORD_LETTERS)  # a long run without white space says as much as several words
+        return self.pack(*[max(least, x - best) if k in fits else least for k, x in enumerate(scores)], len(letters))
 
     def _script(self, letters: str) -> str:
         return Counter(map(self.scripts.__getitem__, letters)).most_common(1)[0][0]
@@ -147,7 +153,7 @@ class Scorer:
         return viterbi(found[:, :-1].astype(float)), found[:, -1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
+        words = (text or "").split()
         if not words or not self.langs:
             return "und", 0.0
         labels, letters = self.labels(words)
@@ -159,7 +165,7 @@ class Scorer:
         return self.langs[k], float(weight[k] / total)
 
     def spans(self, text: str | None) -> list[dict]:
-        words = words_of(text or "")
+        words = (text or "").split()
         if not words or not self.langs:
             return []
         labels, letters = self.labels(words)
@@ -205,7 +211,11 @@ def _scorer(key: str, model: dict) -> Scorer:
 
 def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, lang_pred (``und`` for a null text or one without a letter), score (the share of letters in spans of
-    that language) and spans (first and last word, lang). Other columns are left out, so none can clash."""
+    that language) and spans (first and last word, lang; words are what white space separates).
+
+    Rows that repeat, or have no id, each have their own row; of equally likely languages the first by name is taken; other
+    columns are left out, so none can clash; an empty table gives an empty one. A model without languages gives ``und``.
+    """
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -218,7 +228,7 @@ def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: st
 
 
 def labelled(docs: DataFrame, model: dict) -> DataFrame:
-    """Per row: doc_id, lang_pred, score, as predicted() gives them, without the spans."""
+    """Per row: doc_id, lang_pred, score, as predicted() gives them for rows of any kind, without the spans."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -230,6 +240,7 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labelled() of all documents, by a model of those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out()))
     return labelled(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -39,6 +39,30 @@ def test_bpe_is_tiktokens(texts):
         assert coder.decode(ids, chunk=1) == text
 
 
+def test_bpe_is_tiktokens_for_every_letter_and_number():
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    coder = bpe.byte_bpe(path, pattern)
+    same = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    for start in range(0x80, 0x40000, 64):
+        text = "".join(f"{chr(c)}'s 1{chr(c)}a {chr(c)}" for c in range(start, start + 64) if not 0xD800 <= c < 0xE000)
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == same.encode_ordinary(text), hex(start)
+
+
+def test_bpe_query_is_the_librarys(spark, texts):
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    same = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = QUERIES["op3_byte_bpe"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = np.array(same.encode_ordinary(texts[r.doc_id] or ""), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
 def test_utf8_machine_is_pythons():
     draw = random.Random(5)
     for _ in range(500):
@@ -262,6 +286,51 @@ def test_language_spans():
     assert scorer.predict("123 ... !") == ("und", 0.0)
 
 
+def test_a_long_word_changes_no_other_word():
+    counts = {k: {g: 20 for g in language.grams_of(v)} for k, v in {"aa": "abcdefgh", "bb": "stuvwxyz"}.items()}
+    scorer = language.Scorer({"langs": ["aa", "bb"], "scripts": {k: {"latin": 99} for k in counts}, "counts": counts})
+    short, long = "abcdefgh" * 6, "stuvwxyz" * 9
+    alone = scorer.matrix([short])
+    assert (scorer.matrix([short, long])[0] == alone[0]).all()
+    assert [(s["first"], s["last"], s["lang"]) for s in scorer.spans(f"{short} {short} {long} {long}")] == [(0, 1, "aa"), (2, 3, "bb")]
+    assert scorer.predict(long * 1000 + " " + short) == ("bb", pytest.approx(72000 / 72048))
+
+
+def test_rare_languages_keep_their_rows(spark):
+    rows = [(i, "common words of it", "aa") for i in range(500)] + [(500 + i, "xyzzy", "rare") for i in range(3)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=40)
+    assert model["langs"] == ["aa", "rare"] and model["counts"]["rare"]["xyz"] == 3
+    assert 0 < model["counts"]["aa"]["com"] < 60
+
+
+def test_language_query_is_brute_forces(spark, texts):
+    """The query's rows, from the model that it learns, by an exhaustive search over labels of each text's first words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scorer = language.Scorer(language.learn(docs.where(language.held_out() == False)))  # noqa: E712
+    found = {r.doc_id: r for r in QUERIES["op7_language_id"](spark, SF).collect()}
+    k = len(scorer.langs)
+    for doc_id in sorted(texts)[:60]:
+        words = (texts[doc_id] or "").split()
+        scores = scorer.matrix(words)[:, :-1].astype(float) if words else np.zeros((0, k))
+        best = scores[0] if words else np.zeros(k)  # of all labellings that end in a label, by all predecessors
+        came = []
+        for row in scores[1:]:
+            all_ = best[:, None] - language.SWITCH * (1 - np.eye(k)) + row[None, :]
+            came.append(all_.argmax(0))
+            best = all_.max(0)
+        at = [int(best.argmax())] if words else []
+        for c in reversed(came):
+            at.append(int(c[at[-1]]))
+        weight = np.zeros(k)
+        for label, word in zip(reversed(at), words, strict=True):
+            weight[label] += len(language.letters_of(word))
+        r = found[doc_id]
+        if not weight.sum():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == scorer.langs[int(weight.argmax())] and r.score == pytest.approx(weight.max() / weight.sum())
+
+
 def test_maximal_segments_are_brute_forces():
     draw = random.Random(3)
 

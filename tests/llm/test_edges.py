@@ -91,6 +91,12 @@ def test_vectors_odd_rows(spark):
     assert hnsw.nearest(table.where("false"), "vec_id % 20 = 0").count() == 0
 
 
+def test_labels_other_than_0_and_1_are_left_out(spark):
+    rows = [(i, "vile words here" if i % 2 else "kind words there", t) for i, t in enumerate([0, 1, 2, None, 0, 1, -1, 0] * 6)]
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert model["odds"]["vile"] > 0 > model["odds"]["kind"]
+
+
 def test_pipeline_odd_rows(spark):
     docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, None)], "doc_id long, quality int, toxic int")

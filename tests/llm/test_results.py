@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -341,11 +342,55 @@ def test_maximal_segments_are_brute_forces():
         i, j = -best[2], -best[2] - best[1]
         return brute(scores[:i]) + [(i, j - 1, best[0])] + [(a + j, b + j, s) for a, b, s in brute(scores[j:])]
 
-    for _ in range(200):
-        scores = [draw.choice([-0.25, -0.25, 0.3, 1.1]) for _ in range(draw.randrange(14))]
-        at = [i for i, s in enumerate(scores) if s > 0]
-        found = toxicity.maximal_segments(at, [scores[i] for i in at], 0.25)
-        assert sum(s for *_, s in found) == pytest.approx(sum(s for *_, s in brute(scores)))
+    for _ in range(400):
+        scores = [draw.choice([-0.26, -0.75, 0.3, 1.1]) for _ in range(draw.randrange(16))]
+        found = toxicity.maximal_segments(np.array(scores))
+        assert [x[:2] for x in found] == [x[:2] for x in brute(scores)]
+        assert [x[2] for x in found] == pytest.approx([x[2] for x in brute(scores)])
+
+
+def test_maximal_segments_take_linear_time():
+    for one in ([0.5, -0.6], [0.5, -0.4]):
+        scores = np.array(one * 200_000)
+        began = time.time()
+        found = toxicity.maximal_segments(scores)
+        assert len(found) == (200_000 if sum(one) < 0 else 1) and time.time() - began < 10
+
+
+def test_extreme_values_are_fitted():
+    draw = np.random.default_rng(1)
+    n = draw.integers(5, 3000, 20_000).astype(float)
+    best = (np.log(0.02 * n) - np.log(-np.log(draw.random(len(n))))) / 1.7
+    rate, k = toxicity.extreme_value_fit(n, best)
+    assert rate == pytest.approx(1.7, rel=0.03) and k == pytest.approx(0.02, rel=0.15)
+
+
+def test_toxicity_query_is_brute_forces(spark, texts):
+    """The query's scores, from the model that it learns, with every stretch of words tried."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(toxicity.training_rows(docs, labels))
+    known = lambda w: next((model["odds"][f] for f in toxicity.features_of(toxicity.normal(w)) if f in model["odds"]), 0.0)
+
+    def brute(scores):
+        if len(scores) == 0 or max(scores) <= 0:
+            return []
+        sums = np.concatenate(([0.0], np.cumsum(scores)))
+        gain = sums[None, :] - sums[:, None]
+        i, j = np.unravel_index(np.triu(gain, 1).argmax(), gain.shape)
+        return [*brute(scores[:i]), gain[i, j], *brute(scores[j:])]
+
+    found = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, SF).collect()}
+    assert sorted(found) == sorted(texts)
+    for doc_id, text in texts.items():
+        words = (text or "").split()
+        if len(words) < 1500:
+            chance = np.log(model["k"] * max(1, len(words)))
+            evidence = sum(max(0.0, model["lambda"] * s - chance) for s in brute([known(w) - toxicity.DRIFT for w in words]))
+            a, b = model["logistic"]
+            p = 1 / (1 + np.exp(-np.clip(a + b * np.log1p(evidence), -30, 30)))
+            assert found[doc_id].score == pytest.approx(p, rel=1e-3, abs=1e-4)
+            assert found[doc_id].predicted == (found[doc_id].score >= 0.3)
+            assert found[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
 
 
 def test_toxicity_held_out(spark):
@@ -353,7 +398,7 @@ def test_toxicity_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     rows = [r for r in QUERIES["op10_toxicity"](spark, d).collect() if r.held_out and r.doc_id in labels]
     hit = sum(r.predicted and labels[r.doc_id] for r in rows)
-    assert hit > 0.7 * sum(labels[r.doc_id] for r in rows) and hit > 0.7 * sum(r.predicted for r in rows)
+    assert hit > 0.83 * sum(labels[r.doc_id] for r in rows) and hit > 0.88 * sum(r.predicted for r in rows)
 
 
 def test_packing(spark, texts):

@@ -2,11 +2,15 @@
 
 Texts with equal sets of n-grams are one class, of which the document with the smallest id stands for all. In a global order
 of n-grams, rare ones first, two similar sets share one of the first few: each set's prefix. Documents that share a prefix
-n-gram, near enough in size and position to be similar at all, meet under a key: the n-gram's first document. Under a key
-the overlap of all pairs is counted by vertical fragments: the n-grams are cut, in order, into fragments; each gives partial
-counts for a tile of pairs, and the sums decide. Only a spanning forest of the links leaves a tile, as few rows as it has
-documents; so a group of many near copies doesn't become all its pairs. Links become components in rounds of star
-contractions over written tables.
+n-gram, near enough in size and position to be similar at all, meet under a key: the n-gram's first document.
+
+What meets is counted by vertical partitioning. The global order is cut into fragments, and each set with it into segments. A
+segment goes to the task of its key and fragment, where its overlap with others is counted: a partial count of the pair. The
+sums per pair decide. So that a group of many near copies doesn't become all its pairs, first only the pairs of each document
+with one pivot are counted, in rounds while these settle much. Similarity is a metric: what is linked to a pivot needs no pair
+among itself, and what is far from it only what is as far. The pairs that are left are counted in tiles; a fragment leaves out
+those that can't be similar even if they agree in all other fragments. Links become components in rounds of star contractions
+over written tables.
 
 The order only needs to be the same for all; it puts an n-gram last that some task saw often, so that a passage which many
 documents share isn't in their prefixes unless they consist of it. Documents with such an n-gram in their prefix meet under
@@ -21,6 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +39,19 @@ FREQUENT, BLOCK = 4, 4_000_000
 ORDERED = 2_000_000
 #: Of the documents with one n-gram, pairs are made and their common n-grams counted where there are so many at most; of
 #: more, all meet under the n-gram.
-PAIRED = 256
-#: Documents on each side of a tile, and n-grams in a fragment.
-TILE, FRAGMENT = 1024, 2048
-#: Members' ids are broadcast up to so many; beyond, the join is a shuffled one.
+PAIRED = 12
+#: Fragments of the global order: its rare n-grams by hash into all but one, the frequent ones.
+FRAGMENTS = 4
+#: Documents of a block, which meet a pivot, or another block in a tile, in one task; columns of its matrices at once.
+TILE, COLUMNS = 1024, 2048
+#: Rounds of pivots go on while one leaves less than this share of the members.
+SETTLED = 0.5
+#: Rows are broadcast up to so many; beyond, the join is a shuffled one, but for keys with very many rows.
 BROADCAST_IDS = 2_000_000
+#: Keys with more rows than this aren't joined by a shuffle (or with a larger number, that at most BROADCAST_IDS have).
+HOT_ROWS = 1000
+#: Bytes of sets that leave a task at once.
+BATCH_BYTES = 32 << 20
 KEPT = 600_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -80,15 +93,16 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-SETS = "doc_id long, n long, high long, low long, gram long, seen long"
+SETS = "doc_id long, n long, high long, low long, grams binary, gram long, seen long"
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n (size of its set), high and low (a 128-bit digest of it); and per block of a task the n-grams that
-    FREQUENT or more of its different sets have: gram, seen, and in doc_id the smallest id among them."""
+    """Per row: doc_id, n (size of its set), high and low (a 128-bit digest of it), grams (its members, ascending); and per
+    block of a task the n-grams that FREQUENT or more of its different sets have: gram, seen, and in doc_id the smallest id
+    among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "high", "low", "gram", "seen"]
+        names = ["doc_id", "n", "high", "low", "grams", "gram", "seen"]
         grams: list[np.ndarray] = []
         owners: list[tuple[int, int]] = []
         known: set[bytes] = set()
@@ -106,22 +120,31 @@ def described(docs: DataFrame) -> DataFrame:
                 often = sizes >= FREQUENT
                 at = starts[often]
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), none, none, none, pa.array(all_grams[at].view(np.int64)), pa.array(sizes[often].astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), none, none, none, pa.nulls(len(at), pa.binary()), pa.array(all_grams[at].view(np.int64)), pa.array(sizes[often].astype(np.int64))], names=names)
             grams, owners, known, held = [], [], set(), 0
 
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), pa.array([r[4] for r in rows], pa.binary()), none, none], names=names)
+
         for batch in batches:
             rows: list[tuple] = []
+            size = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingles(text)
-                digest = blake2b(found.tobytes(), digest_size=16).digest()
-                rows.append((doc_id, len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+                data = found.tobytes()
+                digest = blake2b(data, digest_size=16).digest()
+                rows.append((doc_id, len(found), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), data))
+                size += len(data)
+                if size > BATCH_BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
                 if len(found) and doc_id is not None and digest not in known:
                     known.add(digest)
                     grams.append(found)
                     owners.append((doc_id, len(found)))
                     held += len(found)
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)), none, none], names=names)
+            yield made(rows)
             if held > BLOCK:
                 yield from frequent()
         yield from frequent()
@@ -152,21 +175,20 @@ def in_order(found: np.ndarray, order: tuple[np.ndarray, np.ndarray, np.ndarray]
     return found[sort], at[sort]
 
 
-def members(docs: DataFrame, order: tuple) -> DataFrame:
-    """(doc_id, key): documents that can be similar to another one meet under a key.
+def members(sets: DataFrame, shared: Broadcast) -> DataFrame:
+    """(doc_id, key): documents that can be similar to another one meet under a key. sets has (doc_id, grams), shared the
+    global order.
 
     Similar sets share not just one n-gram of their prefixes but many: of each at most as many are not in the other as its
     size exceeds the least overlap. So a pair that shares too few goes, which leaves out chance matches.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(order)
-
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(gram, n, frequent, doc_id) for each rare n-gram of a prefix, n being the size of the set and frequent how many
         others the prefix has; for those with a key, (key, -1, 0, doc_id)."""
         for batch in batches:
             parts: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingles(text)
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.frombuffer(data, "<u8")
                 n = len(found)
                 if not n:
                     continue
@@ -219,7 +241,7 @@ def members(docs: DataFrame, order: tuple) -> DataFrame:
             out.append((ids[a][good], ids[b][good], np.maximum(need, 1)[good]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "need"])
 
-    made = docs.select("doc_id", "text").mapInArrow(entries, "gram long, n int, frequent int, doc_id long")
+    made = sets.select("doc_id", "grams").mapInArrow(entries, "gram long, n int, frequent int, doc_id long")
     # A frequent n-gram's key isn't what its rows are dealt by: they meet later, under each key in tiles.
     dealt = made.repartition(F.when(F.col("n") < 0, F.col("doc_id")).otherwise(F.col("gram"))).sortWithinPartitions("gram", "doc_id")
     pairs = dealt.mapInArrow(meet, "a long, b long, need int").groupBy("a", "b", (F.col("need") < 0).alias("keyed")).agg(F.count("*").alias("common"), F.max("need").alias("need"))
@@ -235,78 +257,158 @@ def members(docs: DataFrame, order: tuple) -> DataFrame:
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Overlap of each set on the left with each on the right: partial counts by fragments of the n-grams' order, summed."""
+    """Overlap of each set on the left with each on the right."""
     counts = np.zeros((len(left), len(right)), np.float32)
     a, b = np.concatenate(left), np.concatenate(right)
     of_a, of_b = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
     shared = np.intersect1d(a, b)
-    for at in range(0, len(shared), FRAGMENT):
-        fragment = shared[at : at + FRAGMENT]
+    for at in range(0, len(shared), COLUMNS):
+        some = shared[at : at + COLUMNS]
         sides = []
         for grams, of, n in ((a, of_a, len(left)), (b, of_b, len(right))):
-            place = np.minimum(np.searchsorted(fragment, grams), len(fragment) - 1)
-            has = fragment[place] == grams
-            side = np.zeros((n, len(fragment)), np.float32)
+            place = np.minimum(np.searchsorted(some, grams), len(some) - 1)
+            has = some[place] == grams
+            side = np.zeros((n, len(some)), np.float32)
             side[of[has], place[has]] = 1
             sides.append(side)
         counts += sides[0] @ sides[1].T
-    return counts
-
+    return counts.astype(np.int64)
 
-def forest(rows: np.ndarray, columns: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Of links between left[rows] and right[columns], few that connect the same documents: each with the smallest it reaches."""
-    parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
-        return x
+def segments(found: np.ndarray, order: tuple) -> list[np.ndarray]:
+    """A set cut at the borders of the global order's fragments."""
+    frequent = order[0]
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        last = frequent[at] == found
+        found, often = found[~last], found[last]
+    else:
+        often = found[:0]
+    borders = [np.uint64((k << 64) // (FRAGMENTS - 1)) for k in range(1, FRAGMENTS - 1)]
+    return [*np.split(found, np.searchsorted(found, borders)), often]
 
-    for a, b in zip(left[rows].tolist(), right[columns].tolist(), strict=True):
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return [(x, root(x)) for x in list(parent) if root(x) != x]
 
+#: What goes to a task for a place that a document has: as pivot (side 1, with the block of members that it meets) or not.
+PLACES = "array<struct<key: long, i: int, j: int, side: int, label: long>>"
+PARTIAL = "key long, a long, a_tag int, a_n int, b long, b_tag int, b_n int, common long"
 
-def links(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """(a, b), a > b: similar documents, as few of them as give the same components."""
 
-    where = pa.list_(pa.struct([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32())]))
+def dealt(sets: DataFrame, places: DataFrame, shared: Broadcast) -> DataFrame:
+    """A row for each segment of a set (doc_id, n, high, grams), in each place (key, i, j, side, label) of its document."""
+    listed = saved(places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "i", "j", "side", "label")).alias("places")), "places")  # a document's own
+    few = listed.count() <= BROADCAST_IDS
+    here = sets.join(F.broadcast(listed) if few else listed, "doc_id").select("doc_id", F.col("n").cast("int").alias("n"), F.shiftright("high", 33).cast("int").alias("tag"), "grams", F.col("places").cast(PLACES).alias("places"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "tag", "places", "fragment", "sizes", "grams"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), batches_type, pa.int32(), pa.list_(pa.int32()), pa.binary())
         for batch in batches:
-            grams = pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), grams, batch.column(2).cast(where)], names=["doc_id", "grams", "tiles"])
-
-    def tile(key: tuple, group: pa.Table) -> pa.Table:
-        ids, sides = group.column("doc_id").to_numpy(), group.column("side").to_numpy()
-        grams = [np.frombuffer(g.as_py(), "<u8") for g in group.column("grams")]
-        same = key[1].as_py() == key[2].as_py()
-        first, second = np.flatnonzero(sides == 0), np.flatnonzero(sides == (0 if same else 1))
-        out: list[tuple[int, int]] = []
-        if len(first) and len(second) and (not same or len(first) > 1):
-            left, right = [grams[i] for i in first], [grams[i] for i in second]
-            na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-            o = overlaps(left, right).astype(np.int64)
-            rows, columns = np.nonzero(100 * o >= PERCENT * (na[:, None] + nb[None, :] - o))
-            out = forest(rows, columns, ids[first], ids[second])
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    groups = met.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / TILE).cast("int")
-    placed = met.join(groups.withColumn("blocks", blocks), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    placed = saved(placed.select("doc_id", "key", "blocks", "block"), "members")
-    # A block goes to the tiles with itself, with those before it (as the second side) and with those after it.
-    tiles = placed.select("doc_id", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tile_of = F.struct("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    listed = saved(tiles.select("doc_id", tile_of.alias("tile")).groupBy("doc_id").agg(F.collect_list("tile").alias("tiles")), "tiles")
-    few = tiles.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(listed) if few else listed, "doc_id")
-    found = texts.mapInArrow(sets, "doc_id long, grams binary, tiles array<struct<key: long, i: int, j: int, side: int>>")
-    spread = found.select("doc_id", "grams", F.explode("tiles").alias("t")).select("doc_id", "grams", "t.key", "t.i", "t.j", "t.side")
-    return spread.groupBy("key", "i", "j").applyInArrow(tile, "a long, b long")
+            rows: list[tuple] = []
+            size = 0
+            for doc_id, n, tag, data, where in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                parts = segments(np.frombuffer(data, "<u8"), shared.value)
+                sizes = [len(x) for x in parts]
+                rows += [(doc_id, n, tag, where, f, sizes, x.tobytes()) for f, x in enumerate(parts) if len(x)]
+                size += len(data)
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    batches_type = pa.list_(pa.struct([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("label", pa.int64())]))
+    made = here.mapInArrow(cut, f"doc_id long, n int, tag int, places {PLACES}, fragment int, sizes array<int>, grams binary")
+    spread = made.withColumn("p", F.explode("places"))
+    return spread.select("p.key", "p.i", "p.j", "fragment", "p.side", "p.label", "doc_id", "tag", "n", "sizes", "grams")
+
+
+def _partial(key: tuple, group: pa.Table) -> pa.Table:
+    """Partial counts of the pairs of one place and fragment: of members with their pivot (i below 0), or of a tile's blocks."""
+    ids, tags, n, sides, labels = (group.column(c).to_numpy() for c in ("doc_id", "tag", "n", "side", "label"))
+    _, once = np.unique(np.rec.fromarrays([ids, tags, sides]), return_index=True)  # rows that repeat count once
+    star, same = key[1].as_py() < 0, key[1].as_py() == key[2].as_py()
+    first, second = once[sides[once] == 0], once[sides[once] == (0 if same else 1)]
+    out = (np.zeros(0, np.int64),) * 7
+    if len(first) and len(second):
+        grams = [np.frombuffer(x.as_py(), "<u8") for x in group.column("grams")]
+        counts = overlaps([grams[x] for x in first], [grams[x] for x in second])
+        keep = (counts > 0) & ((ids[first][:, None] != ids[second][None, :]) | (tags[first][:, None] != tags[second][None, :]))
+        if not star:
+            # Together with all that the other fragments could give it must be enough; and what has one pivot is linked already.
+            sizes = np.array(group.column("sizes").to_pylist())
+            fragment = key[3].as_py()
+            most = counts.copy()
+            for f in range(sizes.shape[1]):
+                if f != fragment:
+                    most += np.minimum(sizes[first, f][:, None], sizes[second, f][None, :])
+            keep &= most >= least_overlap(n[first].astype(np.int64)[:, None], n[second].astype(np.int64)[None, :])
+            keep &= (labels[first][:, None] != labels[second][None, :]) | (labels[first] == NO_LABEL)[:, None]
+            if same:
+                keep &= np.triu(np.ones(keep.shape, bool), 1)
+        i, j = np.nonzero(keep)
+        out = (ids[first][i], tags[first][i], n[first][i], ids[second][j], tags[second][j], n[second][j], counts[i, j])
+    columns = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+    return pa.table([pa.array(np.full(len(out[0]), key[0].as_py(), np.int64)), *columns], names=["key", "a", "a_tag", "a_n", "b", "b_tag", "b_n", "common"])
+
+
+#: The label of a member that no pivot is linked to; ids themselves are labels otherwise.
+NO_LABEL = -(1 << 63)
+
+
+def counted(sets: DataFrame, places: DataFrame, shared: Broadcast) -> DataFrame:
+    """(a, b, distance, linked) of the pairs that meet in places: partial counts by fragment, summed per pair."""
+    partial = dealt(sets, places, shared).groupBy("key", "i", "j", "fragment").applyInArrow(_partial, PARTIAL)
+    pairs = partial.groupBy("key", "a", "a_tag", "b", "b_tag").agg(F.sum("common").alias("o"), F.first("a_n").alias("x"), F.first("b_n").alias("y"))
+    union = F.col("x") + F.col("y") - F.col("o")
+    # Of different texts under one id the nearest decides.
+    return pairs.groupBy("a", "b").agg(F.min(1 - F.col("o") / union).alias("distance"), F.max(100 * F.col("o") >= PERCENT * union).alias("linked"))
+
+
+def links(sets: DataFrame, met: DataFrame, shared: Broadcast) -> DataFrame:
+    """(a, b): similar documents among those that meet (doc_id, key), as few pairs as give the same components, and some more."""
+    within = 1 - PERCENT / 100
+    open_ = met.withColumn("label", F.lit(NO_LABEL))
+    found: list[DataFrame] = []
+    before = None
+    while True:
+        groups = open_.groupBy("key").agg(F.count("*").alias("size"), F.min(F.when(F.col("label") == NO_LABEL, F.col("doc_id"))).alias("pivot")).where("size > 1")
+        blocks = F.ceil(F.col("size") / TILE).cast("int")
+        placed = saved(open_.join(groups.withColumn("blocks", blocks), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
+        size = placed.count()
+        if not size:
+            break
+        if before is not None and size > SETTLED * before:
+            # A block goes to the tiles with itself, with those before it (as the second side) and with those after it.
+            tiles = placed.select("doc_id", "key", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            places = tiles.select("doc_id", "key", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+            found.append(saved(counted(sets, places, shared).where("linked").select("a", "b"), "links"))
+            break
+        before = size
+        pivots = placed.where("doc_id = pivot").select("doc_id", "key", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).withColumns({"i": F.lit(-1), "side": F.lit(1)})
+        others = placed.where("doc_id <> pivot").select("doc_id", "key", "label", F.col("block").alias("j"), F.lit(-1).alias("i"), F.lit(0).alias("side"))
+        near = saved(counted(sets, others.unionByName(pivots), shared), "near")
+        found.append(near.where("linked").select("a", "b"))
+        # What isn't linked to the pivot may be to each other, or to what is, if that is as far from it but for the threshold.
+        known = placed.where("doc_id <> pivot").join(near.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "distance", "linked"), ["doc_id", "pivot"], "left")
+        known = saved(known.select("doc_id", "key", "pivot", "label", F.coalesce("distance", F.lit(1.0)).alias("distance"), F.coalesce("linked", F.lit(False)).alias("linked")), "known")
+        rest = known.where("not linked").groupBy("key").agg(F.min("distance").alias("least"))
+        label = F.when(F.col("linked"), F.coalesce(F.nullif("label", F.lit(NO_LABEL)), "pivot")).otherwise(F.col("label"))
+        open_ = known.join(rest, "key").where(f"not linked or distance >= least - {within} - 1e-9").select("doc_id", "key", label.alias("label"))
+    none = sets.sparkSession.createDataFrame([], "a long, b long")
+    for one in found:
+        none = none.union(one)
+    return none
+
+
+def by_key(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """rows inner joined with one, which has a row for each key, with ``copies``, how many of rows have it. one is broadcast if
+    it is small; else what is shuffled leaves out keys with very many rows, whose part of one is broadcast: of such there are
+    at most BROADCAST_IDS."""
+    if one.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(one.drop("copies")), keys)
+    hot = max(HOT_ROWS, one.agg(F.sum("copies")).first()[0] // BROADCAST_IDS)
+    large, small = one.where(F.col("copies") > hot).drop("copies"), one.where(F.col("copies") <= hot).drop("copies")
+    return rows.join(F.broadcast(large), keys).unionByName(rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -314,10 +416,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies")).select("a", F.least("a", "m").alias("m"), "copies"), "least")
+        large = by_key(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = saved(large, "edges")
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies")), "least")
+        small = by_key(large, least, ["a"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = saved(small, "edges")
         same = after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty()
         edges = after
@@ -328,28 +431,36 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
-    Null and empty texts have an empty set and link with nothing, not with each other either. Equal sets link. Rows that
-    repeat each have a row. Other columns are left out, so none can clash; an empty table gives an empty result.
+    Null and empty texts have an empty set and link with nothing, not with each other either. Equal sets link. A row without
+    a doc_id can't be named by another one: it links with nothing, and its component_id is null. Rows that repeat each have a
+    row; different texts with one doc_id are one node. Other columns are left out, so none can clash; an empty table gives an
+    empty result.
     """
     found = saved(described(docs), "sets")
-    rows = found.where("gram is null").select("doc_id", "n", "high", "low")
-    classes = rows.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("first"))
-    # A class's rows join by its digest; a large class is split by Spark's own handling of skew.
-    assigned = saved(rows.join(classes, ["high", "low"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("first")), "classes")
-    copies = assigned.where("first <> doc_id").select("doc_id").distinct()
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    sets = found.where("gram is null and n > 0 and doc_id is not null").select("doc_id", "n", "high", "low", "grams")
+    rows = found.where("gram is null").select("doc_id", F.col("n").alias("n_shingles"), "high", "low")
+    classes = saved(sets.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "classes")
+    copies = saved(by_key(sets.select("doc_id", "high", "low"), classes, ["high", "low"]).where("first <> doc_id").select("doc_id", "high", "low", "first"), "copies")
     # Copies are left out where they are few enough to broadcast; else they stay, and only link with what their class links with.
-    few = copies.count() <= BROADCAST_IDS
-    different = texts.join(F.broadcast(copies), "doc_id", "left_anti") if few else texts.join(copies, "doc_id", "left_anti")
-    met = members(different, global_order(found))
-    grouped = components(links(different, met))
-    return (
-        assigned.join(grouped, F.col("first") == F.col("node"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
-    )
+    ids = copies.select("doc_id", "high", "low").distinct()
+    few = ids.count() <= BROADCAST_IDS
+    different = sets.join(F.broadcast(ids) if few else ids, ["doc_id", "high", "low"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(global_order(found))
+    met = members(different, shared)
+    # Different texts under one doc_id are tied together by it: then a copy and the one that stands for its class are a link.
+    several = sets.groupBy("doc_id").count().where("count > 1")
+    tied = copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    grouped = saved(components(links(different, met, shared).union(tied)), "components")
+    # A copy not among them has the component of the one that stands for its class.
+    firsts = copies.join(grouped, F.col("doc_id") == F.col("node"), "left_anti").select("doc_id", "first").distinct()
+    stand = firsts.groupBy("first").agg(F.count("*").alias("copies")).join(grouped, F.col("first") == F.col("node"), "left").select("first", F.coalesce("component", "first").alias("component"), "copies")
+    named = saved(grouped.select(F.col("node").alias("doc_id"), "component").unionByName(by_key(firsts, saved(stand, "stand"), ["first"]).select("doc_id", "component")), "named")
+    few = named.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(named) if few else named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -65,6 +65,16 @@ def test_equal_texts_get_equal_results(spark):
     assert groups[0].n_shingles == 0 and groups[4].n_shingles == 1
 
 
+@pytest.mark.parametrize("few", [2_000_000, 1])
+def test_near_duplicates_without_an_id_or_with_one_id_twice(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 1)
+    other = "seven eight nine ten eleven twelve"
+    rows = [(None, TEXTS[5]), (None, TEXTS[5]), (3, TEXTS[5]), (2, TEXTS[5]), (9, TEXTS[5]), (9, other), (8, other), (7, None), (None, None)]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in out) == [(0, 0, 0), (0, 0, 2), (0, 0, 2), (2, 2, 2), (3, 2, 2), (7, 7, 0), (8, 2, 2), (9, 2, 2), (9, 2, 2)]
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, 0, "user", None, "x"), (1, 1, "assistant", "<|im_end|>\\<|", "x"), (1, 1, "assistant", "", "x"), (2, None, None, "t", "x"), (None, 0, "assistant", LONG, "x")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")

@@ -230,9 +230,13 @@ def brute_components(texts):
     return {i: root(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("tile", [1024, 8])
-def test_near_duplicates_are_brute_forces(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "few", "settled"), [(1024, 2_000_000, 0.5), (8, 1, 0.0)])
+def test_near_duplicates_are_brute_forces(spark, monkeypatch, tile, few, settled):
+    """As it is; and with blocks of few documents, shuffled joins and tiles right after the first pivots."""
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    monkeypatch.setattr(jaccard, "SETTLED", settled)
     draw = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [draw.choices(vocabulary, k=60) for _ in range(6)]
@@ -251,6 +255,20 @@ def test_near_duplicates_are_brute_forces(spark, monkeypatch, tile):
     assert len(set(roots.values())) < len(roots)
 
 
+def test_partial_overlaps_are_counted_by_fragment(spark):
+    draw = random.Random(2)
+    texts = {i: " ".join(draw.choices("abcdefgh", k=draw.randint(1, 40))) for i in range(12)}
+    sets = {i: jaccard.shingles(t, 2) for i, t in texts.items()}
+    order = (np.sort(np.concatenate([sets[0], sets[1]]))[:9], None, None)
+    for x in sets.values():
+        parts = jaccard.segments(x, order)
+        assert len(parts) == jaccard.FRAGMENTS and sorted(np.concatenate(parts).tolist()) == sorted(x.tolist())
+        assert set(parts[-1].tolist()) == set(x.tolist()) & set(order[0].tolist())
+    for i, j in itertools.combinations(sets, 2):
+        partial = [np.intersect1d(a, b).size for a, b in zip(jaccard.segments(sets[i], order), jaccard.segments(sets[j], order))]
+        assert sum(partial) == np.intersect1d(sets[i], sets[j]).size
+
+
 def test_near_duplicates_query(spark, texts):
     roots, _ = brute_components(texts)
     assert {r.doc_id: r.component_id for r in QUERIES["op5_ngram_jaccard"](spark, SF).collect()} == roots

@@ -214,6 +214,45 @@ def test_nearest_neighbours_recall(spark):
     assert hits >= 0.95 * total
 
 
+def made_vectors(n, dim=24, seed=3):
+    """Clusters of unlike sizes, vectors of unlike norms, and one vector out of ten without a cluster."""
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(60, dim))
+    of = np.minimum(draw.geometric(0.05, n) - 1, 59)
+    points = centres[of] + 0.35 * draw.normal(size=(n, dim))
+    points[::10] = draw.normal(size=(len(points[::10]), dim))
+    return points * draw.uniform(0.7, 1.4, (n, 1))
+
+
+def test_recall_of_one_graph():
+    """A shard of many times the breadth: the graph is searched, not scanned."""
+    points = made_vectors(20_000)
+    norm = float((points * points).sum(1).max())
+    graph = hnsw.Graph(hnsw._augmented(points, norm))
+    hits = 0
+    for q in points[::199]:
+        found = graph.search(np.append(q, 0.0).astype(np.float32), hnsw.SEARCH_BREADTH)
+        hits += len(set(np.argsort(-(points @ q))[:20].tolist()) & set(sorted(found, key=lambda x: -(points[x] @ q))[:20]))
+    assert hits >= 0.95 * 20 * 101
+
+
+def test_recall_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "CELL_NODES", 2000)
+    monkeypatch.setattr(hnsw, "SHARD_NODES", 2500)
+    points = made_vectors(20_000).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id long, embedding array<float>").repartition(4)
+    found = {}
+    for r in hnsw.nearest(table, "vec_id % 99 = 0").collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q, near in found.items():
+        scores = points @ points[q]
+        order = [i for i in np.lexsort((np.arange(len(points)), -scores)) if i != q][:20]
+        assert len(near) == 20 and all(abs(s - scores[i]) < 1e-9 for _, i, s in near)
+        hits += len({i for _, i, _ in near} & set(order))
+    assert len(found) == 203 and hits >= 0.95 * 20 * 203
+
+
 def brute_components(texts):
     sets = {i: frozenset(jaccard.shingles(t).tolist()) for i, t in texts.items()}
     parent = {i: i for i in sets}

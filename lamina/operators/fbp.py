@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .lines import along
-from .radon import back_projected
+from .radon import back_projected, back_projected_by_lines
 
 FILTERS = ("none", "ramp", "shepp", "cosine", "cosine2", "hamming", "hann", "parzen")
 #: Points of the quadrature and samples of its linear end (fixed values).
@@ -79,3 +79,8 @@ def filtered(stack: DataFrame, name: str = "ramp") -> DataFrame:
 def reconstructed(stack: DataFrame, name: str = "ramp") -> DataFrame:
     """(z, y, x, v) from projections (t, z, x, v) at evenly spaced angles over half a turn."""
     return back_projected(filtered(stack, name))
+
+
+def reconstructed_by_lines(stack: DataFrame, n: int, angles: int, name: str = "ramp") -> DataFrame:
+    """reconstructed() for slices (n x n) of any size."""
+    return back_projected_by_lines(filtered(stack, name), n, angles)

@@ -99,3 +99,13 @@ def diagonal_tiles(scans: DataFrame) -> DataFrame:
 def magnification(r1: Column, r2: Column) -> Column:
     """Of a cone beam with the sample at r1 and the detector r2 behind it; a parallel beam has 1."""
     return (r1 + r2) / r1
+
+
+def cone_column(x: Column, z: Column, r1: Column, r2: Column) -> Column:
+    """Where on the detector a ray through (x, z) of the sample ends, z counted along the beam from the sample's centre."""
+    return x * (r1 + r2) / (r1 + z)
+
+
+def cone_spread(width: Column, thickness: Column, r1: Column) -> Column:
+    """How far the outermost ray of a field of view moves sideways within a sample: its angle times the thickness."""
+    return width / 2 / r1 * thickness

@@ -44,6 +44,15 @@ def placed(tile_pixels: DataFrame, tiles: DataFrame, half: int) -> DataFrame:
     return near.select("scan", (F.col("t") % half).cast("int").alias("t"), (F.col("r_lo") + F.col("z")).cast("int").alias("z"), column.cast("int").alias("x"), weight.cast("double").alias("w"), "v")
 
 
+def checked(tile_pixels: DataFrame, tiles: DataFrame) -> DataFrame:
+    """tile_pixels, if it has all tiles of the catalog; an error names those that it lacks. Runs a job over its keys."""
+    keys = ["scan", "zi", "xi"]
+    missing = tiles.select(*keys).join(tile_pixels.select(*keys).distinct(), keys, "left_anti").orderBy(*keys).limit(10).collect()
+    if missing:
+        raise ValueError(f"tiles without data: {', '.join(str(tuple(r)) for r in missing)}")
+    return tile_pixels
+
+
 def stitched(tile_pixels: DataFrame, tiles: DataFrame, half: int) -> DataFrame:
     """(scan, t, z, x, v): the weighted mean of all tiles that cover a pixel. Sums are made before the shuffle."""
     sums = placed(tile_pixels, tiles, half).groupBy("scan", "t", "z", "x").agg(F.sum(F.col("w") * F.col("v")).alias("_s"), F.sum("w").alias("_w"))

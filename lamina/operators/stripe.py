@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import product
 from math import comb
@@ -12,10 +13,23 @@ from pyspark.sql import DataFrame
 from .lines import planes
 
 
+#: Decomposition low-pass of sym16 (fixed values, as published).
+SYM16 = (
+    6.230006701220761e-06, -3.113556407621969e-06, -0.00010943147929529757, 2.8078582128442894e-05, 0.0008523547108047095, -0.0001084456223089688, -0.0038809122526038786, 0.0007182119788317892,
+    0.012666731659857348, -0.0031265171722710075, -0.031051202843553064, 0.004869274404904607, 0.032333091610663785, -0.06698304907021778, -0.034574228416972504, 0.39712293362064416,
+    0.7565249878756971, 0.47534280601152273, -0.054040601387606135, -0.15959219218520598, 0.03072113906330156, 0.07803785290341991, -0.003510275068374009, -0.024952758046290123,
+    0.001359844742484172, 0.0069377611308027096, -0.00022211647621176323, -0.0013387206066921965, 3.656592483348223e-05, 0.00016545679579108483, -5.396483179315242e-06, -1.0797982104319795e-05,
+)
+
+
 @lru_cache(maxsize=8)
 def scaling(name: str) -> np.ndarray:
     """Reconstruction low-pass of ``haar``, ``dbN`` or ``symN``, from the roots of the half-band polynomial: inside the unit
-    circle for dbN, for symN the choice of each pair whose phase is nearest to a line."""
+    circle for dbN, for other symN the choice of each pair whose phase is nearest to a line; ``sym16`` as published."""
+    if name == "sym16":
+        return np.array(SYM16[::-1])
+    if name != "haar" and not re.fullmatch(r"(db|sym)\d+", name):
+        raise ValueError(f"unknown wavelet {name}; expected haar, dbN or symN")
     order = 1 if name == "haar" else int(name[2:] if name[:2] == "db" else name[3:])
     if order == 1:
         return np.array([1.0, 1.0]) / np.sqrt(2)
@@ -81,7 +95,8 @@ def without_stripes(sino: np.ndarray, sigma: float = 2.0, wavelet: str = "sym16"
         low, high = analysed(v, la, ha, 1)
         (ll, lh), (hl, hh) = analysed(low, la, ha, 0), analysed(high, la, ha, 0)
         m = hl.shape[0]
-        at = np.fft.ifftshift((np.arange(-m, m, 2) + 1) / 2)[: m // 2 + 1]
+        k = np.arange(m // 2 + 1)
+        at = k if m % 2 else np.minimum(k + 0.5, m - k - 0.5)
         hl = np.fft.irfft(np.fft.rfft(hl, axis=0) * -np.expm1(-(at**2) / (2 * sigma**2))[:, None], n=m, axis=0)
         bands.append((lh, hl, hh))
         v = ll

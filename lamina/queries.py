@@ -292,6 +292,175 @@ def stripe_removal(spark, d):
     return rounded(stripe.stripes_removed(stack(spark, d), 2.0, "haar", 2), digits=5)
 
 
+def radon_by_lines(spark, d):
+    return rounded(radon.projected_by_lines(volume(spark, d), 16, 12), digits=3)
+
+
+def radon_adjoint_by_lines(spark, d):
+    return rounded(radon.back_projected_by_lines(stack(spark, d), 16, 12), digits=5)
+
+
+def paganin_by_lines(spark, d):
+    return rounded(wave.retrieved_by_lines(stack(spark, d).withColumn("v", 0.5 + F.col("v") / 100), 8, 16, 0.2), digits=5)
+
+
+def fbp_by_lines(spark, d):
+    return rounded(fbp.reconstructed_by_lines(stack(spark, d), 16, 12), digits=3)
+
+
+def radon_multiplier(spark, d):
+    return volume(spark, d).select("z", "y", "x", model.rounded(F.col("v") * radon.multiplier(16, 12), 9).alias("v"))
+
+
+def stitch_uneven(spark, d):
+    """Tiles that each have a level of their own: what their weights are decides the result."""
+    tiles = tiles_of(spark, d)
+    pixels = mosaic.cut(mosaic_stack(spark, d), tiles, 4).withColumn("v", F.col("v") + 100 * F.col("zi") + 10 * F.col("xi") + F.when(F.col("t") >= 4, 5).otherwise(0))
+    return rounded(mosaic.uncovered_filled(mosaic.stitched(mosaic.checked(pixels, tiles), tiles, 4), MOSAIC))
+
+
+def tile_files(spark, d):
+    """Tiles written, a folder each, and read again by the catalog."""
+    tiles = tiles_of(spark, d)
+    path = store.scratch(spark)
+    store.write_tiles(mosaic.cut(mosaic_stack(spark, d), tiles, 4), path)
+    return store.read_tiles(spark, path, tiles.where("zi <= xi")).groupBy("scan", "zi", "xi").agg(F.count("*").alias("n"), model.rounded(F.sum("v")).alias("total"))
+
+
+def store_box(spark, d):
+    """A stack written by bands, written again over it, and a box of it read: bands outside aren't opened."""
+    path = store.scratch(spark)
+    store.write(stack(spark, d).withColumn("v", F.col("v") + 1), path, "slice", band=2)
+    store.write(stack(spark, d), path, "slice", band=2)
+    return store.read(spark, path, "z", 3, 7, band=2).where("x >= 4 and x < 9").select("t", "z", "x", "v")
+
+
+def store_range(spark, d):
+    path = store.scratch(spark)
+    store.write(stack(spark, d), path, "proj", band=4)
+    return store.read(spark, path, "t", 5, 10, band=4).select("t", "z", "x", "v")
+
+
+def bank_files(spark, d):
+    """A stack in bank files: of chunks of 5 projections in 2 banks."""
+    path = store.scratch(spark)
+    store.write_banks(stack(spark, d), path, "proj", 5, 2)
+    return spark.read.parquet(path).groupBy("bank").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+def catalog_text(spark, d):
+    """The catalog written as text and parsed again."""
+    header = dict(NZ=24, N=40, DET_H=12, DET_W=16, n_z=2, n_x=2, NTHETA=8, N_HALF=4, OVERLAP=4)
+    path = store.scratch(spark)
+    store.catalog_lines(geometry.placements(part_scans(spark, d).where("scan % 10 = 3").withColumn("scan", F.lit(0))).distinct(), header).write.text(path)
+    found, rows = store.read_catalog(spark.read.text(path))
+    return rows.select(*store.CATALOG_COLUMNS, F.lit(found["N_HALF"]).alias("half"), "overlap").distinct()
+
+
+def tile_index(spark, d):
+    """Tiles by their file names; names that aren't such are left out."""
+    names = table(spark, d, "part").select(F.concat(F.lit("/a/"), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(F.col("p_size").cast("string")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".h5")).alias("path"))
+    return store.tile_names(names).select("zi", "xi")
+
+
+def rectangle(spark, d):
+    return reshape.rectangle(volume(spark, d), y=(3, 11), x=(2, 15))
+
+
+def sharp_mask(spark, d):
+    return volume(spark, d).withColumn("v", F.col("v") * reshape.circular_mask(F.col("y"), F.col("x"), 16, 6.0, 0.0))
+
+
+def zoom_xy(spark, d):
+    return rounded(resample.zoomed_axis(resample.zoomed_axis(volume(spark, d), "x", 16, 23), "y", 16, 21))
+
+
+def millimetres(spark, d):
+    """Pixels as millimetres and back, at each part's upsampling."""
+    pixel = geometry.pixel_um(F.col("p_size"))
+    return table(spark, d, "part").select("p_partkey", model.rounded(geometry.px_to_mm(F.col("p_retailprice"), pixel), 9).alias("mm"), model.rounded(geometry.mm_to_px(geometry.px_to_mm(F.col("p_retailprice"), pixel), pixel)).alias("px"), model.rounded(geometry.mm_to_px(F.col("p_retailprice"), pixel), 3).alias("of_mm"))
+
+
+def standard_geometry(spark, d):
+    """Scan parameters by upsampling, with the padding above the sample."""
+    ups = table(spark, d, "part").select(F.col("p_size").alias("ups")).distinct()
+    return geometry.standard_scans(ups).select("ups", *[F.col(c).cast("int").alias(c) for c in ("det_h", "det_w", "overlap", "nz", "z_pad")], "sample_r", "sample_h")
+
+
+def cone_geometry(spark, d):
+    r1, r2 = F.lit(50_000.0), F.col("p_size") * 100.0
+    return table(spark, d, "part").select(
+        "p_partkey", model.rounded(geometry.magnification(r1, r2), 9).alias("magnification"), model.rounded(geometry.cone_column(F.col("p_size") / 10.0, F.col("p_partkey") % 31 - 15.0, r1, r2), 9).alias("x_det"),
+        model.rounded(geometry.cone_spread(F.lit(4.46), F.col("p_size") * 1.0, r1), 9).alias("spread"),
+    )
+
+
+def fresnel_numbers(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", "p_size")
+    return parts.select("p_partkey", F.round(F.expr(f"{wave.fresnel_number(1.38e-6, 30.0, 1.0)!r}d") / (F.col("p_size") / 100.0), 6).alias("number"))
+
+
+def strip_order(spark, d):
+    return radon.in_strip_order(sample_points(spark, d), 8, 3).select("bin", F.col("place").cast("int").alias("place"), "t", "r")
+
+
+def theta_prefix(spark, d):
+    """The first half of the angles, with each projection's angle attached."""
+    angles = geometry.angles(spark.range(1).select(F.lit(12).alias("count")), F.col("count")).select("t", "theta_deg").where("t < 6")
+    return rounded(stack(spark, d).join(F.broadcast(angles), "t"), "theta_deg").select("t", "z", "x", "v", "theta_deg")  # a row for each angle
+
+
+def line_callback(spark, d):
+    """A callback on each line: its running sum, and its differences."""
+    import numpy as np
+
+    sums = lines.along(stack(spark, d), "x", ["t", "z"], lambda v: (np.cumsum(v, axis=1),)).withColumnRenamed("v", "total")
+    steps = lines.along(stack(spark, d), "x", ["t", "z"], lambda v: (np.diff(v, axis=1, prepend=0.0),)).withColumnRenamed("v", "step")
+    return rounded(sums.join(steps, ["t", "z", "x"]), "total", "step")
+
+
+def plane_callback(spark, d):
+    """A callback on each plane: its sums along one axis."""
+
+    def fn(at, plane):
+        return {"x": list(range(plane["v"].shape[1])), "v": plane["v"].sum(0)}
+
+    return rounded(lines.planes(stack(spark, d), ["z"], ("t", "x"), fn, "z int, x int, v double"))
+
+
+def cast_single(spark, d):
+    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 8).cast("int").alias("z")).agg(model.rounded(F.sum(F.col("l_extendedprice").cast("float").cast("double")), 3).alias("total"), F.max(F.col("l_tax").cast("float").cast("double")).alias("most"))
+
+
+def wavelet_bands(spark, d):
+    """One level of a Haar transform along each line: half as many averages and details."""
+
+    def fn(v):
+        low, high, *_ = stripe.filters("haar")
+        a, b = stripe.analysed(v, low, high, 1)
+        return a, b
+
+    def bands(v):
+        a, b = fn(v)
+        return a, b, stripe.synthesised(a, b, *stripe.filters("haar")[2:], 1)[:, : v.shape[1]][:, ::2]
+
+    found = lines.along(stack(spark, d).withColumns({"d": F.col("v"), "again": F.col("v")}), "x", ["t", "z"], lambda v, _, __: bands(v), ("v", "d", "again"))
+    return rounded(found, "v", "again").withColumn("d", model.rounded(F.abs("d")))
+
+
+def block_plan(spark, d):
+    """How many lines of each part's arrays a task should hold."""
+    sizes = table(spark, d, "part").select("p_size").distinct().orderBy("p_size").collect()  # 50 sizes
+    return spark.createDataFrame([(r.p_size, lines.block_size(r.p_size * 12, r.p_size * 1000, 200_000)) for r in sizes], "p_size int, lines int").join(table(spark, d, "part").groupBy("p_size").count(), "p_size")
+
+
+def corrected_tiles(spark, d):
+    """The correction of tiles: outliers, then stripes, of each tile of one size."""
+    scan = scans.Scan(n=16, nz=8, angles=6, dezinger=3, threshold=2.0, wavelet="haar", level=2)
+    tiles = stack(spark, d).withColumns({"scan": F.lit(0), "zi": F.lit(0), "xi": F.lit(0)})
+    return rounded(scans.corrected(tiles, scan, 8, 16).select("t", "z", "x", "v"), digits=5)
+
+
 def whole_scan(spark, d):
     """Volumes, measurement, tiles, correction, stitching, phase retrieval and reconstruction: a scan for every eight suppliers."""
     scan = scans.Scan(n=16, nz=8, angles=12)
@@ -346,6 +515,74 @@ def _propagated(source: str, axis: str, other: str, kernel: str, n: int) -> str:
     )
 
 
+def _taps(n: int, angles: int) -> str:
+    """Points of all samples, and their taps: columns t, r, ky, kx, w."""
+    mu, reach = radon.taps(n)
+    return f"""pn AS (SELECT a.range::INT AS t, b.range::INT AS r, (b.range - {n // 2}) / {n}.0 * cos(a.range * (pi() / {angles})) AS x0, -(b.range - {n // 2}) / {n}.0 * sin(a.range * (pi() / {angles})) AS y0 FROM range({angles}) a, range({n}) b),
+tn AS MATERIALIZED (SELECT t, r, ((ly % {2 * n}) + {2 * n}) % {2 * n} AS ky, ((lx % {2 * n}) + {2 * n}) % {2 * n} AS kx, (pi() / mu) * exp(-(pi() * pi()) / mu * ((lx / {2 * n}.0 - x0) * (lx / {2 * n}.0 - x0) + (ly / {2 * n}.0 - y0) * (ly / {2 * n}.0 - y0))) * (1 - 2 * (abs(lx + ly) % 2)) AS w
+FROM (SELECT *, {mu!r}::DOUBLE AS mu, round_even({2 * n} * x0, 0)::INT - {reach} + a.range::INT AS lx, round_even({2 * n} * y0, 0)::INT - {reach} + b.range::INT AS ly FROM pn, range({2 * reach + 1}) a, range({2 * reach + 1}) b))"""
+
+
+def _multiplier(n: int, angles: int) -> str:
+    mu, _ = radon.taps(n)
+    at = lambda k: f"(({k} - {n // 2}) / {n}.0) * (({k} - {n // 2}) / {n}.0)"
+    return f"exp({mu!r}::DOUBLE * {n * n} * ({at('y')} + {at('x')})) * {(1 if n % 4 == 0 else -1) / (n * math.sqrt(n * angles))!r}::DOUBLE"
+
+
+def _forward(source: str, n: int, angles: int) -> str:
+    """fw: projections by explicit transforms along x and y, the taps, and an explicit transform back."""
+    a = lambda k, x: f"2 * pi() * {k} * ({x} + {n // 2}) / {2 * n}.0"
+    back = f"2 * pi() * (r - {n // 2}) * (x.range - {n // 2}) / {n}.0"
+    return f"""im AS (SELECT z, y, x, v * {_multiplier(n, angles)} AS v FROM {source}), fx AS MATERIALIZED (SELECT z, y, k.range AS kx, sum(v * cos({a('k.range', 'x')})) AS re, -sum(v * sin({a('k.range', 'x')})) AS im FROM im, range({2 * n}) k GROUP BY 1, 2, 3),
+fy AS MATERIALIZED (SELECT z, k.range AS ky, kx, sum(re * cos({a('k.range', 'y')}) + im * sin({a('k.range', 'y')})) AS re, sum(im * cos({a('k.range', 'y')}) - re * sin({a('k.range', 'y')})) AS im FROM fx, range({2 * n}) k GROUP BY 1, 2, 3),
+ga AS MATERIALIZED (SELECT z, t, r, sum(w * re) / {n} AS re, sum(w * im) / {n} AS im FROM tn JOIN fy USING (ky, kx) GROUP BY 1, 2, 3), fw AS (SELECT t, z, x.range::INT AS x, sum(re * cos({back}) - im * sin({back})) / {4 * n} AS v FROM ga, range({n}) x GROUP BY 1, 2, 3)"""
+
+
+def _adjoint(source: str, n: int, angles: int) -> str:
+    """ad: the transpose of _forward(), by explicit transforms as well."""
+    forth = f"2 * pi() * (x - {n // 2}) * (r.range - {n // 2}) / {n}.0"
+    a = lambda k, o: f"2 * pi() * {k} * ({o} + {n // 2}) / {2 * n}.0"
+    return f"""li AS MATERIALIZED (SELECT z, t, r.range AS r, sum(v * cos({forth})) / {4 * n * n} AS re, -sum(v * sin({forth})) / {4 * n * n} AS im FROM {source}, range({n}) r GROUP BY 1, 2, 3),
+sc AS MATERIALIZED (SELECT z, ky, kx, sum(w * re) AS re, sum(w * im) AS im FROM tn JOIN li USING (t, r) GROUP BY 1, 2, 3),
+bk AS MATERIALIZED (SELECT z, o.range AS y, kx, sum(re * cos({a('ky', 'o.range')}) - im * sin({a('ky', 'o.range')})) AS re, sum(im * cos({a('ky', 'o.range')}) + re * sin({a('ky', 'o.range')})) AS im FROM sc, range({n}) o GROUP BY 1, 2, 3),
+bx AS (SELECT z, y, o.range AS x, sum(re * cos({a('kx', 'o.range')}) - im * sin({a('kx', 'o.range')})) AS v FROM bk, range({n}) o GROUP BY 1, 2, 3), ad AS (SELECT z::INT AS z, y::INT AS y, x::INT AS x, v * {_multiplier(n, angles)} AS v FROM bx)"""
+
+
+def _filter_kernel(name: str, n: int) -> str:
+    """fk: the filter as a kernel over a line of 4n, from its weights."""
+    w = ", ".join(repr(float(x)) for x in fbp.weights(name, n))
+    return f"fk AS MATERIALIZED (SELECT d.range::INT AS d, sum(([{w}]::DOUBLE[])[1 + CASE WHEN k.range <= {2 * n} THEN k.range ELSE {4 * n} - k.range END] * cos(2 * pi() * k.range * d.range / {4 * n}.0)) / {4 * n} AS g FROM range({4 * n}) d, range({4 * n}) k GROUP BY 1)"
+
+
+def _filtered(n: int) -> str:
+    """fl: lines (t, z, x) of st filtered; their ends are continued."""
+    at = f"(o.range + {3 * n // 2} - j.range + {4 * n}) % {4 * n}"
+    return f"km AS MATERIALIZED (SELECT o.range::INT AS o, least({n - 1}, greatest(0, j.range - {3 * n // 2}))::INT AS i, sum(g) AS g FROM range({n}) o, range({4 * n}) j JOIN fk ON d = {at} GROUP BY 1, 2), fl AS MATERIALIZED (SELECT t, z, o AS x, sum(v * g) AS v FROM st JOIN km ON x = i GROUP BY 1, 2, 3)"
+
+
+def _unstriped(source: str) -> str:
+    """us: a sinogram of 12 angles without its stripes, two levels of Haar bands. A band that is left out is taken from what it
+    was made of; the band along the angles has 7 and 4 lines, the last of which reach beyond the end."""
+
+    def kept(name: str, m: int) -> str:
+        c = "exp(-pow(" + ("least(k.range, %d - k.range)" % m if m % 2 else "least(k.range + 0.5, %d - k.range - 0.5)" % m) + ", 2) / 8.0)"
+        if not m % 2:  # the upper half mirrors the lower one
+            c = f"exp(-pow(CASE WHEN k.range <= {m // 2} THEN least(k.range + 0.5, {m} - k.range - 0.5) ELSE least({m} - k.range + 0.5, k.range - 0.5) END, 2) / 8.0)"
+        return f"{name} AS (SELECT d.range::INT AS d, sum({c} * cos(2 * pi() * k.range * d.range / {m}.0)) / {m} AS p FROM range({m}) d, range({m}) k GROUP BY 1)"
+
+    return f"""{kept('p1', 7)}, {kept('p2', 4)}, v1 AS (SELECT a.range::INT AS t, z.range::INT AS z, x.range::INT AS x, coalesce(v, 0.0) AS v FROM range(14) a, range(8) z, range(16) x LEFT JOIN {source} s ON s.t = a.range AND s.z = z.range AND s.x = x.range),
+h1 AS (SELECT t // 2 AS t, z, x // 2 AS x, sum(v * (1 - 2 * (x % 2))) / 2 AS h, sum(v) / 2 AS l FROM v1 GROUP BY 1, 2, 3), r1 AS (SELECT o.range::INT AS t, z, x, sum(h * p) AS r FROM h1, range(7) o, p1 WHERE d = (o.range - t + 7) % 7 GROUP BY 1, 2, 3),
+v2 AS (SELECT t, z, x, l FROM h1 UNION ALL SELECT 7, z, x, l FROM h1 WHERE t = 6), h2 AS (SELECT t // 2 AS t, z, x // 2 AS x, sum(l * (1 - 2 * (x % 2))) / 2 AS h FROM v2 GROUP BY 1, 2, 3), r2 AS (SELECT o.range::INT AS t, z, x, sum(h * p) AS r FROM h2, range(4) o, p2 WHERE d = (o.range - t + 4) % 4 GROUP BY 1, 2, 3),
+us AS (SELECT s.t, s.z, s.x, s.v - (1 - 2 * (s.x % 2)) * r1.r / 2 - (1 - 2 * ((s.x // 2) % 2)) * r2.r / 4 AS v FROM {source} s JOIN r1 ON r1.t = s.t // 2 AND r1.z = s.z AND r1.x = s.x // 2 JOIN r2 ON r2.t = s.t // 4 AND r2.z = s.z AND r2.x = s.x // 4)"""
+
+
+_DEZINGER = "dz AS MATERIALIZED (SELECT c.t, c.z, c.x, any_value(c.v) AS v, median(s.v) AS md FROM st c, range(9) k, st s WHERE s.z = c.z AND s.t = CASE WHEN c.t + k.range // 3 - 1 < 0 THEN 0 WHEN c.t + k.range // 3 - 1 > 11 THEN 11 ELSE c.t + k.range // 3 - 1 END AND s.x = CASE WHEN c.x + k.range % 3 - 1 < 0 THEN 0 WHEN c.x + k.range % 3 - 1 > 15 THEN 15 ELSE c.x + k.range % 3 - 1 END GROUP BY 1, 2, 3), dd AS (SELECT t, z, x, CASE WHEN v - md > 2.0 THEN md ELSE v END AS v FROM dz)"
+
+
+def _zoom(name: str, size: int, target: int) -> str:
+    return f"{name}_o AS (SELECT range::INT AS o, range * {float(size - 1)}::DOUBLE / {target - 1} AS s FROM range({target})), {name} AS (SELECT o, floor(s)::INT AS i, 1 - (s - floor(s)) AS w FROM {name}_o UNION ALL SELECT o, floor(s)::INT + 1, s - floor(s) FROM {name}_o WHERE floor(s) < {size - 1})"
+
+
 _SINE = "(0.5 - 0.5 * cos(pi() * {}))"
 
 ORACLE_SQL = {
@@ -394,9 +631,38 @@ ORACLE_SQL = {
     "human_bytes": "SELECT o_orderkey, CASE " + " ".join(f"WHEN b >= {1024**k} THEN printf('%.1f {u}', b / {1024.0**k}::DOUBLE)" for k, u in ((5, "PB"), (4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))) + " ELSE printf('%.1f B', b::DOUBLE) END AS size FROM (SELECT o_orderkey, o_orderkey * o_custkey AS b FROM orders)",
     "nufft_gather": f"WITH {_VOLUME}, {_TAPS} SELECT z, t, r, {_r('sum(w * v) / 8', 're', 2)}, {_r('sum(w * v * 0.5) / 8', 'im', 2)} FROM tp JOIN vol ON vol.y = ky AND vol.x = kx GROUP BY 1, 2, 3",
     "nufft_scatter": f"WITH {_STACK}, {_TAPS} SELECT z, ky, kx, {_r('sum(w * v)', 're', 2)}, {_r('sum(w * v * 0.5)', 'im', 2)} FROM tp JOIN st ON st.t = tp.t AND st.x = r GROUP BY 1, 2, 3",
+    "radon_forward": f"WITH {_VOLUME}, {_taps(16, 12)}, {_forward('vol', 16, 12)} SELECT t, z, x, {_r('v', 'v', 3)} FROM fw",
+    "radon_adjoint": f"WITH {_STACK}, {_taps(16, 12)}, {_adjoint('st', 16, 12)} SELECT z, y, x, {_r('v', 'v', 5)} FROM ad",
+    "radon_multiplier": f"WITH {_VOLUME} SELECT z, y, x, {_r('v * ' + _multiplier(16, 12), 'v', 9)} FROM vol",
+    "fbp_filter": f"WITH st AS (SELECT vec_id AS t, 0 AS z, (unnest(range(64)))::INT AS x, unnest(embedding)::DOUBLE AS v FROM embeddings), {_filter_kernel('shepp', 64)}, {_filtered(64)} SELECT t AS vec_id, x, {_r('v', 'v', 3)} FROM fl",
+    "fbp_reconstruction": f"WITH {_STACK}, {_filter_kernel('ramp', 16)}, {_filtered(16)}, {_taps(16, 12)}, {_adjoint('fl', 16, 12)} SELECT z, y, x, {_r('v', 'v', 3)} FROM ad",
+    "stripe_removal": f"WITH {_STACK}, {_unstriped('st')} SELECT t, z, x, {_r('v', 'v', 5)} FROM us",
+    "corrected_tiles": f"WITH {_STACK}, {_DEZINGER}, {_unstriped('dd')} SELECT t, z, x, {_r('v', 'v', 5)} FROM us",
+    "wavelet_bands": f"WITH {_STACK} SELECT t, z, x // 2 AS x, {_r('sum(v) / sqrt(2)')}, {_r('abs(sum(v * (1 - 2 * (x % 2)))) / sqrt(2)', 'd')}, {_r('sum(CASE WHEN x % 2 = 0 THEN v ELSE 0 END)', 'again')} FROM st GROUP BY 1, 2, 3",
+    "stitch_uneven": f"WITH {_MOSAIC}, {_SIDES}, m AS (SELECT scan, ot, oz, ox, sum(w * u) / sum(w) AS v FROM (SELECT *, v + 100 * zi + 10 * xi + CASE WHEN t >= 4 THEN 5 ELSE 0 END AS u, least(z + 0.5, hh - 0.5 - z, 4) * least(x + 0.5, ww - 0.5 - x, 4) AS w FROM px) GROUP BY 1, 2, 3, 4) SELECT ms.scan, t, z, x, {_r('coalesce(m.v, 1.0)')} FROM ms LEFT JOIN m ON m.scan = ms.scan AND ot = t AND oz = z AND ox = x",
+    "tile_files": f"WITH {_MOSAIC}, {_SIDES} SELECT scan, zi, xi, count(*) AS n, {_r('sum(v)', 'total')} FROM px WHERE zi <= xi GROUP BY 1, 2, 3",
+    "store_box": f"WITH {_STACK} SELECT * FROM st WHERE z >= 3 AND z < 7 AND x >= 4 AND x < 9",
+    "store_range": f"WITH {_STACK} SELECT * FROM st WHERE t >= 5 AND t < 10",
+    "bank_files": f"WITH {_STACK} SELECT (floor((t % 5) / 3) + 2 * floor(t / 5))::INT AS bank, min(t) AS first, max(t) AS last, count(*) AS n, sum(v) AS total FROM st GROUP BY 1",
+    "catalog_text": f"WITH {_PARTS}, {_LAYOUT} SELECT DISTINCT zi, xi, z_center, x_center, crop_top, crop_bottom, crop_left, crop_right, 4 AS half, 4 AS overlap FROM pl WHERE scan % 10 = 3",
+    "tile_index": "SELECT p_size AS zi, p_partkey::INT AS xi FROM part WHERE p_partkey % 3 <> 0",
+    "rectangle": f"WITH {_VOLUME} SELECT z, y - 3 AS y, x - 2 AS x, v FROM vol WHERE y >= 3 AND y < 11 AND x >= 2 AND x < 15",
+    "sharp_mask": f"WITH {_VOLUME} SELECT z, y, x, v * CASE WHEN sqrt((y - 7.5) * (y - 7.5) + (x - 7.5) * (x - 7.5)) <= 6.0 THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM vol",
+    "zoom_xy": f"WITH {_VOLUME}, {_zoom('za', 16, 21)}, {_zoom('zb', 16, 23)} SELECT z, a.o AS y, b.o AS x, {_r('sum(a.w * b.w * v)')} FROM vol JOIN za a ON vol.y = a.i JOIN zb b ON vol.x = b.i GROUP BY 1, 2, 3",
+    "millimetres": f"SELECT p_partkey, {_r('p_retailprice * (1.38::DOUBLE * 8 / p_size) * 1e-3', 'mm', 9)}, {_r('p_retailprice', 'px')}, {_r('p_retailprice / ((1.38::DOUBLE * 8 / p_size) * 1e-3)', 'of_mm', 3)} FROM part",
+    "standard_geometry": "SELECT DISTINCT p_size AS ups, (2426 * p_size // 8)::INT AS det_h, (3232 * p_size // 8)::INT AS det_w, (200 * p_size // 8)::INT AS overlap, (3072 * p_size)::INT AS nz, (100 * p_size // 2)::INT AS z_pad, p_size * 2918 / 2.0::DOUBLE AS sample_r, (p_size * 2972)::DOUBLE AS sample_h FROM part",
+    "cone_geometry": f"SELECT p_partkey, {_r('(50000.0::DOUBLE + p_size * 100.0::DOUBLE) / 50000.0::DOUBLE', 'magnification', 9)}, {_r('p_size / 10.0::DOUBLE * (50000.0::DOUBLE + p_size * 100.0::DOUBLE) / (50000.0::DOUBLE + (p_partkey % 31 - 15))', 'x_det', 9)}, {_r('4.46::DOUBLE / 2 / 50000.0::DOUBLE * p_size', 'spread', 9)} FROM part",
+    "fresnel_numbers": "SELECT p_partkey, round((1.38e-6 * 1.38e-6) / ((1.24e-9 / 30.0) * 1.0) / (p_size / 100.0::DOUBLE), 6) AS number FROM part",
+    "strip_order": f"WITH {_TAPS}, b AS (SELECT t, r, (CASE WHEN k > 8 THEN 16 - k ELSE k END // 3)::INT AS bin FROM (SELECT t, r, ((round_even(16 * x0, 0)::INT % 16) + 16) % 16 AS k FROM pt)) SELECT bin, (row_number() OVER (PARTITION BY bin ORDER BY t, r) - 1)::INT AS place, t, r FROM b",
+    "theta_prefix": f"WITH {_STACK} SELECT t, z, x, v, {_r('t * (180.0::DOUBLE / 12)', 'theta_deg')} FROM st WHERE t < 6",
+    "line_callback": f"WITH {_STACK} SELECT t, z, x, {_r('sum(v) OVER (PARTITION BY t, z ORDER BY x)', 'total')}, {_r('v - coalesce(lag(v) OVER (PARTITION BY t, z ORDER BY x), 0)', 'step')} FROM st",
+    "plane_callback": f"WITH {_STACK} SELECT z, x, {_r('sum(v)')} FROM st GROUP BY 1, 2",
+    "cast_single": f"SELECT (l_suppkey % 8)::INT AS z, {_r('sum(l_extendedprice::FLOAT::DOUBLE)', 'total', 3)}, max(l_tax::FLOAT::DOUBLE) AS most FROM lineitem GROUP BY 1",
+    "block_plan": "WITH s AS (SELECT p_size, count(*) AS count FROM part GROUP BY 1) SELECT p_size, (SELECT max(k.range)::INT FROM range(1, 601) k WHERE (p_size * 12) % k.range = 0 AND k.range <= greatest(1, 200000 // (p_size * 1000))) AS lines, count FROM s",
     "kx_bins": f"WITH {_TAPS}, b AS (SELECT (CASE WHEN k > 8 THEN 16 - k ELSE k END // 3)::INT AS bin FROM (SELECT ((round_even(16 * x0, 0)::INT % 16) + 16) % 16 AS k FROM pt)), c AS (SELECT bin, count(*) AS n FROM b GROUP BY 1) SELECT bin, n, (sum(n) OVER (ORDER BY bin) - n)::BIGINT AS first FROM c",
     "ky_bands": f"WITH {_TAPS} SELECT band, count(*) AS n FROM (SELECT DISTINCT t, r, (ky // 4)::INT AS band FROM tp) GROUP BY 1",
 }
+ORACLE_SQL |= {"radon_by_lines": ORACLE_SQL["radon_forward"], "radon_adjoint_by_lines": ORACLE_SQL["radon_adjoint"], "fbp_by_lines": ORACLE_SQL["fbp_reconstruction"], "paganin_by_lines": ORACLE_SQL["paganin"]}
 
 QUERIES = {
     f.__name__: f
@@ -404,6 +670,8 @@ QUERIES = {
         tile_layout, mirror_placements, mosaic_summary, angle_grid, diag_tiles, bank_plan, vchunk_iter, task_split, theta_slab, z_slab, dataset_info, center_crop, center_pad, circular_mask, z_taper, tile_extract_360,
         fold_180, strided_slice, symmetric_pad, edge_pad, zero_pad, reflect_index, upsample_xy, upsample_z, z_resample, nearest_repeat, bin2d, gaussian_smooth, unsharp, psi_from_proj, intensity, fresnel, paganin,
         dezinger, darkflat, tent_weight, stitch, stack_stats, axis_mean, percentile_clip, rel_error, stage_throughput, human_bytes, nufft_gather, nufft_scatter, kx_bins, ky_bands, radon_forward, radon_adjoint,
-        fbp_filter, fbp_reconstruction, stripe_removal, whole_scan,
+        fbp_filter, fbp_reconstruction, stripe_removal, whole_scan, radon_by_lines, radon_adjoint_by_lines, paganin_by_lines, fbp_by_lines, radon_multiplier, stitch_uneven, tile_files, store_box, store_range, bank_files,
+        catalog_text, tile_index, rectangle, sharp_mask, zoom_xy, millimetres, standard_geometry, cone_geometry, fresnel_numbers, strip_order, theta_prefix, line_callback, plane_callback, cast_single, wavelet_bands,
+        block_plan, corrected_tiles,
     )
 }

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.operators.mosaic import checked
+
 CATALOG_KEYS = ("NZ", "N", "DET_H", "DET_W", "n_z", "n_x", "NTHETA", "N_HALF", "OVERLAP")
 CATALOG_COLUMNS = ("zi", "xi", "z_center", "x_center", "crop_top", "crop_bottom", "crop_left", "crop_right")
 LAYOUTS = {"proj": "t", "slice": "z"}
@@ -29,6 +35,36 @@ def write(values: DataFrame, path: str, layout: str = "proj", band: int = 64) ->
     banded.write.mode("overwrite").partitionBy("band").option("lamina.layout", layout).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a dataset at path."""
+    try:
+        spark.read.parquet(path).schema
+    except AnalysisException:
+        return False
+    return True
+
+
+def write_banks(values: DataFrame, path: str, layout: str = "proj", chunk: int = 64, banks: int = 4) -> None:
+    """A new dataset whose files are split by bank(); an error if there is one at path. The last bank of a chunk may be shorter."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout}; expected one of {', '.join(LAYOUTS)}")
+    if exists(values.sparkSession, path):
+        raise ValueError(f"a dataset exists at {path}")
+    axis = LAYOUTS[layout]
+    banked = values.withColumn("bank", bank(F.col(axis), chunk, min(banks, chunk)))
+    banked.repartitionByRange("bank", axis).sortWithinPartitions("bank", axis).write.partitionBy("bank").parquet(path)
+
+
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """Tiles (scan, zi, xi, t, z, x, v, and what else each tile has): a folder for each, its pixels in order."""
+    tiles.repartitionByRange("scan", "zi", "xi", "t").sortWithinPartitions("scan", "zi", "xi", "t", "z", "x").write.mode("overwrite").partitionBy("scan", "zi", "xi").parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str, catalog: DataFrame) -> DataFrame:
+    """The pixels of the catalog's tiles (scan, zi, xi); an error if one of them has no folder."""
+    return checked(spark.read.parquet(path), catalog).join(F.broadcast(catalog.select("scan", "zi", "xi")) if catalog.count() <= 1_000_000 else catalog.select("scan", "zi", "xi"), ["scan", "zi", "xi"])
+
+
 def read(spark: SparkSession, path: str, axis: str | None = None, low: int = 0, high: int | None = None, band: int = 64) -> DataFrame:
     """The dataset, or the lines low <= axis < high of the axis it is laid out by: bands outside aren't opened."""
     values = spark.read.parquet(path)
@@ -100,3 +136,18 @@ def tile_names(files: DataFrame) -> DataFrame:
     """(zi, xi) of file names (path) like 3_12.h5, in order; other names are left out."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return files.select("path", F.regexp_extract(name, r"^(\d+)_(\d+)\.\w+$", 1).try_cast("int").alias("zi"), F.regexp_extract(name, r"^(\d+)_(\d+)\.\w+$", 2).try_cast("int").alias("xi")).where("zi is not null and xi is not null").orderBy("zi", "xi")
+
+
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share, from spark.checkpoint.dir; a local one only where Spark is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _scratch:
+            _scratch.append("file://" + tempfile.mkdtemp(prefix="lamina-"))
+        at = _scratch[0]
+    return f"{at.rstrip('/')}/lamina/{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.operators import fbp, geometry, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
+from lamina.operators import fbp, geometry, lines, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
 from lamina.plans.scan import Scan, enlarged, measured, restored, tiled, whole
 from lamina.registry import QUERIES
 from lamina.sources import arrays, store
@@ -261,3 +261,70 @@ def test_whole_scan_grows_with_its_tables(spark):
         suppliers = spark.read.parquet(f"/root/testdata/{sf}/supplier.parquet").selectExpr("floor(s_suppkey / 8)").distinct().count()
         assert len(found) == suppliers and {r["count"] for r in found} == {8 * 16 * 16}
     assert len(rows["sf0.01"]) > len(rows["sf0.001"])
+
+
+def test_lines_give_what_planes_give(spark):
+    """Slices and projections that no task holds: the same numbers by lines, transposes and joined taps."""
+    draw = np.random.default_rng(4)
+    n, angles = 20, 9
+    a, b, i = draw.standard_normal((2, n, n)), draw.standard_normal((angles, 2, n)), 0.5 + 0.5 * draw.random((2, 7, 10))
+    volume, stack, seen = table(spark, a, "z", "y", "x"), table(spark, b, "t", "z", "x"), table(spark, i, "t", "z", "x")
+    assert np.allclose(array(radon.projected_by_lines(volume, n, angles), "t", "z", "x"), array(radon.projected(volume, angles), "t", "z", "x"), atol=1e-10)
+    assert np.allclose(array(radon.back_projected_by_lines(stack, n, angles), "z", "y", "x"), array(radon.back_projected(stack), "z", "y", "x"), atol=1e-10)
+    assert np.allclose(array(fbp.reconstructed_by_lines(stack, n, angles, "shepp"), "z", "y", "x"), array(fbp.reconstructed(stack, "shepp"), "z", "y", "x"), atol=1e-6)
+    for distance in (0.02, 1.0):
+        assert np.allclose(array(wave.retrieved_by_lines(seen, 7, 10, distance, 1e-3), "t", "z", "x"), array(wave.retrieved(seen, distance, 1e-3), "t", "z", "x"), atol=1e-10)
+
+
+def test_wavelets_are_orthogonal():
+    for name, moments in (("haar", 1), ("db4", 4), ("sym16", 16)):
+        low = stripe.scaling(name)
+        assert low.sum() == pytest.approx(math.sqrt(2)) and len(low) == 2 * moments
+        for k in range(len(low) // 2):
+            assert (low[2 * k :] * low[: len(low) - 2 * k]).sum() == pytest.approx(float(k == 0), abs=1e-9)
+        at = np.arange(len(low)) / len(low)
+        assert all(abs((low * (-1.0) ** np.arange(len(low)) * at**p).sum()) < 1e-8 for p in range(moments))
+    # The published values of db4 and sym16.
+    assert stripe.scaling("db4")[:3] == pytest.approx([0.23037781330885523, 0.7148465705525415, 0.6308807679295904])
+    assert stripe.scaling("sym16")[-3:][::-1] == pytest.approx([6.230006701220761e-06, -3.113556407621969e-06, -0.00010943147929529757])
+    with pytest.raises(ValueError, match="unknown wavelet"):
+        stripe.scaling("coif3")
+
+
+def test_stripes_at_the_defaults(spark):
+    """A stripe goes, and what varies with the angle stays, with sym16 at level 7."""
+    draw = np.random.default_rng(6)
+    smooth = np.sin(np.arange(96) / 15)[:, None] * np.cos(np.arange(64) / 9)[None, :]
+    stripe_ = np.zeros(64)
+    stripe_[[20, 41]] = 3.0
+    out = stripe.without_stripes(smooth + stripe_[None, :])
+    assert abs(out - out.mean() - smooth + smooth.mean())[10:86, [20, 41]].mean() < 1.0
+    assert np.corrcoef(out.ravel(), smooth.ravel())[0, 1] > 0.9 and np.isfinite(stripe.without_stripes(draw.random((13, 9)), level=2)).all()
+
+
+def test_a_missing_tile_is_an_error(spark, tmp_path):
+    scans = spark.createDataFrame([(0, 12, 16, 4, 4, 4, 18.0, 18.0, 40, 24, 3)], "scan int, det_h int, det_w int, overlap int, inset int, z_overlap int, sample_r double, sample_h double, n int, nz int, z_pad int")
+    tiles = geometry.footprints(geometry.placements(scans))
+    pixels = mosaic.cut(model.grid(spark, scan=1, t=2, z=24, x=40).withColumn("v", F.lit(1.0)), tiles, 2)
+    store.write_tiles(pixels.where("not (zi = 1 and xi = 0)"), str(tmp_path / "tiles"))
+    with pytest.raises(ValueError, match=r"\(0, 1, 0\)"):
+        store.read_tiles(spark, str(tmp_path / "tiles"), tiles)
+    assert store.read_tiles(spark, str(tmp_path / "tiles"), tiles.where("zi = 0")).count() == pixels.where("zi = 0").count()
+
+
+def test_banks_are_made_once(spark, tmp_path):
+    values = model.grid(spark, t=10, z=2, x=2).withColumn("v", F.lit(1.0))
+    store.write_banks(values, str(tmp_path / "b"), "proj", 4, 3)
+    read = spark.read.parquet(str(tmp_path / "b"))
+    assert sorted((r.bank, r["count"]) for r in read.groupBy("bank").count().collect()) == [(0, 8), (1, 8), (3, 8), (4, 8), (6, 8)]
+    with pytest.raises(ValueError, match="exists"):
+        store.write_banks(values, str(tmp_path / "b"), "proj", 4, 3)
+    with pytest.raises(ValueError, match="layout"):
+        store.write_banks(values, str(tmp_path / "c"), "rows")
+
+
+def test_block_sizes():
+    assert lines.block_size(96, 1000, 10_000) == 8 and lines.block_size(97, 1000, 10_000) == 1 and lines.block_size(12, 10, 10**9) == 12
+    lines.checked_plane(100, 100, 1 << 24)
+    with pytest.raises(ValueError, match="by lines"):
+        lines.checked_plane(98_304, 98_304, 1 << 34)

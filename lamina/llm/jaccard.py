@@ -33,13 +33,13 @@ from .common import BoundedCache, saved, table
 
 N, PERCENT = 5, 75
 #: An n-gram that so many sets within one block of a task have is put last; a block holds about so many n-grams.
-FREQUENT, BLOCK = 4, 4_000_000
+FREQUENT, BLOCK = 4, 2_000_000
 #: Frequent n-grams that are broadcast at most (24 bytes each), those seen most; others keep their place by hash, which
 #: only makes their lists longer.
 ORDERED = 2_000_000
 #: Of the documents with one n-gram, pairs are made and their common n-grams counted where there are so many at most; of
 #: more, all meet under the n-gram.
-PAIRED = 12
+PAIRED = 64
 #: Fragments of the global order: its rare n-grams by hash into all but one, the frequent ones.
 FRAGMENTS = 4
 #: Documents of a block, which meet a pivot, or another block in a tile, in one task; columns of its matrices at once.
@@ -51,7 +51,7 @@ BROADCAST_IDS = 2_000_000
 #: Keys with more rows than this aren't joined by a shuffle (or with a larger number, that at most BROADCAST_IDS have).
 HOT_ROWS = 1000
 #: Bytes of sets that leave a task at once.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 KEPT = 600_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -318,37 +318,56 @@ def dealt(sets: DataFrame, places: DataFrame, shared: Broadcast) -> DataFrame:
 
     batches_type = pa.list_(pa.struct([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("label", pa.int64())]))
     made = here.mapInArrow(cut, f"doc_id long, n int, tag int, places {PLACES}, fragment int, sizes array<int>, grams binary")
-    spread = made.withColumn("p", F.explode("places"))
-    return spread.select("p.key", "p.i", "p.j", "fragment", "p.side", "p.label", "doc_id", "tag", "n", "sizes", "grams")
-
-
-def _partial(key: tuple, group: pa.Table) -> pa.Table:
-    """Partial counts of the pairs of one place and fragment: of members with their pivot (i below 0), or of a tile's blocks."""
-    ids, tags, n, sides, labels = (group.column(c).to_numpy() for c in ("doc_id", "tag", "n", "side", "label"))
-    _, once = np.unique(np.rec.fromarrays([ids, tags, sides]), return_index=True)  # rows that repeat count once
-    star, same = key[1].as_py() < 0, key[1].as_py() == key[2].as_py()
-    first, second = once[sides[once] == 0], once[sides[once] == (0 if same else 1)]
-    out = (np.zeros(0, np.int64),) * 7
-    if len(first) and len(second):
-        grams = [np.frombuffer(x.as_py(), "<u8") for x in group.column("grams")]
-        counts = overlaps([grams[x] for x in first], [grams[x] for x in second])
-        keep = (counts > 0) & ((ids[first][:, None] != ids[second][None, :]) | (tags[first][:, None] != tags[second][None, :]))
+    return made.withColumn("p", F.explode("places")).select("p.key", "p.i", "p.j", "fragment", "p.side", "p.label", "doc_id", "tag", "n", "sizes", "grams")
+
+
+def _partial(group: pa.Table) -> pa.Table:
+    """Partial counts of the pairs of some places in one fragment: of members with their pivot (i below 0), or of a tile's blocks."""
+    key, i, j, fragment, sides, labels, ids, tags, n = (group.column(c).to_numpy() for c in ("key", "i", "j", "fragment", "side", "label", "doc_id", "tag", "n"))
+    grams = [np.frombuffer(x, "<u8") for x in group.column("grams").to_pylist()]
+    sizes = np.array(group.column("sizes").to_pylist())
+    order = np.lexsort((tags, ids, sides, j, i, key))
+    whole = np.stack([key[order], i[order], j[order], sides[order], ids[order], tags[order]], 1)
+    new = np.concatenate(([True], (whole[1:] != whole[:-1]).any(1)))  # rows that repeat count once
+    order, whole = order[new], whole[new]
+    starts = np.flatnonzero(np.concatenate(([True], (whole[1:, :3] != whole[:-1, :3]).any(1))))
+    out: list[tuple] = []
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        here = order[at:end]
+        star, same = i[here[0]] < 0, i[here[0]] == j[here[0]]
+        first, second = here[sides[here] == 0], here[sides[here] == (0 if same else 1)]
+        if not len(first) or not len(second):
+            continue
+        counts = with_pivots([grams[x] for x in first], [grams[x] for x in second]) if star else overlaps([grams[x] for x in first], [grams[x] for x in second])
+        keep = counts > 0
         if not star:
             # Together with all that the other fragments could give it must be enough; and what has one pivot is linked already.
-            sizes = np.array(group.column("sizes").to_pylist())
-            fragment = key[3].as_py()
             most = counts.copy()
             for f in range(sizes.shape[1]):
-                if f != fragment:
+                if f != fragment[0]:
                     most += np.minimum(sizes[first, f][:, None], sizes[second, f][None, :])
             keep &= most >= least_overlap(n[first].astype(np.int64)[:, None], n[second].astype(np.int64)[None, :])
             keep &= (labels[first][:, None] != labels[second][None, :]) | (labels[first] == NO_LABEL)[:, None]
+            keep &= (ids[first][:, None] != ids[second][None, :]) | (tags[first][:, None] != tags[second][None, :])
             if same:
                 keep &= np.triu(np.ones(keep.shape, bool), 1)
-        i, j = np.nonzero(keep)
-        out = (ids[first][i], tags[first][i], n[first][i], ids[second][j], tags[second][j], n[second][j], counts[i, j])
-    columns = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-    return pa.table([pa.array(np.full(len(out[0]), key[0].as_py(), np.int64)), *columns], names=["key", "a", "a_tag", "a_n", "b", "b_tag", "b_n", "common"])
+        a, b = np.nonzero(keep)
+        x, y = first[a], second[b]
+        out.append((key[x], ids[x], tags[x], n[x], ids[y], tags[y], n[y], counts[a, b]))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 8
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "a", "a_tag", "a_n", "b", "b_tag", "b_n", "common"])
+
+
+def with_pivots(members: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """overlaps() with few sets on the right."""
+    every = np.concatenate(members)
+    ends = np.cumsum([len(x) for x in members])
+    out = np.zeros((len(members), len(pivots)), np.int64)
+    for k, pivot in enumerate(pivots):
+        has = np.concatenate(([0], np.cumsum(pivot[np.minimum(np.searchsorted(pivot, every), len(pivot) - 1)] == every)))
+        out[:, k] = np.diff(has[np.concatenate(([0], ends))])
+    return out
 
 
 #: The label of a member that no pivot is linked to; ids themselves are labels otherwise.
@@ -356,8 +375,10 @@ NO_LABEL = -(1 << 63)
 
 
 def counted(sets: DataFrame, places: DataFrame, shared: Broadcast) -> DataFrame:
-    """(a, b, distance, linked) of the pairs that meet in places: partial counts by fragment, summed per pair."""
-    partial = dealt(sets, places, shared).groupBy("key", "i", "j", "fragment").applyInArrow(_partial, PARTIAL)
+    """(a, b, distance, linked) of the pairs that meet in places: partial counts by fragment, summed per pair. Places, each of two
+    blocks at most, share tasks' groups: about a block's members in each."""
+    groups = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, places.count() // TILE)))
+    partial = dealt(sets, places, shared).groupBy(groups.alias("group"), "fragment").applyInArrow(_partial, PARTIAL)
     pairs = partial.groupBy("key", "a", "a_tag", "b", "b_tag").agg(F.sum("common").alias("o"), F.first("a_n").alias("x"), F.first("b_n").alias("y"))
     union = F.col("x") + F.col("y") - F.col("o")
     # Of different texts under one id the nearest decides.
@@ -367,6 +388,8 @@ def counted(sets: DataFrame, places: DataFrame, shared: Broadcast) -> DataFrame:
 def links(sets: DataFrame, met: DataFrame, shared: Broadcast) -> DataFrame:
     """(a, b): similar documents among those that meet (doc_id, key), as few pairs as give the same components, and some more."""
     within = 1 - PERCENT / 100
+    met_ids = met.select("doc_id").distinct()
+    sets = saved(sets.join(F.broadcast(met_ids) if met.count() <= BROADCAST_IDS else met_ids, "doc_id", "left_semi").select("doc_id", "n", "high", "grams"), "met")
     open_ = met.withColumn("label", F.lit(NO_LABEL))
     found: list[DataFrame] = []
     before = None
@@ -450,7 +473,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Different texts under one doc_id are tied together by it: then a copy and the one that stands for its class are a link.
     several = sets.groupBy("doc_id").count().where("count > 1")
     tied = copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    grouped = saved(components(links(different, met, shared).union(tied)), "components")
+    grouped = saved(components(links(different, saved(met, "candidates"), shared).union(tied)), "components")
     # A copy not among them has the component of the one that stands for its class.
     firsts = copies.join(grouped, F.col("doc_id") == F.col("node"), "left_anti").select("doc_id", "first").distinct()
     stand = firsts.groupBy("first").agg(F.count("*").alias("copies")).join(grouped, F.col("first") == F.col("node"), "left").select("first", F.coalesce("component", "first").alias("component"), "copies")

@@ -96,46 +96,55 @@ def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
 
 
 def in_runs(docs: DataFrame) -> DataFrame:
-    """docs with run: neighbours by doc_id share a run of about RUN_ROWS rows. Each run also has the row that follows its
-    last one in descending order, the largest of the run below (below the lowest: of all), as a guest.
+    """docs (doc_id, text) with h, a hash of the text, and run: neighbours by doc_id, then h, share a run of about RUN_ROWS rows.
+    Each run also has the row that follows its last one in descending order, the largest of the run below (below the lowest: of
+    all), as a guest.
 
     doc_ids are counted in cells of equal width, named by where they begin; cells with many times more rows than others are
-    cut again between their own ends, CELLS at most in each round. All cells are gathered into runs.
+    cut again between their own ends, CELLS at most in each round, and cells of one doc_id by h. All cells are gathered into
+    runs. Rows with equal doc_id and text can't be told apart, and aren't cut. A row without a doc_id comes after all others.
     """
     low, high, total = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, top = low or 0, high or 0
-    number = F.coalesce("doc_id", F.lit(low))
+    low, top = (low or 0) - 1, high or 0
+    numbered = docs.withColumns({"number": F.coalesce("doc_id", F.lit(low)), "h": F.shiftrightunsigned(F.xxhash64("text"), 1)})
+    number = F.col("number")
     most = max(RUN_ROWS, 8 * total // CELLS)
-    placed = docs.withColumn("cell", number - F.pmod(number - F.lit(low), F.lit(-(-(top - low + 1) // CELLS))))
+    placed = numbered.withColumn("cell", number - F.pmod(number - F.lit(low), F.lit(-(-(top - low + 1) // CELLS))))
     while True:
-        counts = saved(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("top")), "cells")
+        counts = saved(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("number").alias("least"), F.max("number").alias("top")), "cells")
         full = counts.where((F.col("n") > most) & (F.col("least") < F.col("top"))).collect()  # fewer than CELLS / 8
         if not full:
             break
         finer = [(r.cell, r.least, -(-(r.top - r.least + 1) // -(-CELLS * r.n // total))) for r in full]
         parts = docs.sparkSession.createDataFrame(finer, "cell long, start long, width long")
         placed = placed.join(F.broadcast(parts), "cell", "left").withColumn("cell", F.coalesce(number - F.pmod(number - F.col("start"), F.col("width")), "cell")).drop("start", "width")
-    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    runs = saved(counts.select("cell", "top", F.floor(F.coalesce(before, F.lit(0)) / RUN_ROWS).cast("int").alias("run")), "runs")
+    single = counts.where(F.col("n") > most).select("cell", F.ceil(F.lit(CELLS) * F.col("n") / total).alias("parts"))  # fewer than CELLS / 8
+    cut = placed.join(F.broadcast(single), "cell", "left").withColumn("sub", F.coalesce(F.shiftright(F.shiftright("h", 31) * F.col("parts"), 32), F.lit(0)))
+    counts = saved(cut.groupBy("cell", "sub").agg(F.count("*").alias("n"), F.max(F.struct("number", "h")).alias("top")), "cells")
+    before = F.sum("n").over(Window.orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1))
+    runs = saved(counts.select("cell", "sub", "top", F.floor(F.coalesce(before, F.lit(0)) / RUN_ROWS).cast("int").alias("run")), "runs")
     tops = runs.groupBy("run").agg(F.max("top").alias("top"))
-    below = tops.select("run", F.coalesce(F.lag("top").over(Window.orderBy("run")), F.lit(high)).alias("doc_id"))
+    last = runs.agg(F.max("top").alias("top")).first()["top"]
+    highest = F.struct(F.lit(last["number"] if last else 0).cast("long").alias("number"), F.lit(last["h"] if last else 0).cast("long").alias("h"))
+    below = tops.select("run", F.coalesce(F.lag("top").over(Window.orderBy("run")), highest).alias("b")).select("run", "b.number", "b.h")
     # Both tables have CELLS rows at most, and as many again for each round.
-    own = placed.join(F.broadcast(runs.select("cell", "run")), "cell").select("doc_id", "text", "run", F.lit(False).alias("guest"))
-    guests = docs.join(F.broadcast(below), "doc_id").select("doc_id", "text", "run", F.lit(True).alias("guest"))
-    return own.union(guests)
+    own = cut.join(F.broadcast(runs.select("cell", "sub", "run")), ["cell", "sub"]).select("doc_id", "text", "h", "run", F.lit(False).alias("guest"))
+    guests = numbered.join(F.broadcast(below), ["number", "h"]).groupBy("run").agg(F.first(F.struct("doc_id", "text", "h")).alias("g")).select("g.*", "run", F.lit(True).alias("guest"))
+    return own.unionByName(guests)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next row's, by
-    descending doc_id, then text; the last row is followed by the first. A null text counts as empty; a null doc_id comes
-    last. Equal texts have equal fingerprints. Rows that repeat each have a row; other columns are left out.
+    descending doc_id, then a hash of the text, then the text; the last row is followed by the first. A null text counts as empty; a null doc_id comes
+    last. Equal texts have equal fingerprints. Rows that repeat each have a row; other columns are left out, so none can clash;
+    an empty table gives an empty one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = saved(lexicon(texts), "lexicon")
     few = known.count() <= BROADCAST_TERMS
-    order = Window.partitionBy("run").orderBy("guest", F.desc("doc_id"), F.desc("text"))
+    order = Window.partitionBy("run").orderBy("guest", F.desc("doc_id"), F.desc("h"), F.desc("text"))
     half = F.floor(F.col("n") / 2).cast("int")
     rows = (
         in_runs(texts)
@@ -162,4 +171,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprints() of all documents."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, held_out, map_batches, table
+from .common import BoundedCache, filtered_batches, held_out, map_batches, table
 
 #: Labelled rows that the scores are learned from at most, shared evenly by the languages, and n-grams kept of each language
 #: at most, those seen most.
@@ -239,6 +239,20 @@ def labelled(docs: DataFrame, model: dict) -> DataFrame:
     return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
+def kept(docs: DataFrame, model: dict, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language that ``least`` of its letters are in. Each row goes by
+    its own text: rows that repeat, or have no id, are like others. A model without languages keeps all rows."""
+    if not model["langs"]:
+        return docs
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def keep(texts: list) -> list[bool]:
+        scorer = _scorer(key, shared.value)
+        return [lang != "und" and score >= least for lang, score in map(scorer.predict, texts)]
+
+    return filtered_batches(docs, keep, "text")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labelled() of all documents, by a model of those that aren't held out."""
     docs = table(spark, sf_dir, "documents")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bounded_sample, held_out, map_batches, saved, table
+from .common import BoundedCache, bounded_sample, filtered_batches, held_out, map_batches, saved, table
 
 #: Labelled rows that scores and calibration are learned from at most.
 SAMPLE = 30_000
@@ -222,6 +222,18 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) id", f"`{text_col}` text"), run, "id long, score double, predicted int, passages array<struct<first: int, last: int, excess: double>>").withColumnRenamed("id", id_col)
 
 
+def kept(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted to be toxic. Each row goes by its own text: rows that
+    repeat, or have no id, are like others."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def keep(texts: list) -> list[bool]:
+        scorer = _scorer(key, shared.value)
+        return [scorer.probability(scorer.evidence(t)) < THRESHOLD for t in texts]
+
+    return filtered_batches(docs, keep, "text")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Texts with labels that may be learned from: about ``sample`` labels, chosen by a hash of the id and at most twice as
     many, which are therefore broadcast; the texts aren't shuffled."""

@@ -118,3 +118,50 @@ def test_pipeline_odd_rows(spark):
     assert all(r.predicted == 0 for r in toxicity.scored(docs, model).collect())
     once = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert {r.doc_id for r in once.collect()} == set(range(len(TEXTS))) - {6, 7}
+
+
+SAME = "one two three four five six seven eight"
+
+
+def test_stages_keep_columns_and_take_each_row_by_itself(spark):
+    rows = [(1, "the first kind text of all", "en"), (1, "12345 !!", "en"), (None, "the other kind text of all", "en"), (None, None, None), (4, "the first kind text of all", "en"), (4, "the first kind text of all", "en"), (5, SAME, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("mine") for c in ("score", "first", "toxic", "component_id", "n", "gram", "_row", "lang_pred")})
+    kept = corpus_pipeline.keep_languages(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((i or 0, t) for i, t, _ in rows if t and t[0].isalpha())
+    model = {"odds": {"kind": 9.0}, "lambda": 1.0, "k": 1.0, "logistic": (-3.0, 9.0)}
+    clean = toxicity.kept(docs, model)
+    assert clean.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == [(0, ""), (1, "12345 !!"), (5, SAME)]
+
+
+def test_near_duplicate_stage_with_repeated_rows_and_without_ids(spark):
+    rows = [(3, SAME), (2, SAME), (2, SAME), (2, "something else entirely"), (None, SAME), (None, None), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("component_id", "n", "_id")})
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(found, key=str) == sorted([(2, SAME), (None, SAME), (None, None), (7, ""), (8, None)], key=str)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES if s is not corpus_pipeline.drop_toxic], ids=lambda s: s.__name__)
+def test_stages_of_no_rows(spark, stage):
+    assert stage(spark, documents(spark).where("false"), "").count() == 0
+
+
+def test_toxic_stage_of_no_rows(spark):
+    assert corpus_pipeline.drop_toxic(spark, documents(spark).where("false"), "/root/testdata/sf0.001").count() == 0
+
+
+def test_a_shared_folder_is_asked_for():
+    from lamina.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)

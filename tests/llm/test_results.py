@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+import corpus_pipeline
 from lamina.llm import bpe, chat, fingerprint, hnsw, html, jaccard, language, packing, tokencount, toxicity
 from lamina.llm.registry import QUERIES
 
@@ -106,9 +107,24 @@ def test_runs_of_uneven_ids(spark, far):
     assert [guests[k] for k in sorted(runs)] == [max(ordered[-1]), *map(max, ordered[:-1])]
 
 
-def test_runs_of_one_id(spark):
-    docs = spark.range(1200).selectExpr("7L doc_id", "string(id) text")
-    assert fingerprint.in_runs(docs).where("not guest").count() == 1200
+@pytest.mark.parametrize("other", [None, 3, 8])
+def test_runs_of_one_id(spark, other):
+    """A third of all rows, or all of them, have one id: its rows are cut by a hash of their texts."""
+    docs = spark.range(3000).selectExpr("7L doc_id", "string(id) text")
+    if other is not None:
+        docs = docs.union(spark.createDataFrame([(other, "x"), (other, "y"), (None, "z")], "doc_id long, text string"))
+    rows = fingerprint.in_runs(docs).collect()
+    own = [r for r in rows if not r.guest]
+    assert sorted(r.text for r in own) == sorted(r.text for r in docs.collect())
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.h)
+    runs = {}
+    for r in own:
+        runs.setdefault(r.run, []).append(key(r))
+    ordered = [runs[k] for k in sorted(runs)]
+    assert max(map(len, ordered)) <= 3 * fingerprint.RUN_ROWS and len(ordered) > 3
+    assert all(max(a) <= min(b) for a, b in zip(ordered, ordered[1:], strict=False))
+    guests = {r.run: key(r) for r in rows if r.guest}
+    assert [guests[k] for k in sorted(runs)] == [max(ordered[-1]), *map(max, ordered[:-1])]
 
 
 @pytest.mark.parametrize("module", [language, toxicity])
@@ -126,6 +142,73 @@ def test_models_at_one_address_are_told_apart(spark, module, monkeypatch):
     assert len(keys) == 2 * len(run)
 
 
+def xx(data, seed=42):
+    """xxHash64 as a signed number: of bytes, or of numbers of 8 or 4 bytes one after another."""
+    import xxhash
+
+    for one, size in data if isinstance(data, list) else [(data, 0)]:
+        seed = xxhash.xxh64_intdigest(one if not size else int(one).to_bytes(size, "little", signed=True), seed=seed % 2**64)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def brute_fingerprints(texts):
+    """I-Match word by word: the lexicon's terms, rare others up to FEWEST, and a hash of the sorted ones of each subset."""
+    import regex
+
+    words = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    once = set(texts)
+    counts = {}
+    for t in once:
+        for w in words(t):
+            counts[w] = counts.get(w, 0) + 1
+    n = len(once)
+    known = {w: c for w, c in counts.items() if c >= max(2.0, fingerprint.RARE * n)}
+    often = {w for w, c in known.items() if c > fingerprint.COMMON * n}
+
+    def entries(w):
+        term = xx(w.encode())
+        dealt = [xx([(term, 8), (1, 4)]) % fingerprint.SUBSETS]
+        if xx([(term, 8), (2, 4)]) % fingerprint.SPARSE == 0:
+            dealt.append(xx([(term, 8), (3, 4)]) % fingerprint.SPARSE_SUBSETS + fingerprint.SUBSETS)
+        return [(k << 56) | (term & fingerprint._LOW) for k in dealt]
+
+    def parts(text):
+        mine = [w for w in words(text) if w in known and w not in often]
+        others = sorted((known.get(w, 0), xx(w.encode()), w) for w in words(text) if w not in known or w in often)
+        chosen = mine + [w for *_, w in others[: max(0, fingerprint.FEWEST - len(mine))]]
+        all_ = sorted(e for w in chosen for e in entries(w))
+        out = []
+        for k in range(fingerprint.SUBSETS + fingerprint.SPARSE_SUBSETS):
+            some = " ".join(str(e) for e in all_ if e >> 56 == k)
+            out.append(xx(some.encode()) % 65535 + 1 if some else 0)
+        return out
+
+    return parts
+
+
+def alike(p, q, same):
+    either = sum(x > 0 or y > 0 for x, y in zip(p, q))
+    return sum(x == y > 0 for x, y in zip(p, q)) / either if either else float(same)
+
+
+def test_fingerprint_query_is_brute_forces(spark, texts):
+    rows = {r.doc_id: r for r in QUERIES["op1_imatch"](spark, SF).collect()}
+    parts = brute_fingerprints(list(texts.values()))
+    order = sorted(texts, reverse=True)
+    mine = {i: parts(t) for i, t in texts.items()}
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        text, h = texts[i], len(texts[i]) // 2
+        edited = text[: len(text) - h] + texts[j][:h]
+        q = parts(edited)
+        if any(mine[i]):
+            assert rows[i].fingerprint == "".join(f"{x:04x}" for x in mine[i])
+        if any(q):
+            assert rows[i].edited_fingerprint == "".join(f"{x:04x}" for x in q)
+        assert rows[i].n_chars == len(text)
+        assert rows[i].near_edited == pytest.approx(alike(mine[i], q, text == edited))
+        assert rows[i].near_next == pytest.approx(alike(mine[i], mine[j], text == texts[j]))
+
+
 def near_copies(words, n, seed):
     """n texts of words that differ in one character."""
     out = []
@@ -552,3 +635,119 @@ def test_minimum_cut_is_brute_forces():
         edges = [(a, b, draw.uniform(0, 2)) for a, b in itertools.combinations(range(n), 2) if draw.random() < 0.5]
         cost = lambda keep: sum(max(x, 0) if k else max(-x, 0) for x, k in zip(odds, keep)) + sum(c for a, b, c in edges if keep[a] != keep[b])  # noqa: B023, E731
         assert cost(html.minimum_cut(odds, edges)) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=n))))
+
+
+def test_pages_query_gives_the_articles(spark):
+    """The pages of the tables hold one article each: its paragraphs and nothing else are the text."""
+    rows = {r.page_id: r for r in QUERIES["op9_html_extraction"](spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert sorted(rows) == sorted(r.page_id for r in pages)
+    import re
+    from html import unescape
+
+    changed = 0
+    for page in pages:
+        inside = re.search(r"<article[^>]*>(.*)</article>", page.html, re.S)
+        parts = re.split(r"</?(?:p|h1|div|article|ul|li|blockquote|pre|section)\b[^>]*>", re.sub(r"<script.*?</script>|<!--.*?-->|<(aside|div class=\"ad\")[^>]*>.*?</(aside|div)>", "", inside[1], flags=re.S))
+        lines = [" ".join(unescape(re.sub(r"<br[^>]*>", " ", x)).split()) for x in parts]
+        lines = [" ".join(re.sub(r"<[^>]*>", "", x).split()) for x in lines]
+        assert rows[page.page_id].text == "\n".join(x for x in lines if x) and rows[page.page_id].n_chars == len(rows[page.page_id].text)
+        blocks, keep = html.labelled(page.html)
+        changed += sum((b.odds < 0) != k for b, k in zip(blocks, keep, strict=True))
+    assert changed > 0  # what a block's text says isn't the last word
+
+
+def plain_cut(odds, edges):
+    """The cost of a minimum cut, as a maximum flow by plain augmenting paths."""
+    n = len(odds)
+    room = {}
+    for i, x in enumerate(odds):
+        room[("s", i) if x < 0 else (i, "t")] = abs(x)
+    for a, b, c in edges:
+        room[a, b] = room.get((a, b), 0.0) + c
+        room[b, a] = room.get((b, a), 0.0) + c
+    near = {}
+    for a, b in list(room):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    total = 0.0
+    while True:
+        came, queue = {"s": None}, ["s"]
+        for x in queue:
+            for y in near.get(x, ()):
+                if y not in came and room.get((x, y), 0.0) > 1e-9:
+                    came[y] = x
+                    queue.append(y)
+        if "t" not in came:
+            return total
+        path, x = [], "t"
+        while came[x] is not None:
+            path.append((came[x], x))
+            x = came[x]
+        flow = min(room[e] for e in path)
+        for a, b in path:
+            room[a, b] -= flow
+            room[b, a] = room.get((b, a), 0.0) + flow
+        total += flow
+
+
+def test_pages_query_is_brute_forces(spark):
+    """The query's labels cost what a minimum cut costs, found in another way, and its texts are those labels'."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = html.learn(pages)
+    rows = {r.page_id: r.text for r in QUERIES["op9_html_extraction"](spark, SF).collect()}
+    for page in pages.collect():
+        blocks, elements = html.blocks_of(page.html)
+        html.classify(blocks, elements, weights)
+        odds, edges = html.network(blocks, elements)
+        keep = html.minimum_cut(odds, edges)
+        cost = sum(max(x, 0) if k else max(-x, 0) for x, k in zip(odds, keep)) + sum(c for a, b, c in edges if keep[a] != keep[b])
+        assert cost == pytest.approx(plain_cut(odds, edges))
+        assert rows[page.page_id] == "\n".join(b.text for b, k in zip(blocks, keep) if k)
+
+
+def test_the_classifier_is_fitted():
+    plain, page = html.PLAIN_WEIGHTS, "<article><p>{}</p><p>Short.</p></article><nav><ul><li><a href=x>home</a></li></ul></nav>".format("Many words here. " * 10)
+    assert [b.says for b in html.blocks_of(page)[0]] == [("", "long", "paragraph", "sentence"), ("", "short", "paragraph", "sentence"), ("", "short", "links", "item")]
+    assert plain["item"] == 0.0
+
+
+def test_classifier_weights(spark):
+    page = "<article><p>{}</p><p>Short.</p></article><nav><ul><li><a href=x>home</a></li><li>more</li></ul></nav>".format("Many words here. " * 10)
+    learnt = html.learn(spark.createDataFrame([(1, page), (2, page), (3, None)], "page_id long, html string"))
+    assert learnt["item"] > 0.5 > 0 > learnt["sentence"] and learnt["paragraph"] < html.PLAIN_WEIGHTS["paragraph"]
+    assert html.learn(spark.createDataFrame([(1, "<p>one</p>")], "page_id long, html string")) == html.PLAIN_WEIGHTS
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<body>" + "".join(f"<p>Words of a paragraph number {i} which has more than one hundred characters in all, if they are counted.</p><h3>Short {i}</h3>" for i in range(8000)), "<a " * 80_000, '<a b="> <a b=">x" ' * 40_000, "<div>text " * 30_000, "<div></x>text " * 30_000, "<!" * 300_000, "<script>" * 50_000, "<!--" * 100_000],
+    ids=["paragraphs", "open", "quotes", "deep", "unmatched", "bang", "script", "comments"],
+)
+def test_hard_pages_take_linear_time(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 20
+
+
+def test_pipeline_is_brute_forces(spark, texts):
+    """run() against its stages done text by text: what stays after each, and the packing of just that."""
+    from tokenizers import Tokenizer
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scorer = language.Scorer(language.learn(docs.where(language.held_out() == False)))  # noqa: E712
+    said = {i: scorer.predict(t) for i, t in texts.items()}
+    stay = {i for i, (lang, share) in said.items() if lang != "und" and share >= corpus_pipeline.LANGUAGE_LEAST}
+    left = docs.where(docs.doc_id.isin(sorted(stay)))
+    toxic = toxicity.Scorer(toxicity.learn(toxicity.training_rows(left, labels)))
+    stay = {i for i in stay if toxic.probability(toxic.evidence(texts[i])) < toxicity.THRESHOLD}
+    roots, _ = brute_components({i: texts[i] for i in stay})
+    stay = {i for i in stay if roots[i] == i}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(rows.doc_id) == stay and len(stay) < len(texts)
+    for doc_id, mine in rows.groupby("doc_id"):
+        ids = np.array([*library.encode(texts[doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert mine.length.sum() == len(ids)
+        assert sorted(mine.ids_crc32) == sorted(zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(mine.start, mine.length))
+    assert rows.groupby("sequence_id").length.sum().max() <= 2048 and rows.sequence_id.nunique() <= 1.02 * np.ceil(rows.length.sum() / 2048) + 1

@@ -1,18 +1,21 @@
 """Best-fit packing in bulk-synchronous rounds.
 
 Lengths are whole numbers up to the capacity, so documents and gaps of one size are the same to a best fit. Both are
-therefore kept range-sorted by size as runs: (size, first rank, how many). A round sweeps the runs from the largest
-document down, with the gaps that are large enough on a stack, the smallest on top: a run takes its successors from the
-top, the r-th document the r-th gap of a run, which settles every conflict by rank. Gaps are updated when the round ends,
-and the next round begins; where nothing fits any more, the largest documents open sequences. A round costs at most as
-many steps as there are sizes, whatever the number of documents. Spark counts the documents by size, ranks them within
-their size in salted groups, and places each one by its rank.
+therefore kept sorted by size as runs: (size, first rank or sequence, how many). A round is a Spark job over the runs, dealt
+to tasks by ranges of sizes. In each range a sweep goes from the largest document down, with the gaps that are large enough
+on a stack, the smallest on top: a run takes its successors from the top, the r-th documents the r-th gap of a run, which
+settles every conflict by rank. What is left of all ranges, documents that need a gap of a higher one and gaps that no
+document of their own took, is swept together, which gives what one sweep over all would. Gaps are updated when the round
+ends, and the next one begins; where nothing fits any more, the largest documents open sequences, most of those that what is
+left needs at least. The number of rounds and of runs depends on the sizes, not on the number of documents: some dozens, and
+some thousands. Spark counts the documents by size, ranks them within their size in salted groups, and places each one by its
+rank.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,6 +29,9 @@ CAPACITY = 2048
 #: Groups that documents of one length are dealt into to be ranked; the table of their counts has CAPACITY * SALTS rows at most.
 SALTS = 64
 WORD_LIMIT = 300_000
+#: Ranges of sizes that a round's runs are dealt into; the share of the sequences that what is left needs at least which is
+#: opened when nothing fits.
+RANGES, OPENED = 8, 0.9
 
 
 class Ids:
@@ -94,52 +100,90 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Where documents go: (length, first rank, end rank, sequence of the first, offset in it), from how many have each length."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    ranks = dict.fromkeys(left, 0)
-    placed: list[tuple[int, int, int, int, int]] = []
-    gaps: list[tuple[int, int, int]] = []  # gap, first sequence, sequences
+Run = tuple[int, int, int, int]  # DOCUMENTS or GAPS, size, first rank or sequence, how many
+Placed = tuple[int, int, int, int, int, int]  # size, first rank, documents in each gap, gap, first sequence, gaps
+DOCUMENTS, GAPS, PLACED = 0, 1, 2
+ROUND = "kind long, size long, first long, n long, each long, gap long, sequence long"
+FIELDS = tuple(x.split()[0] for x in ROUND.split(", "))
+
+
+def sweep(runs: list[Run]) -> tuple[list[Placed], list[Run]]:
+    """Best fit within some runs: what is placed, and what is left. A gap takes as many documents of a run as it can: after
+    each, its rest is still the smallest gap for the next."""
+    documents = sorted((r[1:] for r in runs if r[0] == DOCUMENTS), reverse=True)
+    waiting = sorted(r[1:] for r in runs if r[0] == GAPS)
+    stack: list[tuple[int, int, int]] = []
+    placed: list[Placed] = []
+    left: list[Run] = []
+    for size, first, n in documents:
+        while waiting and waiting[-1][0] >= size:
+            stack.append(waiting.pop())
+        while stack and n:
+            gap, sequence, gaps = stack.pop()
+            each = min(n, gap // size)
+            taken = min(gaps, n // each)
+            placed.append((size, first, each, gap, sequence, taken))
+            first, n = first + each * taken, n - each * taken
+            if taken < gaps:
+                stack.append((gap, sequence + taken, gaps - taken))
+        if n:
+            left.append((DOCUMENTS, size, first, n))
+    return placed, left + [(GAPS, *g) for g in (*waiting, *stack)]
+
+
+def swept(spark: SparkSession, runs: list[Run], capacity: int) -> tuple[list[Placed], list[Run]]:
+    """sweep() as a Spark job: in ranges of sizes, then of what they leave. Runs are bounded, so they come from the driver and go back."""
+
+    def one(group: pa.Table) -> pa.Table:
+        rows = list(zip(*(c.to_pylist() for c in group.select(FIELDS).columns), strict=True))
+        placed, left = sweep([r[:4] for r in rows if r[0] != PLACED])
+        done = [r for r in rows if r[0] == PLACED]
+        return _table(done + [(PLACED, size, first, gaps, each, gap, sequence) for size, first, each, gap, sequence, gaps in placed] + [(*r, 0, 0, 0) for r in left])
+
+    rows = spark.createDataFrame(_table([(*r, 0, 0, 0) for r in runs]))
+    ranges = rows.groupBy(F.floor(F.col("size") / F.lit(-(-(capacity + 1) // RANGES))).alias("range")).applyInArrow(one, ROUND)
+    out = ranges.groupBy(F.lit("all").alias("every")).applyInArrow(one, ROUND).toArrow()
+    found = list(zip(*(c.to_pylist() for c in out.columns), strict=True))
+    return [(size, first, each, gap, sequence, n) for kind, size, first, n, each, gap, sequence in found if kind == PLACED], [r[:4] for r in found if r[0] != PLACED]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(FIELDS))], names=FIELDS)
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, sweeper: Callable[[list[Run]], tuple[list[Placed], list[Run]]] = sweep) -> list[Placed]:
+    """Where documents go, from how many have each length. A round is a call of sweeper."""
+    left = {n: (0, c) for n, c in counts.items() if c > 0}  # first rank, how many
+    placed: list[Placed] = []
+    gaps: list[Run] = []
     opened = 0
 
-    def put(length: int, n: int, sequence: int, offset: int) -> None:
-        placed.append((length, ranks[length], ranks[length] + n, sequence, offset))
-        ranks[length] += n
-        left[length] -= n
-        if not left[length]:
-            del left[length]
-
-    def open_for(length: int) -> None:
+    def open_for(length: int, most: int) -> int:
         nonlocal opened
-        share = capacity // length
-        for each in (share, left.get(length, 0) % share):
-            n = left.get(length, 0) // each if each else 0
-            if n:
-                for k in range(each):
-                    put(length, n, opened, k * length)
-                gaps.append((capacity - each * length, opened, n))
-                opened += n
+        first, n = left.pop(length)
+        taken = min(n, most)
+        placed.append((length, first, 1, capacity, opened, taken))
+        gaps.append((GAPS, capacity - length, opened, taken))
+        opened += taken
+        if taken < n:
+            left[length] = (first + taken, n - taken)
+        return taken
 
     for length in sorted((x for x in left if 2 * x > capacity), reverse=True):
-        open_for(length)
+        open_for(length, left[length][1])
     while left:
-        stack, updated = [], []
-        waiting = sorted((g for g in gaps if g[0] > 0))
-        for length in sorted(left, reverse=True):  # the sweep
-            while waiting and waiting[-1][0] >= length:
-                stack.append(waiting.pop())
-            while stack and length in left:
-                gap, sequence, n = stack.pop()
-                take = min(n, left[length])
-                if take < n:
-                    stack.append((gap, sequence + take, n - take))
-                put(length, take, sequence, capacity - gap)
-                updated.append((gap - length, sequence, take))
-        if updated:
-            smallest = min(left, default=capacity)
-            gaps = [g for g in (*waiting, *stack, *updated) if g[0] >= smallest]
+        smallest = min(left)
+        gaps = [g for g in gaps if g[1] >= smallest]
+        done, rest = sweeper([(DOCUMENTS, size, first, n) for size, (first, n) in left.items()] + gaps) if gaps else ([], [])
+        if done:
+            placed += done
+            left = {size: (first, n) for kind, size, first, n in rest if kind == DOCUMENTS}
+            gaps = [r for r in rest if r[0] == GAPS] + [(GAPS, gap - each * size, sequence, n) for size, _, each, gap, sequence, n in done]
         else:
-            open_for(max(left))
+            most = max(1, int(OPENED * sum(size * n for size, (_, n) in left.items()) / capacity))
+            for length in sorted(left, reverse=True):
+                if most:
+                    most -= open_for(length, most)
     return placed
 
 
@@ -157,27 +201,34 @@ def pack(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Data
     for r in sorted(counts):
         first.append((r["length"], r["_salt"], total.get(r["length"], 0)))
         total[r["length"]] = total.get(r["length"], 0) + r["n"]
-    runs = [(a, b, c, d, e) for a, b, c, d, e in plan(total, capacity)]
+    runs = plan(total, capacity, lambda some: swept(spark, some, capacity))
     offsets = spark.createDataFrame(first, "length long, _salt int, _first long")
-    places = spark.createDataFrame(runs, "length long, _from long, _to long, _sequence long, offset long")
+    places = spark.createDataFrame([(size, a, a + each * n, each, gap, sequence) for size, a, each, gap, sequence, n in runs], "length long, _from long, _to long, _each long, _gap long, _sequence long")
     ranked = (
         salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")) - 1)
         .join(F.broadcast(offsets), ["length", "_salt"])  # bounded as above
         .withColumn("_rank", F.col("_rank") + F.col("_first"))
     )
     # A length's runs are few, and all runs are bounded by rounds and sizes, not by documents.
+    at = F.col("_rank") - F.col("_from")
     return (
         ranked.join(F.broadcast(places), (ranked.length == places.length) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-        .withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_from"))
+        .withColumns({"sequence_id": F.col("_sequence") + F.floor(at / F.col("_each")), "offset": F.lit(capacity) - F.col("_gap") + (at % F.col("_each")) * ranked.length})
         .select(*(ranked[c] for c in items.columns), "sequence_id", "offset")
     )
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. An empty table gives an empty one; other columns of docs are left out."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null text counts as empty: one piece, of id 0 alone. Rows that repeat, or have no doc_id, are packed each by itself; which
+    of equally long pieces goes where is decided by doc_id, piece and start. Other columns are left out, so none can clash; an
+    empty table gives an empty one. Texts are encoded whole, of any length.
+    """
     small_batches(docs.sparkSession)
     return pack(saved(pieces(docs, capacity), "pieces"), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packed() of all documents."""
     return packed(table(spark, sf_dir, "documents"))

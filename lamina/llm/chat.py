@@ -165,6 +165,7 @@ def read_back(turns: DataFrame) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from all conversations as formatted, and from one whose texts are control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     small_batches(spark)
     said = F.lit(f"{END[:-1]}{START}{TRAINED_ROLE} ok")

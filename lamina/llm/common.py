@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-#: Rows in one Arrow batch: some thousand texts of a few kB stay well below a Python worker's share of memory.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch at most: some thousand texts of a few kB, or fewer long ones, stay well below a Python
+#: worker's share of memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of long texts takes in a Python worker."""
+    """Bounds what one Arrow batch of texts takes in a Python worker. These are settings of the session, and stay so: Spark
+    reads them when a lazy result is at last computed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
@@ -76,10 +79,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a table written in the shared folder: cuts its lineage, so that a lost executor costs no recomputation of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # what a task buffers
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more rows than this aren't joined by a shuffle (or with a larger number, that so many have as are broadcast).
+HOT_ROWS = 1000
+
+
+def by_key(rows: DataFrame, one: DataFrame, keys: list[str], few: int) -> DataFrame:
+    """rows inner joined with one, which has a row for each key, with ``copies``, how many of rows have it. one is broadcast if
+    it has at most ``few`` rows; else what is shuffled leaves out keys with very many rows, whose part of one is broadcast: of
+    such there are at most ``few``."""
+    if one.count() <= few:
+        return rows.join(F.broadcast(one.drop("copies")), keys)
+    hot = max(HOT_ROWS, one.agg(F.sum("copies")).first()[0] // few)
+    large, small = one.where(F.col("copies") > hot).drop("copies"), one.where(F.col("copies") <= hot).drop("copies")
+    return rows.join(F.broadcast(large), keys).unionByName(rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys))
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id as text leaves 2 when divided by 4: rows that nothing is learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, saved, table
+from .common import bounded_sample, by_key, saved, table
 
 #: Nodes of a cell as aimed at, and of a shard at most (as dealt by a hash); centroids at most.
 CELL_NODES, SHARD_NODES, MOST_CELLS = 4096, 32_768, 1024
@@ -31,8 +31,8 @@ SAMPLE, ASKED, LOOKED_FOR, HELD = 20_000, 400, 20, 0.99
 #: Links of a node on each upper level (twice as many on the lowest), nearest nodes that they are chosen among, and breadth of
 #: the search on the lowest level and above.
 LINKS, NEAREST, SEARCH_BREADTH, ENTRIES = 16, 128, 96, 8
-#: Query vectors that are searched together in one group.
-BLOCK = 4096
+#: Query vectors that are searched together in one group, and vectors or results that are broadcast at most.
+BLOCK, BROADCAST_VECTORS = 4096, 10_000
 
 
 class Graph:
@@ -273,8 +273,11 @@ def nearest(rows: DataFrame, is_query: str, k: int = 20, breadth: int = SEARCH_B
     keyed = in_cells.join(shards, "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # Ranges of shards, so that each is a task's whole work.
     index = saved(keyed.select("shard", "node", "vector", "ids").repartitionByRange(max(1, total), "shard").groupBy("shard").applyInPandas(_build_shard, "shard int, graph binary"), "graphs")
-    asking = saved(vectors.where("asks").select("vec_id", "vector").join(nodes.select("vector", "node"), "vector").select(F.col("vec_id").alias("query_id"), "node"), "queries")
-    distinct = nodes.join(asking.select("node").distinct(), "node", "left_semi").mapInPandas(placed(True), "node long, vector array<double>, ids array<long>, dim int, cells array<int>")
+    # A vector that very many queries have doesn't meet them in one task.
+    asks = vectors.where("asks").select("vec_id", "vector")
+    asked = saved(asks.groupBy("vector").agg(F.count("*").alias("copies")).join(nodes, "vector"), "asked")
+    asking = saved(by_key(asks, asked.select("vector", "node", "copies"), ["vector"], BROADCAST_VECTORS).select(F.col("vec_id").alias("query_id"), "node"), "queries")
+    distinct = asked.select("node", "vector", "ids", "dim").mapInPandas(placed(True), "node long, vector array<double>, ids array<long>, dim int, cells array<int>")
     probing = distinct.select("node", "vector", F.explode("cells").alias("cell")).join(shards, "cell")
     questions = saved(probing.select("node", "vector", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shard")), "questions")
     blocks = questions.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each shard
@@ -284,7 +287,8 @@ def nearest(rows: DataFrame, is_query: str, k: int = 20, breadth: int = SEARCH_B
     order = Window.partitionBy("query_node").orderBy(F.desc("score"), "vec_id")
     merged = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).select("query_node", F.struct("_n", "vec_id", "score").alias("one"))
     lists = merged.groupBy("query_node").agg(F.array_sort(F.collect_list("one")).alias("found"))  # k + 1 of each
-    own = asking.join(lists, asking.node == lists.query_node).select("query_id", F.filter("found", lambda x: x["vec_id"] != F.col("query_id")).alias("found"))
+    lists = saved(lists.join(asked.select(F.col("node").alias("query_node"), "copies"), "query_node").withColumnRenamed("query_node", "node"), "lists")
+    own = by_key(asking, lists, ["node"], BROADCAST_VECTORS).select("query_id", F.filter("found", lambda x: x["vec_id"] != F.col("query_id")).alias("found"))
     return own.select("query_id", F.posexplode(F.slice("found", 1, k))).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score"))
 
 

@@ -29,17 +29,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, saved, table
+from .common import BoundedCache, by_key, saved, table
 
 N, PERCENT = 5, 75
 #: An n-gram that so many sets within one block of a task have is put last; a block holds about so many n-grams.
-FREQUENT, BLOCK = 4, 2_000_000
+FREQUENT, BLOCK = 4, 4_000_000
 #: Frequent n-grams that are broadcast at most (24 bytes each), those seen most; others keep their place by hash, which
 #: only makes their lists longer.
 ORDERED = 2_000_000
 #: Of the documents with one n-gram, pairs are made and their common n-grams counted where there are so many at most; of
 #: more, all meet under the n-gram.
-PAIRED = 64
+PAIRED = 32
 #: Fragments of the global order: its rare n-grams by hash into all but one, the frequent ones.
 FRAGMENTS = 4
 #: Documents of a block, which meet a pivot, or another block in a tile, in one task; columns of its matrices at once.
@@ -48,11 +48,9 @@ TILE, COLUMNS = 1024, 2048
 SETTLED = 0.5
 #: Rows are broadcast up to so many; beyond, the join is a shuffled one, but for keys with very many rows.
 BROADCAST_IDS = 2_000_000
-#: Keys with more rows than this aren't joined by a shuffle (or with a larger number, that at most BROADCAST_IDS have).
-HOT_ROWS = 1000
 #: Bytes of sets that leave a task at once.
 BATCH_BYTES = 8 << 20
-KEPT = 600_000
+KEPT = 250_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -112,15 +110,19 @@ def described(docs: DataFrame) -> DataFrame:
             nonlocal grams, owners, known, held
             if grams:
                 all_grams = np.concatenate(grams)
-                ids = np.repeat(np.array([i for i, _ in owners], np.int64), [k for _, k in owners])
-                order = np.lexsort((ids, all_grams))
-                all_grams, ids = all_grams[order], ids[order]
-                starts = np.flatnonzero(np.concatenate(([True], all_grams[1:] != all_grams[:-1])))
-                sizes = np.diff(np.append(starts, len(all_grams)))
-                often = sizes >= FREQUENT
-                at = starts[often]
-                none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), none, none, none, pa.nulls(len(at), pa.binary()), pa.array(all_grams[at].view(np.int64)), pa.array(sizes[often].astype(np.int64))], names=names)
+                grams = []
+                found = np.sort(all_grams)
+                often = np.unique(found[FREQUENT - 1 :][found[FREQUENT - 1 :] == found[: len(found) - FREQUENT + 1]])  # sets have an n-gram once
+                del found
+                at = np.minimum(np.searchsorted(often, all_grams), max(0, len(often) - 1)).astype(np.int32) if len(often) else np.zeros(0, np.int32)
+                has = np.flatnonzero(often[at] == all_grams) if len(often) else at
+                ends = np.cumsum([k for _, k in owners])
+                ids = np.array([i for i, _ in owners], np.int64)[np.searchsorted(ends, has, "right")]
+                at = at[has]
+                least = np.full(len(often), np.iinfo(np.int64).max)
+                np.minimum.at(least, at, ids)
+                none = pa.nulls(len(often), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(least), none, none, none, pa.nulls(len(often), pa.binary()), pa.array(often.view(np.int64)), pa.array(np.bincount(at, minlength=len(often)).astype(np.int64))], names=names)
             grams, owners, known, held = [], [], set(), 0
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -396,7 +398,8 @@ def links(sets: DataFrame, met: DataFrame, shared: Broadcast) -> DataFrame:
     while True:
         groups = open_.groupBy("key").agg(F.count("*").alias("size"), F.min(F.when(F.col("label") == NO_LABEL, F.col("doc_id"))).alias("pivot")).where("size > 1")
         blocks = F.ceil(F.col("size") / TILE).cast("int")
-        placed = saved(open_.join(groups.withColumn("blocks", blocks), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
+        groups = saved(groups.select("key", "pivot", blocks.alias("blocks"), F.col("size").alias("copies")), "keys")
+        placed = saved(by_key(open_, groups, ["key"], BROADCAST_IDS).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "members")
         size = placed.count()
         if not size:
             break
@@ -414,36 +417,25 @@ def links(sets: DataFrame, met: DataFrame, shared: Broadcast) -> DataFrame:
         # What isn't linked to the pivot may be to each other, or to what is, if that is as far from it but for the threshold.
         known = placed.where("doc_id <> pivot").join(near.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "distance", "linked"), ["doc_id", "pivot"], "left")
         known = saved(known.select("doc_id", "key", "pivot", "label", F.coalesce("distance", F.lit(1.0)).alias("distance"), F.coalesce("linked", F.lit(False)).alias("linked")), "known")
-        rest = known.where("not linked").groupBy("key").agg(F.min("distance").alias("least"))
+        rest = saved(known.groupBy("key").agg(F.min(F.when(~F.col("linked"), F.col("distance"))).alias("least"), F.count("*").alias("copies")).where("least is not null"), "keys")
         label = F.when(F.col("linked"), F.coalesce(F.nullif("label", F.lit(NO_LABEL)), "pivot")).otherwise(F.col("label"))
-        open_ = known.join(rest, "key").where(f"not linked or distance >= least - {within} - 1e-9").select("doc_id", "key", label.alias("label"))
+        open_ = by_key(known, rest, ["key"], BROADCAST_IDS).where(f"not linked or distance >= least - {within} - 1e-9").select("doc_id", "key", label.alias("label"))
     none = sets.sparkSession.createDataFrame([], "a long, b long")
     for one in found:
         none = none.union(one)
     return none
 
 
-def by_key(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
-    """rows inner joined with one, which has a row for each key, with ``copies``, how many of rows have it. one is broadcast if
-    it is small; else what is shuffled leaves out keys with very many rows, whose part of one is broadcast: of such there are
-    at most BROADCAST_IDS."""
-    if one.count() <= BROADCAST_IDS:
-        return rows.join(F.broadcast(one.drop("copies")), keys)
-    hot = max(HOT_ROWS, one.agg(F.sum("copies")).first()[0] // BROADCAST_IDS)
-    large, small = one.where(F.col("copies") > hot).drop("copies"), one.where(F.col("copies") <= hot).drop("copies")
-    return rows.join(F.broadcast(large), keys).unionByName(rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches, by large-star and small-star rounds."""
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = saved(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies")).select("a", F.least("a", "m").alias("m"), "copies"), "least")
-        large = by_key(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = by_key(both, least, ["a"], BROADCAST_IDS).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = saved(large, "edges")
         least = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies")), "least")
-        small = by_key(large, least, ["a"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = by_key(large, least, ["a"], BROADCAST_IDS).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = saved(small, "edges")
         same = after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty()
         edges = after
@@ -463,7 +455,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = found.where("gram is null and n > 0 and doc_id is not null").select("doc_id", "n", "high", "low", "grams")
     rows = found.where("gram is null").select("doc_id", F.col("n").alias("n_shingles"), "high", "low")
     classes = saved(sets.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "classes")
-    copies = saved(by_key(sets.select("doc_id", "high", "low"), classes, ["high", "low"]).where("first <> doc_id").select("doc_id", "high", "low", "first"), "copies")
+    copies = saved(by_key(sets.select("doc_id", "high", "low"), classes, ["high", "low"], BROADCAST_IDS).where("first <> doc_id").select("doc_id", "high", "low", "first"), "copies")
     # Copies are left out where they are few enough to broadcast; else they stay, and only link with what their class links with.
     ids = copies.select("doc_id", "high", "low").distinct()
     few = ids.count() <= BROADCAST_IDS
@@ -477,7 +469,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A copy not among them has the component of the one that stands for its class.
     firsts = copies.join(grouped, F.col("doc_id") == F.col("node"), "left_anti").select("doc_id", "first").distinct()
     stand = firsts.groupBy("first").agg(F.count("*").alias("copies")).join(grouped, F.col("first") == F.col("node"), "left").select("first", F.coalesce("component", "first").alias("component"), "copies")
-    named = saved(grouped.select(F.col("node").alias("doc_id"), "component").unionByName(by_key(firsts, saved(stand, "stand"), ["first"]).select("doc_id", "component")), "named")
+    named = saved(grouped.select(F.col("node").alias("doc_id"), "component").unionByName(by_key(firsts, saved(stand, "stand"), ["first"], BROADCAST_IDS).select("doc_id", "component")), "named")
     few = named.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(named) if few else named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -107,6 +107,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts() of all documents by the model of 32k pieces."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

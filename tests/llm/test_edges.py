@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lamina.llm import bpe, chat, fingerprint, hnsw, html, jaccard, language, packing, tokencount, toxicity
+from lamina.llm import bpe, chat, common, fingerprint, hnsw, html, jaccard, language, packing, tokencount, toxicity
 
 import public_tokenizers
 
@@ -68,7 +68,7 @@ def test_equal_texts_get_equal_results(spark):
 @pytest.mark.parametrize("few", [2_000_000, 1])
 def test_near_duplicates_without_an_id_or_with_one_id_twice(spark, monkeypatch, few):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
-    monkeypatch.setattr(jaccard, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
     other = "seven eight nine ten eleven twelve"
     rows = [(None, TEXTS[5]), (None, TEXTS[5]), (3, TEXTS[5]), (2, TEXTS[5]), (9, TEXTS[5]), (9, other), (8, other), (7, None), (None, None)]
     out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -152,9 +152,14 @@ def test_toxic_stage_of_no_rows(spark):
     assert corpus_pipeline.drop_toxic(spark, documents(spark).where("false"), "/root/testdata/sf0.001").count() == 0
 
 
-def test_a_shared_folder_is_asked_for():
-    from lamina.llm import common
+def test_batches_of_long_texts_are_small(spark):
+    common.small_batches(spark)
+    docs = spark.range(0, 60, 1, 1).selectExpr("id doc_id", "repeat('x', 1000000) text")
+    sizes = common.map_batches(docs, lambda b: {"n": [b.num_rows] * b.num_rows}, "n int").collect()
+    assert len(sizes) == 60 and max(r.n for r in sizes) <= 20
+
 
+def test_a_shared_folder_is_asked_for():
     class Session:
         class conf:
             get = staticmethod(lambda *_: None)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from lamina.llm import bpe, chat, fingerprint, hnsw, html, jaccard, language, packing, tokencount, toxicity
+from lamina.llm import bpe, chat, common, fingerprint, hnsw, html, jaccard, language, packing, tokencount, toxicity
 from lamina.llm.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -357,7 +357,7 @@ def test_near_duplicates_are_brute_forces(spark, monkeypatch, tile, few, settled
     """As it is; and with blocks of few documents, shuffled joins and tiles right after the first pivots."""
     monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
-    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     monkeypatch.setattr(jaccard, "SETTLED", settled)
     draw = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -556,22 +556,43 @@ def test_packing(spark, texts):
         assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(mine.start, mine.length)] == list(mine.ids_crc32)
 
 
+def in_ranges(runs, capacity=100, ranges=5):
+    """sweep() of each range of sizes, and of what they leave."""
+    placed, left = [], []
+    for k in range(ranges):
+        some = packing.sweep([r for r in runs if r[1] * ranges // (capacity + 1) == k])
+        placed += some[0]
+        left += some[1]
+    more = packing.sweep(left)
+    return placed + more[0], more[1]
+
+
 def test_packing_plan():
     draw = random.Random(1)
     for _ in range(50):
         counts = {draw.randint(1, 100): draw.randint(1, 30) for _ in range(draw.randint(0, 30))}
         used, seen = {}, {}
-        for length, first, end, sequence, offset in packing.plan(counts, 100):
-            seen[length] = seen.get(length, 0) + end - first
-            for k in range(end - first):
-                used.setdefault(sequence + k, []).append((offset, length))
-        assert seen == counts
+        runs = packing.plan(counts, 100)
+        assert sorted(packing.plan(counts, 100, in_ranges)) == sorted(runs)  # ranges give what one sweep over all gives
+        for length, first, each, gap, sequence, n in runs:
+            seen.setdefault(length, []).extend(range(first, first + each * n))
+            for k in range(n):
+                used.setdefault(sequence + k, []).extend((100 - gap + e * length, length) for e in range(each))
+        assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(v)) for k, v in counts.items()}
         for parts in used.values():
             at = 0
             for offset, length in sorted(parts):
                 assert offset == at
                 at += length
             assert at <= 100
+        assert len(used) <= 1.25 * sum(k * v for k, v in counts.items()) / 100 + 3 or any(k > 50 for k in counts)
+
+
+def test_a_round_is_a_sweep(spark):
+    draw = random.Random(8)
+    runs = [(draw.randrange(2), draw.randint(1, 60), 1000 * k, draw.randint(1, 9)) for k in range(60)]
+    a, b = packing.swept(spark, runs, 100), packing.sweep(runs)
+    assert sorted(a[0]) == sorted(b[0]) and sorted(a[1]) == sorted(b[1])
 
 
 PAGE = """<html><body><header><h1>Site</h1><a href=x>home</a></header><div id="cookie-notice">We use cookies to make this site work, and to show adverts. Do you accept?</div>

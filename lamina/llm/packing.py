@@ -131,7 +131,7 @@ def sweep(runs: list[Run]) -> tuple[list[Placed], list[Run]]:
     return placed, left + [(GAPS, *g) for g in (*waiting, *stack)]
 
 
-def swept(spark: SparkSession, runs: list[Run], capacity: int) -> tuple[list[Placed], list[Run]]:
+def swept(spark: SparkSession, runs: list[Run]) -> tuple[list[Placed], list[Run]]:
     """sweep() as a Spark job: in ranges of sizes, then of what they leave. Runs are bounded, so they come from the driver and go back."""
 
     def one(group: pa.Table) -> pa.Table:
@@ -140,8 +140,10 @@ def swept(spark: SparkSession, runs: list[Run], capacity: int) -> tuple[list[Pla
         done = [r for r in rows if r[0] == PLACED]
         return _table(done + [(PLACED, size, first, gaps, each, gap, sequence) for size, first, each, gap, sequence, gaps in placed] + [(*r, 0, 0, 0) for r in left])
 
-    rows = spark.createDataFrame(_table([(*r, 0, 0, 0) for r in runs]))
-    ranges = rows.groupBy(F.floor(F.col("size") / F.lit(-(-(capacity + 1) // RANGES))).alias("range")).applyInArrow(one, ROUND)
+    sizes = sorted(r[1] for r in runs)
+    borders = sorted({sizes[len(sizes) * k // RANGES] for k in range(1, RANGES)})  # ranges with about as many runs each
+    of = sum(((F.col("size") >= b).cast("int") for b in borders), F.lit(0))
+    ranges = spark.createDataFrame(_table([(*r, 0, 0, 0) for r in runs])).groupBy(of.alias("range")).applyInArrow(one, ROUND)
     out = ranges.groupBy(F.lit("all").alias("every")).applyInArrow(one, ROUND).toArrow()
     found = list(zip(*(c.to_pylist() for c in out.columns), strict=True))
     return [(size, first, each, gap, sequence, n) for kind, size, first, n, each, gap, sequence in found if kind == PLACED], [r[:4] for r in found if r[0] != PLACED]
@@ -201,7 +203,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Data
     for r in sorted(counts):
         first.append((r["length"], r["_salt"], total.get(r["length"], 0)))
         total[r["length"]] = total.get(r["length"], 0) + r["n"]
-    runs = plan(total, capacity, lambda some: swept(spark, some, capacity))
+    runs = plan(total, capacity, lambda some: swept(spark, some))
     offsets = spark.createDataFrame(first, "length long, _salt int, _first long")
     places = spark.createDataFrame([(size, a, a + each * n, each, gap, sequence) for size, a, each, gap, sequence, n in runs], "length long, _from long, _to long, _each long, _gap long, _sequence long")
     ranked = (

@@ -39,7 +39,7 @@ FREQUENT, BLOCK = 4, 4_000_000
 ORDERED = 2_000_000
 #: Of the documents with one n-gram, pairs are made and their common n-grams counted where there are so many at most; of
 #: more, all meet under the n-gram.
-PAIRED = 32
+PAIRED = 256
 #: Fragments of the global order: its rare n-grams by hash into all but one, the frequent ones.
 FRAGMENTS = 4
 #: Documents of a block, which meet a pivot, or another block in a tile, in one task; columns of its matrices at once.

@@ -354,10 +354,11 @@ def brute_components(texts):
 
 @pytest.mark.parametrize(("tile", "few", "settled"), [(1024, 2_000_000, 0.5), (8, 1, 0.0)])
 def test_near_duplicates_are_brute_forces(spark, monkeypatch, tile, few, settled):
-    """As it is; and with blocks of few documents, shuffled joins and tiles right after the first pivots."""
+    """As it is; and with blocks of few documents, few pairs of one n-gram, shuffled joins and tiles right after the first pivots."""
     monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
     monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(jaccard, "PAIRED", 256 if tile > 100 else 4)
     monkeypatch.setattr(jaccard, "SETTLED", settled)
     draw = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -591,7 +592,7 @@ def test_packing_plan():
 def test_a_round_is_a_sweep(spark):
     draw = random.Random(8)
     runs = [(draw.randrange(2), draw.randint(1, 60), 1000 * k, draw.randint(1, 9)) for k in range(60)]
-    a, b = packing.swept(spark, runs, 100), packing.sweep(runs)
+    a, b = packing.swept(spark, runs), packing.sweep(runs)
     assert sorted(a[0]) == sorted(b[0]) and sorted(a[1]) == sorted(b[1])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprint, hnsw, html, jaccard, language, merkle, packing, tokencount, toxicity
+from . import bpe, chat, fingerprint, hnsw, html, jaccard, language, merkle, negatives, packing, tokencount, toxicity
 
 QUERIES = {
     "op1_imatch": fingerprint.op1_imatch,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_html_extraction": html.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
 #: The others learn, approximate, or follow a tokenizer: the tests hold them against brute force, libraries and held-out labels.
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.OP2_SQL, "op5_ngram_jaccard": jaccard.OP5_SQL, "op11_merkle_manifest": merkle.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.OP2_SQL, "op5_ngram_jaccard": jaccard.OP5_SQL, "op11_merkle_manifest": merkle.OP11_SQL, "op12_hard_negatives": negatives.OP12_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprint, hnsw, html, jaccard, language, merkle, negatives, packing, tokencount, toxicity
+from . import bpe, chat, fingerprint, hnsw, html, jaccard, language, merkle, negatives, ngrams, packing, tokencount, toxicity
 
 QUERIES = {
     "op1_imatch": fingerprint.op1_imatch,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_lm_scores": ngrams.op13_lm_scores,
 }
 
 #: The others learn, approximate, or follow a tokenizer: the tests hold them against brute force, libraries and held-out labels.

@@ -17,9 +17,10 @@ Smoothing is Dirichlet's at both orders: p(w) = (c(w) + A) / (N + A (V + 1)), p(
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -88,9 +89,6 @@ class Cells:
             ways[known] = self.over[at[known]]
         return ways
 
-    def of(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        return ((self.home(word) + (pair >> np.uint64(20)) % self.ways(word)) % np.uint64(self.count)).astype(np.int64)
-
 
 def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(float))[1]
@@ -186,30 +184,34 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def filter_table(texts: DataFrame, shared) -> DataFrame:
     """(cell, bits) of texts: a row a cell."""
 
-    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        cell, gram = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((gram, cell))
+    def summed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        cell, gram, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(gram)
+        if cell.max() < 1 << 16:
+            cell = cell.astype(np.uint16)  # few different keys are sorted in linear time
+        order = order[np.argsort(cell[order], kind="stable")]
         cell, gram = cell[order], gram[order]
         new = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (gram[1:] != gram[:-1])])
-        counts = np.diff(np.r_[new, len(cell)])
-        cell, gram = cell[new], gram[new]
+        counts = np.add.reduceat(times[order], new)
+        cell, gram = cell[new].astype(np.int64), gram[new]
         at = np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)]
         parts = list(zip(at[:-1], at[1:], strict=True))
         yield pa.RecordBatch.from_pydict({"cell": cell[at[:-1]], "grams": [gram[a:b].tobytes() for a, b in parts], "counts": [_narrow(counts[a:b]) for a, b in parts]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: Cells = shared.value[0]
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
-            for word, pair, _ in _tokens(batch.column(0).to_pylist()):
-                held.append((cells.of(word, pair), pair))
+            for some in _tokens(batch.column(0).to_pylist()):
+                at, home, ways = some.cells(cells)
+                held.append((at, some.pair, np.ones(len(at), np.int64)))
                 # A word's own count is in all cells of its pairs.
-                home, ways = cells.home(word).astype(np.int64), cells.ways(word).astype(np.int64)
+                times = np.bincount(some.which, minlength=len(home))
                 for k in range(int(ways.max(initial=0))):
-                    some = ways > k
-                    held.append(((home[some] + k) % cells.count, word[some]))
-                n += 2 * len(word)
+                    dealt = ways > k
+                    held.append(((home[dealt] + k) % cells.count, some.words[dealt], times[dealt]))
+                n += len(at) + len(home)
                 if n > HELD:
                     yield from summed(held)
                     held, n = [], 0
@@ -240,8 +242,26 @@ def _wide(data: bytes) -> np.ndarray:
     return counts
 
 
-def _tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes of tokens and of pairs of some texts at a time, and where each text begins."""
+class Tokens:
+    """Some texts' tokens: different words, which of them each token is, hashes of pairs, and where each text begins."""
+
+    def __init__(self, tokens: list[bytes], starts: list[int]):
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.which = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+        self.words = hashed(list(numbers))
+        self.starts = np.array(starts)
+        self.pair = pairs(self.words[self.which], self.starts)
+
+    def cells(self, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cell of each pair; each different word's first cell, and to how many its pairs are dealt."""
+        home, ways = cells.home(self.words).astype(np.int64), cells.ways(self.words).astype(np.int64)
+        at = home[self.which]
+        if ways.max(initial=1) > 1:
+            at = (at + (self.pair >> np.uint64(20)).astype(np.int64) % ways[self.which]) % cells.count
+        return at, home, ways
+
+
+def _tokens(texts: list[str | None]) -> Iterator[Tokens]:
     held: list[bytes] = []
     starts: list[int] = []
     for text in texts:
@@ -249,30 +269,35 @@ def _tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         held += words(text)
         held.append(END)
         if len(held) > HELD // 4:
-            word = hashed(held)
-            yield word, pairs(word, np.array(starts)), np.array(starts)
+            yield Tokens(held, starts)
             held, starts = [], []
     if held:
-        word = hashed(held)
-        yield word, pairs(word, np.array(starts)), np.array(starts)
+        yield Tokens(held, starts)
 
 
 def _log_sums(texts: list[str | None], cells: Cells, held: Filter, n: int, v: int) -> list[float]:
     """Per text the part of its log10 probability that the held cells give."""
     out: list[float] = []
-    for word, pair, starts in _tokens(texts):
-        at, home = cells.of(word, pair), cells.home(word).astype(np.int64)
-        last = np.r_[starts[1:], len(word)] - 1
-        parts = np.zeros(len(word))
+    for some in _tokens(texts):
+        at, home, ways = some.cells(cells)
+        parts = np.zeros(len(at))
         here = np.flatnonzero(held.size[at])
-        single = (held.counts(word[here], at[here]) + ADDED) / (n + ADDED * (v + 1))
-        parts[here] = np.log10(held.counts(pair[here], at[here]) + WEIGHT * single)
-        # What a token is divided by as the word before the next one; before the first one texts are counted.
-        as_first = held.size[home] > 0
-        as_first[last] = False
-        some = np.flatnonzero(as_first)
-        parts[some] -= np.log10(held.counts(word[some], home[some]) + WEIGHT)
-        out += np.add.reduceat(parts, starts).tolist()
+        # A word's count is in each of its cells: in the first one that is held here.
+        single = np.zeros(len(home))
+        left = np.arange(len(home))
+        for k in range(int(ways.max(initial=0))):
+            left = left[ways[left] > k]
+            cell = (home[left] + k) % cells.count
+            there = held.size[cell] > 0
+            single[left[there]] = held.counts(some.words[left[there]], cell[there])
+            left = left[~there]
+        low = (single + ADDED) * (WEIGHT / (n + ADDED * (v + 1)))
+        pair, first, which = np.unique(some.pair[here], return_index=True, return_inverse=True)
+        parts[here] = np.log10(held.counts(pair, at[here[first]])[which] + low[some.which[here]])
+        # What a token is divided by as the word before the next one, where its first cell is held.
+        over = np.where(held.size[home] > 0, np.log10(single + WEIGHT), 0.0)[some.which]
+        over[np.r_[some.starts[1:], len(at)] - 1] = 0.0
+        out += np.add.reduceat(parts - over, some.starts).tolist()
     return out
 
 
@@ -291,13 +316,13 @@ class Model:
         #: Frequent words: at most ``share`` of them, whatever the corpus. The others' counts are joined.
         self.is_frequent = F.col("n") * share >= self.n
         self.frequent = {bytes(r.word): r.n for r in self.counts.where(self.is_frequent).toLocalIterator()}
-        count = max(1, -(-self.n // cell))
-        self.cells = Cells(count, {w: min(count, -(-k // cell)) for w, k in self.frequent.items() if k > cell})
+        most = max(1, -(-self.n // cell))
+        self.cells = Cells(most, {w: min(most, -(-k // cell)) for w, k in self.frequent.items() if k > cell})
         self.filter = saved(filter_table(texts, self.spark.sparkContext.broadcast((self.cells,))), "filter")
         size = F.octet_length("bits")
         self.shards = max(1, -(-(self.filter.agg(F.sum(size)).first()[0] or 0) // shard))
-        while self.shards < count and self.filter.groupBy(self.shard()).agg(F.sum(size).alias("b")).agg(F.max("b")).first()[0] > shard:
-            self.shards = min(count, self.shards + max(1, self.shards // 4))
+        while self.shards < most and self.filter.groupBy(self.shard()).agg(F.sum(size).alias("b")).agg(F.max("b")).first()[0] > shard:
+            self.shards = min(most, self.shards + max(1, self.shards // 4))
 
     def shard(self) -> Column:
         return F.floor(F.col("cell") * self.shards / self.cells.count)
@@ -356,9 +381,9 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         out = out.join(more, "key", "left").withColumn("part", F.col("part") + F.col("_more"))
     rare = out.select("_row", F.explode("rare").alias("_r")).select("_row", "_r.word", F.col("_r.n").alias("times"))
     infrequent = model.counts.where(~model.is_frequent)
-    count = F.coalesce("n", F.lit(0))
-    log = F.log10((count + F.lit(ADDED)) / F.lit(n + ADDED * (v + 1)))
-    sums = rare.join(infrequent, "word", "left").groupBy("_row").agg(F.sum(F.when(count > 0, F.col("times"))).alias("_known"), F.sum(F.col("times") * log).alias("_log"))
+    seen = F.coalesce("n", F.lit(0))
+    log = F.log10((seen + F.lit(ADDED)) / F.lit(n + ADDED * (v + 1)))
+    sums = rare.join(infrequent, "word", "left").groupBy("_row").agg(F.sum(F.when(seen > 0, F.col("times"))).alias("_known"), F.sum(F.col("times") * log).alias("_log"))
     none = F.lit(0)
     return out.drop("rare", "key").join(sums, "_row", "left").select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", none)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -17,21 +17,21 @@ Smoothing is Dirichlet's at both orders: p(w) = (c(w) + A) / (N + A (V + 1)), p(
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .common import saved, table
 
-#: Bits of an entry, and probes of each.
-BITS, PROBES = 12, 6
+#: Bits of an entry; of these so many are probed, in two words of a line of so many words: one place in memory.
+BITS, PROBES, LINE = 12, 6, 8
 #: Training tokens for each cell, and bytes of the cells that are broadcast at once.
 CELL, SHARD = 1 << 20, 64 << 20
 #: Words that occur at least once in so many training tokens are broadcast: there can't be more of them.
@@ -43,16 +43,11 @@ ADDED = 0.1
 _STEP, _TURN, _MIX, _NO_WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(1)
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words between white space (space, and 9 to 13)."""
-    return text.encode().lower().split() if text else []
-
-
 #: The token at the end of each text: no word is empty.
-END = b""
+END = ""
 
 
-def hashed(tokens: list[bytes]) -> np.ndarray:
+def hashed(tokens: list[str]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 
 
@@ -72,7 +67,7 @@ def pairs(word: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Cells:
     """Where n-grams belong: ``count`` cells, and words whose pairs are dealt to several."""
 
-    def __init__(self, count: int, spread: dict[bytes, int]):
+    def __init__(self, count: int, spread: dict[str, int]):
         self.count = count
         order = sorted((xxh3_64_intdigest(w), k) for w, k in spread.items())
         self.words, self.over = np.array([h for h, _ in order], np.uint64), np.array([k for _, k in order], np.uint64)
@@ -98,27 +93,31 @@ def levels(counts: np.ndarray) -> np.ndarray:
 MIDDLE = np.array([0.0, *[(2.0 ** (k - 1) + 2.0**k - 1) / 2 for k in range(1, 64)]])
 
 
-def _starts(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first probe of entries (n-gram, level), and the step to the next ones."""
-    one = mixed(grams + np.uint64(level * int(_STEP) % (1 << 64)))
-    return one, mixed(one + _STEP) | np.uint64(1)
-
-
-def _bit(probe: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
-    return ((probe >> np.uint64(32)) * size) >> np.uint64(32)
+def _entry(grams: np.ndarray, level: int, lines: np.ndarray | np.uint64) -> tuple[np.ndarray, ...]:
+    """Where entries (n-gram, level) are: two words of one line of LINE words, and the PROBES bits in them."""
+    h = mixed(grams + np.uint64(level * int(_STEP) % (1 << 64)))
+    line = ((h >> np.uint64(32)) * lines) >> np.uint64(32)
+    other = mixed(h + _STEP)
+    places, masks = [], []
+    for k in range(2):
+        places.append(line * np.uint64(LINE) + ((h >> np.uint64(3 * k)) & np.uint64(LINE - 1)))
+        mask = np.zeros(len(grams), np.uint64)
+        for j in range(k * PROBES // 2, (k + 1) * PROBES // 2):
+            mask |= np.uint64(1) << ((other >> np.uint64(6 * j)) & np.uint64(63))
+        masks.append(mask)
+    return (*places, *masks)
 
 
 def cell_bits(grams: np.ndarray, counts: np.ndarray) -> bytes:
-    """A cell's filter. Its first four bytes are how many bits it has."""
+    """A cell's filter: lines of LINE words of 64 bits, BITS bits for each entry."""
     level = levels(counts)
-    size = max(64, BITS * int(level.sum()))
-    bits = np.zeros(size, bool)
+    lines = max(1, -(-BITS * int(level.sum()) // (64 * LINE)))
+    bits = np.zeros(lines * LINE, "<u8")
     for k in range(1, int(level.max(initial=0)) + 1):
-        one, other = _starts(grams[level >= k], k)
-        for _ in range(PROBES):
-            bits[_bit(one, np.uint64(size))] = True
-            one += other
-    return size.to_bytes(4, "little") + np.packbits(bits).tobytes()
+        a, b, mask_a, mask_b = _entry(grams[level >= k], k, np.uint64(lines))
+        np.bitwise_or.at(bits, a, mask_a)
+        np.bitwise_or.at(bits, b, mask_b)
+    return bits.tobytes()
 
 
 class Filter:
@@ -128,9 +127,9 @@ class Filter:
         self.first, self.size = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
         at = 0
         for cell, data in cells:
-            self.size[cell], self.first[cell] = int.from_bytes(data[:4], "little"), at
-            at += 8 * (len(data) - 4)
-        self.bits = np.frombuffer(b"".join(d[4:] for _, d in cells), np.uint8)
+            self.size[cell], self.first[cell] = len(data) // (8 * LINE), at
+            at += len(data) // 8
+        self.bits = np.frombuffer(b"".join(d for _, d in cells), "<u8")
 
     def counts(self, grams: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """About how often each n-gram occurs, by probes for one level after another."""
@@ -144,14 +143,13 @@ class Filter:
         return MIDDLE[level]
 
     def _found(self, grams: np.ndarray, cells: np.ndarray, alive: np.ndarray, level: int) -> np.ndarray:
-        """Which of those alive are in the filter with this level; the others drop out at the first bit that isn't set."""
+        """Which of those alive are in the filter with this level."""
         of = cells[alive]
-        one, other = _starts(grams[alive], level)
-        for _ in range(PROBES):
-            at = _bit(one, self.size[of]) + self.first[of]
-            there = (self.bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            alive, of, one, other = alive[there], of[there], one[there] + other[there], other[there]
-        return alive
+        a, b, mask_a, mask_b = _entry(grams[alive], level, self.size[of])
+        first = self.first[of]
+        there = (self.bits[a + first] & mask_a) == mask_a
+        there &= (self.bits[b + first] & mask_b) == mask_b
+        return alive[there]
 
 
 def learned_from(id_col: str = "doc_id") -> Column:
@@ -166,19 +164,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def given() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+            out = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
             counts.clear()
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words(text))
-                counts[END] += 1
+            for some in _tokens(batch.column(0)):
+                for word, n in zip(some.strings, np.bincount(some.which, minlength=len(some.strings)).tolist(), strict=True):
+                    if n:
+                        counts[word] += n
                 if len(counts) > HELD // 4:
                     yield given()
         yield given()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def filter_table(texts: DataFrame, shared) -> DataFrame:
@@ -203,7 +202,7 @@ def filter_table(texts: DataFrame, shared) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
-            for some in _tokens(batch.column(0).to_pylist()):
+            for some in _tokens(batch.column(0)):
                 at, home, ways = some.cells(cells)
                 held.append((at, some.pair, np.ones(len(at), np.int64)))
                 # A word's own count is in all cells of its pairs.
@@ -243,13 +242,25 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 class Tokens:
-    """Some texts' tokens: different words, which of them each token is, hashes of pairs, and where each text begins."""
-
-    def __init__(self, tokens: list[bytes], starts: list[int]):
-        numbers: dict[bytes, int] = defaultdict(count().__next__)
-        self.which = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-        self.words = hashed(list(numbers))
-        self.starts = np.array(starts)
+    """Some texts' tokens: different words and their hashes, which of them each token is, hashes of pairs, and where each text
+    begins. Words lie between white space (space, and 9 to 13), A-Z are lower-cased, and each
+    text has an end; Arrow lower-cases, splits and numbers them."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.strings = [*coded.dictionary.to_numpy(zero_copy_only=False).tolist(), END]
+        text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        if END in self.strings[:-1]:  # what is before the first and after the last white space
+            real = which != self.strings.index(END)
+            which, text = which[real], text[real]
+        self.lengths = np.bincount(text, minlength=len(lists)) + 1
+        ends = np.cumsum(self.lengths)
+        self.starts = ends - self.lengths
+        self.which = np.full(int(ends[-1]), len(self.strings) - 1)
+        self.which[np.arange(len(which)) + text] = which
+        self.words = hashed(self.strings)
         self.pair = pairs(self.words[self.which], self.starts)
 
     def cells(self, cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,47 +272,40 @@ class Tokens:
         return at, home, ways
 
 
-def _tokens(texts: list[str | None]) -> Iterator[Tokens]:
-    held: list[bytes] = []
-    starts: list[int] = []
-    for text in texts:
-        starts.append(len(held))
-        held += words(text)
-        held.append(END)
-        if len(held) > HELD // 4:
-            yield Tokens(held, starts)
-            held, starts = [], []
-    if held:
-        yield Tokens(held, starts)
+def _tokens(texts: pa.Array) -> Iterator[Tokens]:
+    """Texts of about a million bytes at a time, or a longer one."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(size, dtype=np.int64) - size) >> 20
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            yield Tokens(texts.slice(a, b - a))
 
 
-def _log_sums(texts: list[str | None], cells: Cells, held: Filter, n: int, v: int) -> list[float]:
+def _log_sums(some: Tokens, cells: Cells, held: Filter, n: int, v: int) -> np.ndarray:
     """Per text the part of its log10 probability that the held cells give."""
-    out: list[float] = []
-    for some in _tokens(texts):
-        at, home, ways = some.cells(cells)
-        parts = np.zeros(len(at))
-        here = np.flatnonzero(held.size[at])
-        # A word's count is in each of its cells: in the first one that is held here.
-        single = np.zeros(len(home))
-        left = np.arange(len(home))
-        for k in range(int(ways.max(initial=0))):
-            left = left[ways[left] > k]
-            cell = (home[left] + k) % cells.count
-            there = held.size[cell] > 0
-            single[left[there]] = held.counts(some.words[left[there]], cell[there])
-            left = left[~there]
-        low = (single + ADDED) * (WEIGHT / (n + ADDED * (v + 1)))
-        pair, first, which = np.unique(some.pair[here], return_index=True, return_inverse=True)
-        parts[here] = np.log10(held.counts(pair, at[here[first]])[which] + low[some.which[here]])
-        # What a token is divided by as the word before the next one, where its first cell is held.
-        over = np.where(held.size[home] > 0, np.log10(single + WEIGHT), 0.0)[some.which]
-        over[np.r_[some.starts[1:], len(at)] - 1] = 0.0
-        out += np.add.reduceat(parts - over, some.starts).tolist()
-    return out
-
-
-FIRST = "doc_id long, held_out boolean, key binary, n_tokens long, n_known long, known double, rare array<struct<word:binary,n:bigint>>, part double"
+    at, home, ways = some.cells(cells)
+    parts = np.zeros(len(at))
+    here = np.flatnonzero(held.size[at])
+    # A word's count is in each of its cells: in the first one that is held here.
+    single = np.zeros(len(home))
+    left = np.arange(len(home))
+    for k in range(int(ways.max(initial=0))):
+        left = left[ways[left] > k]
+        cell = (home[left] + k) % cells.count
+        there = held.size[cell] > 0
+        single[left[there]] = held.counts(some.words[left[there]], cell[there])
+        left = left[~there]
+    low = (single + ADDED) * (WEIGHT / (n + ADDED * (v + 1)))
+    pair, first, which = np.unique(some.pair[here], return_index=True, return_inverse=True)
+    parts[here] = np.log10(held.counts(pair, at[here[first]])[which] + low[some.which[here]])
+    # What a token is divided by as the word before the next one, where its first cell is held.
+    over = np.where(held.size[home] > 0, np.log10(single + WEIGHT), 0.0)[some.which]
+    over[np.r_[some.starts[1:], len(at)] - 1] = 0.0
+    return np.add.reduceat(parts - over, some.starts)
+
+
+FIRST = "doc_id long, held_out boolean, key binary, n_tokens long, n_known long, known double, rare array<struct<word:string,n:bigint>>, part double"
 LATER = "key binary, part double"
 
 
@@ -311,11 +315,11 @@ class Model:
     def __init__(self, texts: DataFrame, shard: int = SHARD, cell: int = CELL, share: int = SHARE):
         self.spark = texts.sparkSession
         self.counts = saved(word_counts(texts), "words")
-        total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0))).first()
+        total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
         self.n, self.v, self.texts = total
         #: Frequent words: at most ``share`` of them, whatever the corpus. The others' counts are joined.
         self.is_frequent = F.col("n") * share >= self.n
-        self.frequent = {bytes(r.word): r.n for r in self.counts.where(self.is_frequent).toLocalIterator()}
+        self.frequent = {r.word: r.n for r in self.counts.where(self.is_frequent).toLocalIterator()}
         most = max(1, -(-self.n // cell))
         self.cells = Cells(most, {w: min(most, -(-k // cell)) for w, k in self.frequent.items() if k > cell})
         self.filter = saved(filter_table(texts, self.spark.sparkContext.broadcast((self.cells,))), "filter")
@@ -354,23 +358,22 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         shared = spark.sparkContext.broadcast(model.part(k))
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = logs.value
             for batch in batches:
-                texts = batch.column(2).to_pylist()
-                columns: tuple[list, ...] = ([], [], [], [], [], [])
-                for text in texts:
-                    tokens = [*words(text), END]
-                    found = [x for x in map(known.get, tokens) if x is not None]
-                    rare = Counter(w for w in tokens if w not in known) if len(found) < len(tokens) else {}
-                    for c, x in zip(columns, (_key(text), len(tokens), len(found), math.fsum(found), [{"word": w, "n": m} for w, m in rare.items()]), strict=False):
-                        c.append(x)
-                parts = [x - unseen for x in _log_sums(texts, cells, shared.value, n, v)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip((*columns[:5], parts), (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct({"word": pa.binary(), "n": pa.int64()})), pa.float64()), strict=True)]], names=[x.split()[0] for x in ("doc_id", "held_out", "key", "n_tokens", "n_known", "known", "rare", "part")])
+                done = 0
+                for some in _tokens(batch.column(2)):
+                    here = batch.slice(done, len(some.starts))
+                    done += len(some.starts)
+                    log = np.array([logs.value.get(w, 1.0) for w in some.strings])  # of frequent words; a log is never above 0
+                    frequent = log <= 0
+                    sums = [np.add.reduceat(x[some.which], some.starts) for x in (frequent.astype(np.int64), np.where(frequent, log, 0.0))]
+                    parts = _log_sums(some, cells, shared.value, n, v) - unseen
+                    columns = (here.column(0), here.column(1), pa.array(map(_key, here.column(2).to_pylist()), pa.binary()), some.lengths, *sums, _rare(some, ~frequent), parts)
+                    yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "held_out", "key", "n_tokens", "n_known", "known", "rare", "part"), columns, strict=True)))
 
         def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(map(_key, texts), pa.binary()), pa.array(_log_sums(texts, cells, shared.value, n, v), pa.float64())], names=["key", "part"])
+                parts = [_log_sums(some, cells, shared.value, n, v) for some in _tokens(batch.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_key, batch.column(0).to_pylist()), pa.binary()), pa.array(np.concatenate(parts or [[]]), pa.float64())], names=["key", "part"])
 
         return saved(own.mapInArrow(first, FIRST) if not k else own.select("text").mapInArrow(later, LATER), f"pass-{k}")
 
@@ -391,6 +394,17 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     )
 
 
+def _rare(some: Tokens, rare: np.ndarray) -> pa.Array:
+    """Per text its rare words, and how often it has each."""
+    at = np.flatnonzero(rare[some.which])
+    text = np.repeat(np.arange(len(some.lengths)), some.lengths)[at]
+    pair, times = np.unique(text * len(some.strings) + some.which[at], return_counts=True)
+    text, word = np.divmod(pair, max(1, len(some.strings)))
+    ends = np.r_[0, np.cumsum(np.bincount(text, minlength=len(some.lengths)))].astype(np.int32)
+    words = pa.array(some.strings, pa.string()).take(pa.array(word, pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], names=["word", "n"]))
+
+
 def _key(text: str | None) -> bytes:
     return xxh3_128_digest((text or "").encode())
 

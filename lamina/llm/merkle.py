@@ -5,10 +5,10 @@ order: a priority queue ordered by label holds the digests on their way to paren
 to its label is on top. The reversed sweep takes nodes from the root down: each hands its children the suffix of their proofs,
 what their sibling is and what it has been handed itself.
 
-The queue is external in this way: trees are cut into blocks of ``BLOCK`` neighbouring leaves, which are whole subtrees. Within
+The queue is external in this way: trees are cut into blocks of 2 ** ``LEVELS`` neighbouring leaves, which are whole subtrees. Within
 a block labels are in post-order, so the queue never holds more than a digest for each level. What leaves a block, its top, is
 a message to the block of tops above, and Spark's sorted shuffle delivers it; blocks of blocks follow, tier by tier, until each
-tree is one block. Every tier is a written table with 1 / BLOCK of the rows of the one below, so a lost executor costs some
+tree is one block. Every tier is a written table with a block's part of the rows of the one below, so a lost executor costs some
 blocks, and no task holds more than a block. Then proof suffixes go down through the same tables.
 """
 
@@ -26,7 +26,6 @@ from .common import by_key, saved, table
 
 #: Leaves of a block are two to this power; entries of a broadcast table of offsets or suffixes at most.
 LEVELS, BROADCAST = 8, 100_000
-BLOCK = 1 << LEVELS
 
 #: What a leaf is made of, in order (fixed by the contract).
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -106,9 +105,9 @@ def folded(leaf: str, proof: str, sides: str) -> str:
     return leaf
 
 
-def _levels(block: int, n: int) -> int:
+def _levels(block: int, n: int, levels: int) -> int:
     """How far a block's leaves rise: to one node; a block of several of one tree to the tier above."""
-    return LEVELS if block else (n - 1).bit_length()
+    return levels if block else (n - 1).bit_length()
 
 
 def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -143,13 +142,13 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return by_key(placed, offsets, ["_part", group], BROADCAST).withColumn("rank", F.col("_before") + F.col("_place")).select(*kept, "rank")
 
 
-def _blocks(name: str):
+def _blocks(name: str, levels: int):
     """For applyInArrow: a block's row, from its nodes."""
 
     def one(group: pa.Table) -> pa.Table:
         group = group.sort_by("rank")
         leaves = group.column("digest").to_pylist()
-        top = rise(leaves, _levels(group.column("block")[0].as_py(), len(leaves)))[0][-1][0]
+        top = rise(leaves, _levels(group.column("block")[0].as_py(), len(leaves), levels))[0][-1][0]
         columns = {"tree": group.column("tree")[:1], "block": group.column("block")[:1], "nodes": [b"".join(map(bytes.fromhex, leaves))], "top": [top]}
         if name:
             values = group.column(name).combine_chunks()
@@ -159,22 +158,22 @@ def _blocks(name: str):
     return one
 
 
-def climbed(nodes: DataFrame, extra: str | None = None) -> list[DataFrame]:
+def climbed(nodes: DataFrame, levels: int, extra: str | None = None) -> list[DataFrame]:
     """The tiers of trees from (tree, rank, digest), the lowest first: (tree, block, nodes, top, and extra of the lowest one's
     nodes). The last tier has one block a tree, whose top is the root."""
     tiers: list[DataFrame] = []
     name, _, kind = (extra or "").partition(" ")
     while True:
-        keyed = nodes.withColumn("block", F.floor(F.col("rank") / BLOCK).cast("long"))
+        keyed = nodes.withColumn("block", F.shiftright("rank", levels))
         more = f", {name} array<{kind}>" if name else ""
-        tier = saved(keyed.groupBy("tree", "block").applyInArrow(_blocks(name), f"tree string, block long, nodes binary, top string{more}"), f"tier-{len(tiers)}")
+        tier = saved(keyed.groupBy("tree", "block").applyInArrow(_blocks(name, levels), f"tree string, block long, nodes binary, top string{more}"), f"tier-{len(tiers)}")
         tiers.append(tier)
         if not tier.agg(F.max("block")).first()[0]:
             return tiers
         nodes, name = tier.select("tree", F.col("block").alias("rank"), F.col("top").alias("digest")), ""
 
 
-def _leaves(name: str):
+def _leaves(name: str, levels: int):
     """For mapInArrow: the leaves of blocks, with their proofs, from blocks and what their tops are handed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,23 +181,23 @@ def _leaves(name: str):
             for k, row in enumerate(batch.drop_columns([name] if name else []).to_pylist()):
                 text = row["nodes"].hex()
                 leaves = [text[at : at + 64] for at in range(0, len(text), 64)]
-                nodes, _ = rise(leaves, _levels(row["block"], len(leaves)))
+                nodes, _ = rise(leaves, _levels(row["block"], len(leaves), levels))
                 found = fall(nodes, (row["proof"], row["sides"]))
-                first = row["block"] * BLOCK
+                first = row["block"] << levels
                 columns = {"tree": [row["tree"]] * len(leaves), "rank": range(first, first + len(leaves)), "leaf": leaves, "proof": [p for p, _ in found], "sides": [s for _, s in found]}
                 yield pa.RecordBatch.from_pydict(columns | ({name: batch.column(name)[k].values} if name else {}))
 
     return run
 
 
-def descended(tiers: list[DataFrame], suffixes: DataFrame, extra: str | None = None) -> DataFrame:
+def descended(tiers: list[DataFrame], suffixes: DataFrame, levels: int, extra: str | None = None) -> DataFrame:
     """(tree, rank, leaf, proof, sides, and extra) of all leaves, from what each tree's root is handed: (tree, proof, sides)."""
     above = suffixes.withColumn("block", F.lit(0).cast("long"))
     for k in reversed(range(len(tiers))):
         name, _, kind = (extra or "").partition(" ") if not k else ("", "", "")
         few = tiers[k].count() <= BROADCAST  # blocks of this tier, so rows of above
         met = tiers[k].drop("top").join(F.broadcast(above) if few else above, ["tree", "block"])
-        below = met.mapInArrow(_leaves(name), f"tree string, rank long, leaf string, proof string, sides string{f', {name} {kind}' if name else ''}")
+        below = met.mapInArrow(_leaves(name, levels), f"tree string, rank long, leaf string, proof string, sides string{f', {name} {kind}' if name else ''}")
         if k:
             above = saved(below.select("tree", F.col("rank").alias("block"), "proof", "sides"), f"suffixes-{k}")
     return below
@@ -208,27 +207,27 @@ EXTRA = "ids struct<id:bigint,changed:string>"
 RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, lang string, n_siblings int"
 
 
-def manifest(docs: DataFrame, changed: Column, id_col: str = "doc_id", group: str = "lang", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def manifest(docs: DataFrame, changed: Column, id_col: str = "doc_id", group: str = "lang", fields: tuple[str, ...] = FIELDS, levels: int = LEVELS) -> DataFrame:
     """Per row: id, leaf, subroot of its group's tree, root over all groups' subroots, proof_sha256, folded_root, verified, group, n_siblings.
 
     ``changed`` is the leaf digest that a row is verified with: leaf_digest() of the fields as they are now. It's folded with
     the proof that the original leaf has. Leaves of a group ascend by id (nulls first), rows of one id by their digests, so the
     root depends on rows only, not on their order; repeated rows are a leaf each. A null group is a group of its own, before
-    all others. Columns beside the fields don't count. Empty and very long texts are hashed like others; an empty table has no
+    all others. Blocks have 2 ** levels leaves, which changes no result. Columns beside the fields don't count. Empty and very long texts are hashed like others; an empty table has no
     row and no root.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("tree"), leaf_digest(*[F.col(f"`{f}`") for f in fields]).alias("digest"), changed.alias("_changed"))
     leaves = saved(own.select("id", "tree", "digest", F.when(F.col("_changed") != F.col("digest"), F.col("_changed")).alias("changed")), "leaves")
     placed = ranked(leaves, "tree", ["id", "digest", "changed"])
-    tiers = climbed(placed.select("tree", "rank", "digest", F.struct("id", "changed").alias("ids")), EXTRA)
+    tiers = climbed(placed.select("tree", "rank", "digest", F.struct("id", "changed").alias("ids")), levels, EXTRA)
     # The subroots are the leaves of one more tree.
     subroots = tiers[-1].select(F.col("tree").alias("group"), F.col("top").alias("digest"))
     tops = ranked(saved(subroots.withColumn("all", F.lit("")), "subroots"), "all", ["group"])
-    upper = climbed(tops.select(F.lit("").alias("tree"), "rank", "digest", F.col("group").alias("group")), "group string")
+    upper = climbed(tops.select(F.lit("").alias("tree"), "rank", "digest", F.col("group").alias("group")), levels, "group string")
     root = (upper[-1].select("top").first() or [""])[0]
-    paths = descended(upper, docs.sparkSession.createDataFrame([("", "", "")], "tree string, proof string, sides string"), "group string")
+    paths = descended(upper, docs.sparkSession.createDataFrame([("", "", "")], "tree string, proof string, sides string"), levels, "group string")
     handed = saved(paths.select(F.col("group").alias("tree"), "proof", "sides", F.col("leaf").alias("subroot")), "handed")
-    found = descended(tiers, handed.drop("subroot"), EXTRA)
+    found = descended(tiers, handed.drop("subroot"), levels, EXTRA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

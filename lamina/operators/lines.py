@@ -51,33 +51,8 @@ def planes(values: DataFrame, key: list[str], axes: tuple[str, str], fn: Callabl
     return values.groupBy(*key).applyInPandas(run, out)
 
 
-def along_filled(values: DataFrame, axis: str, keys: list[str], size: int, fn: Callable[..., tuple[np.ndarray, ...]], columns: tuple[str, ...] = ("v",)) -> DataFrame:
-    """along() for lines of ``size`` elements of which some have no row: these are 0."""
-    lines = values.groupBy(*keys).agg(F.collect_list(F.struct(axis, *columns)).alias("_l")).select(*keys, *[F.col(f"_l.{c}").alias(c) for c in (axis, *columns)])
-    kinds = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in lines.select(*keys).schema] + [f"{c} array<double>" for c in columns])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            row, at = np.repeat(np.arange(len(batch)), batch[axis].map(len)), np.concatenate(batch[axis].to_numpy() if len(batch) else [[]]).astype(int)
-            full = []
-            for c in columns:
-                m = np.zeros((len(batch), size))
-                m[row, at] = np.concatenate(batch[c].to_numpy() if len(batch) else [[]])
-                full.append(m)
-            yield batch[keys].assign(**{c: list(m) for c, m in zip(columns, fn(*full), strict=True)})
-
-    return exploded(lines.mapInPandas(run, kinds), keys, axis, columns)
-
-
 def block_size(total: int, line_bytes: int, budget: int) -> int:
     """How many of ``total`` lines a task should hold so that their bytes fit its budget: the largest divisor of total that does, 1 at least."""
     most = max(1, min(total, budget // max(1, line_bytes)))
     small = [d for d in range(1, math.isqrt(total) + 1) if total % d == 0]
     return max(d for d in (*small, *(total // d for d in small)) if d <= most)
-
-
-def checked_plane(height: int, width: int, budget: int, columns: int = 1) -> None:
-    """Raises an error for planes that wouldn't fit a task of planes(): the operators by lines are for these."""
-    held = 6 * 8 * columns * height * width  # a plane in long form and its transforms
-    if held > budget:
-        raise ValueError(f"a plane of {height} x {width} takes about {held >> 20} MB in one task, more than {budget >> 20}; use the operator that works by lines")

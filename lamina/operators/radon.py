@@ -10,10 +10,10 @@ import math
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import along, along_filled, planes
+from .lines import planes
 
 #: The accuracy that the Gaussian's width is chosen for (fixed value).
 EPS = 1e-3
@@ -112,48 +112,6 @@ def multiplier(n: int, angles: int) -> Column:
     return F.exp(mu * n * n * (at("y") * at("y") + at("x") * at("x"))) * ((1 if n % 4 == 0 else -1) / (n * math.sqrt(n * angles)))
 
 
-def even_points(spark: SparkSession, n: int, angles: int) -> DataFrame:
-    """samples() of evenly spaced angles over half a turn."""
-    return samples(spark.range(angles).select(F.col("id").cast("int").alias("t"), (F.col("id") * (math.pi / angles)).alias("theta")), n)
-
-
-def projected_by_lines(volume: DataFrame, n: int, angles: int) -> DataFrame:
-    """projected() for slices (n x n) of any size: lines along x, then along y, are transformed, the taps are joined, and each
-    projection's line is transformed back. A task holds some lines of 2n elements, never a slice."""
-
-    def wide(re: np.ndarray, im: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        out = np.fft.fft(np.pad(re if im is None else re + 1j * im, ((0, 0), (n // 2, n - n // 2))), axis=1)
-        return out.real, out.imag
-
-    def back(re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(re + 1j * im, axes=1), axis=1), axes=1) / 4
-        return out.real, out.imag
-
-    image = volume.select("z", "y", "x", (F.col("v") * multiplier(n, angles)).alias("re"), F.lit(0.0).alias("im"))
-    rows = along(image, "x", ["z", "y"], wide, ("re", "im")).withColumnRenamed("x", "kx")
-    spectrum = along(rows, "y", ["z", "kx"], wide, ("re", "im")).withColumnRenamed("y", "ky")
-    lines = along(gathered(spectrum, even_points(volume.sparkSession, n, angles), n), "r", ["z", "t"], back, ("re", "im"))
-    return lines.select("t", "z", F.col("r").alias("x"), F.col("re").alias("v"))
-
-
-def back_projected_by_lines(stack: DataFrame, n: int, angles: int) -> DataFrame:
-    """back_projected() for slices of any size: the steps of projected_by_lines() transposed, in reverse."""
-
-    def lines_of(re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.fft.fftshift(np.fft.fft(np.fft.ifftshift(re + 1j * im, axes=1), axis=1), axes=1) / (4 * n * n)
-        return out.real, out.imag
-
-    def narrow(re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.fft.ifft(re + 1j * im, axis=1)[:, n // 2 : n // 2 + n] * (2 * n)
-        return out.real, out.imag
-
-    values = along(stack.select("t", "z", "x", F.col("v").alias("re"), F.lit(0.0).alias("im")), "x", ["t", "z"], lines_of, ("re", "im")).withColumnRenamed("x", "r")
-    spectrum = scattered(values, even_points(stack.sparkSession, n, angles), n)
-    columns = along_filled(spectrum, "ky", ["z", "kx"], 2 * n, narrow, ("re", "im")).withColumnRenamed("ky", "y")
-    image = along_filled(columns, "kx", ["z", "y"], 2 * n, narrow, ("re", "im")).withColumnRenamed("kx", "x")
-    return image.select("z", "y", "x", (F.col("re") * multiplier(n, angles)).alias("v"))
-
-
 def samples(angles: DataFrame, n: int) -> DataFrame:
     """(t, r, x0, y0): where the spectrum is sampled for angles (t, theta in radians)."""
     at = (F.col("r") - n // 2) / n

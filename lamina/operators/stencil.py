@@ -52,8 +52,9 @@ def dezingered(values: DataFrame, window: int, threshold: float, sizes: dict[str
     return near.withColumn("v", F.when(F.col("v") - F.col("median") > threshold, F.col("median")).otherwise(F.col("v"))).drop("median")
 
 
-def flat_corrected(data: DataFrame, flat: DataFrame, dark: DataFrame) -> DataFrame:
-    """(v - dark) / (flat (1 + 1e-5) - dark) with the fields' means over their frames; fields have (z, x, v) and a frame each row."""
-    mean = lambda field, name: field.groupBy("z", "x").agg(F.avg("v").alias(name))
-    fields = mean(flat, "_flat").join(mean(dark, "_dark"), ["z", "x"])
-    return data.join(fields, ["z", "x"]).withColumn("v", (F.col("v") - F.col("_dark")) / (F.col("_flat") * (1 + 1e-5) - F.col("_dark"))).drop("_flat", "_dark")
+def flat_corrected(data: DataFrame, flat: DataFrame, dark: DataFrame, keys: tuple[str, ...] = ("z", "x")) -> DataFrame:
+    """(v - dark) / (flat (1 + 1e-5) - dark) with the fields' means over their frames. Fields have (keys, v) and a frame each row;
+    keys name a tile as well where each has its own fields."""
+    mean = lambda field, name: field.groupBy(*keys).agg(F.avg("v").alias(name))
+    fields = mean(flat, "_flat").join(mean(dark, "_dark"), list(keys))
+    return data.join(fields, list(keys)).withColumn("v", (F.col("v") - F.col("_dark")) / (F.col("_flat") * (1 + 1e-5) - F.col("_dark"))).drop("_flat", "_dark")

@@ -1,7 +1,7 @@
 """Wave fields: transmission, free-space propagation and phase retrieval.
 
 The Fresnel kernel is a product of one factor along each axis, so a field is propagated line by line along x, then along z.
-Phase retrieval isn't separable: it works on planes, one projection in a task.
+Phase retrieval isn't separable: it works on planes, one projection in a task; ``blocks`` has a form for larger ones.
 """
 
 from __future__ import annotations
@@ -60,25 +60,3 @@ def retrieved(values: DataFrame, distance: float, alpha: float = 5e-4, voxel: fl
         return {"z": z.ravel(), "x": x.ravel(), "v": out.ravel()}
 
     return planes(values, ["t"], ("z", "x"), fn, "t int, z int, x int, v double")
-
-
-def retrieved_by_lines(values: DataFrame, height: int, width: int, distance: float, alpha: float = 5e-4, voxel: float = 1.38e-6, energy_kev: float = 30.0) -> DataFrame:
-    """retrieved() for projections (height x width) of any size: the filter needs both frequencies, so lines are transformed
-    along x, then z, each element is multiplied, and both are transformed back. A task holds some lines, never a projection."""
-
-    def forth(re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.fft.fft(re + 1j * im, axis=1)
-        return out.real, out.imag
-
-    def back(re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.fft.ifft(re + 1j * im, axis=1)
-        return out.real, out.imag
-
-    frequency = lambda k, n: F.when(F.col(k) < (n + 1) // 2, F.col(k)).otherwise(F.col(k) - n) / (n * voxel)
-    fz, fx = frequency("z", height), frequency("x", width)
-    low_pass = alpha / (wavelength(energy_kev) * distance * (fx * fx + fz * fz) / (4 * np.pi) + alpha)
-    waves = values.select("t", "z", "x", F.col("v").alias("re"), F.lit(0.0).alias("im"))
-    spectrum = along(along(waves, "x", ["t", "z"], forth, ("re", "im")), "z", ["t", "x"], forth, ("re", "im"))
-    passed = spectrum.withColumns({"re": F.col("re") * low_pass, "im": F.col("im") * low_pass})
-    out = along(along(passed, "z", ["t", "x"], back, ("re", "im")), "x", ["t", "z"], back, ("re", "im"))
-    return out.select("t", "z", "x", (-F.log(F.greatest(F.col("re"), F.lit(1e-6)))).alias("v"))

@@ -9,7 +9,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.operators import fbp, geometry, lines, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
+from lamina.operators import blocks, fbp, geometry, lines, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
 from lamina.plans import scan as scans
 from lamina.sources import store
 
@@ -259,8 +259,10 @@ def nufft_gather(spark, d):
 
 
 def nufft_scatter(spark, d):
-    values = stack(spark, d).where("t < 6 and x < 8").select("z", "t", F.col("x").alias("r"), F.col("v").alias("re"), (F.col("v") * 0.5).alias("im"))
-    return rounded(radon.scattered(values, sample_points(spark, d), 8), "re", "im", digits=2)
+    values = stack(spark, d).select("z", "t", F.col("x").alias("r"), F.col("v").alias("re"), (F.col("v") * 0.5).alias("im"))
+    angles = table(spark, d, "events").select((F.col("user_id") % 12).cast("int").alias("t")).distinct()
+    points = radon.samples(angles.select("t", (F.col("t") * (math.pi / 12)).alias("theta")), 16)
+    return rounded(radon.scattered(values, points, 16), "re", "im", digits=2)
 
 
 def kx_bins(spark, d):
@@ -292,20 +294,30 @@ def stripe_removal(spark, d):
     return rounded(stripe.stripes_removed(stack(spark, d), 2.0, "haar", 2), digits=5)
 
 
+#: A budget that cuts even these planes into several strips.
+STRIP = 20_000
+
+
 def radon_by_lines(spark, d):
-    return rounded(radon.projected_by_lines(volume(spark, d), 16, 12), digits=3)
+    return rounded(blocks.projected(volume(spark, d), 16, 12, STRIP), digits=3)
 
 
 def radon_adjoint_by_lines(spark, d):
-    return rounded(radon.back_projected_by_lines(stack(spark, d), 16, 12), digits=5)
+    return rounded(blocks.back_projected(stack(spark, d), 16, 12, STRIP), digits=5)
 
 
 def paganin_by_lines(spark, d):
-    return rounded(wave.retrieved_by_lines(stack(spark, d).withColumn("v", 0.5 + F.col("v") / 100), 8, 16, 0.2), digits=5)
+    return rounded(blocks.retrieved(stack(spark, d).withColumn("v", 0.5 + F.col("v") / 100), 8, 16, 0.2, budget=5_000), digits=5)
 
 
 def fbp_by_lines(spark, d):
-    return rounded(fbp.reconstructed_by_lines(stack(spark, d), 16, 12), digits=3)
+    return rounded(blocks.reconstructed(stack(spark, d), 16, 12, budget=STRIP), digits=3)
+
+
+def fresnel_distances(spark, d):
+    """Two distances from one reading of the waves, by strips."""
+    waves = wave.transmitted(stack(spark, d), 20.0)
+    return rounded(blocks.propagated(waves, 8, 16, (0.2, 0.7), budget=5_000), "re", "im", digits=5)
 
 
 def radon_multiplier(spark, d):
@@ -352,7 +364,7 @@ def catalog_text(spark, d):
     """The catalog written as text and parsed again."""
     header = dict(NZ=24, N=40, DET_H=12, DET_W=16, n_z=2, n_x=2, NTHETA=8, N_HALF=4, OVERLAP=4)
     path = store.scratch(spark)
-    store.catalog_lines(geometry.placements(part_scans(spark, d).where("scan % 10 = 3").withColumn("scan", F.lit(0))).distinct(), header).write.text(path)
+    store.catalog_lines(geometry.placements(part_scans(spark, d).withColumn("scan", F.lit(0))).distinct(), header).write.text(path)
     found, rows = store.read_catalog(spark.read.text(path))
     return rows.select(*store.CATALOG_COLUMNS, F.lit(found["N_HALF"]).alias("half"), "overlap").distinct()
 
@@ -499,10 +511,10 @@ def _r(expression: str, name: str = "v", digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
 
 
-def _kernel(name: str, n: int) -> str:
+def _kernel(name: str, n: int, distance: float = 0.2) -> str:
     """The propagation kernel along an axis of n samples, mirrored to 2n, by an explicit transform."""
     f = f"(CASE WHEN m.range < {n} THEN m.range ELSE m.range - {2 * n} END / ({2 * n} * 1.38e-6))"
-    phase = f"(-pi() * (1.24e-9 / 30.0) * 0.2 * {f} * {f} + 2 * pi() * m.range * d.range / {2 * n})"
+    phase = f"(-pi() * (1.24e-9 / 30.0) * {distance} * {f} * {f} + 2 * pi() * m.range * d.range / {2 * n})"
     return f"{name} AS (SELECT d.range::INT AS d, sum(cos({phase})) / {2 * n} AS hr, sum(sin({phase})) / {2 * n} AS hi FROM range({2 * n}) d, range({2 * n}) m GROUP BY 1)"
 
 
@@ -618,6 +630,9 @@ ORACLE_SQL = {
     "psi_from_proj": f"WITH {_STACK} SELECT t, z, x, {_r('exp(-v / 20.0 / 100.0) * cos(v / 20.0)', 're')}, {_r('exp(-v / 20.0 / 100.0) * sin(v / 20.0)', 'im')} FROM st",
     "intensity": f"WITH {_STACK} SELECT t, z, x, {_r('exp(-v / 20.0 / 100.0 * 2)')} FROM st",
     "fresnel": f"WITH {_STACK}, ps AS (SELECT t, z, x, exp(-v / 20.0 / 100.0) * cos(v / 20.0) AS re, exp(-v / 20.0 / 100.0) * sin(v / 20.0) AS im FROM st), {_kernel('hx', 16)}, {_kernel('hz', 8)}, ax AS MATERIALIZED {_propagated('ps', 'x', 'z', 'hx', 16)}, az AS {_propagated('ax', 'z', 'x', 'hz', 8)} SELECT t, z, x, {_r('re', 're', 5)}, {_r('im', 'im', 5)} FROM az",
+    "fresnel_distances": f"WITH {_STACK}, ps AS (SELECT t, z, x, exp(-v / 20.0 / 100.0) * cos(v / 20.0) AS re, exp(-v / 20.0 / 100.0) * sin(v / 20.0) AS im FROM st), "
+    + ", ".join(f"{_kernel(f'hx{k}', 16, distance)}, {_kernel(f'hz{k}', 8, distance)}, ax{k} AS MATERIALIZED {_propagated('ps', 'x', 'z', f'hx{k}', 16)}, az{k} AS {_propagated(f'ax{k}', 'z', 'x', f'hz{k}', 8)}" for k, distance in enumerate((0.2, 0.7)))
+    + f" SELECT d::INT AS d, t, z, x, {_r('re', 're', 5)}, {_r('im', 'im', 5)} FROM (SELECT 0 AS d, * FROM az0 UNION ALL SELECT 1, * FROM az1)",
     "paganin": f"WITH {_STACK}, q AS (SELECT a.range AS kz, b.range AS kx, 5e-4 / ((1.24e-9 / 30.0) * 0.2 * (pow(CASE WHEN b.range < 8 THEN b.range ELSE b.range - 16 END / (16 * 1.38e-6), 2) + pow(CASE WHEN a.range < 4 THEN a.range ELSE a.range - 8 END / (8 * 1.38e-6), 2)) / (4 * pi()) + 5e-4) AS h FROM range(8) a, range(16) b), k AS MATERIALIZED (SELECT a.range AS dz, b.range AS dx, sum(h * cos(2 * pi() * (kz * a.range / 8.0 + kx * b.range / 16.0))) / 128 AS h FROM range(8) a, range(16) b, q GROUP BY 1, 2), c AS (SELECT o.t, o.z, o.x, sum(h * (0.5 + s.v / 100)) AS v FROM st o JOIN st s ON o.t = s.t JOIN k ON dz = (o.z - s.z + 8) % 8 AND dx = (o.x - s.x + 16) % 16 GROUP BY 1, 2, 3) SELECT t, z, x, {_r('-ln(greatest(v, 1e-6))', 'v', 5)} FROM c",
     "dezinger": f"WITH {_STACK}, m AS (SELECT *, range::INT AS k FROM (SELECT 1), range(9)), nb AS (SELECT c.t, c.z, c.x, median(s.v) AS md FROM st c, m, st s WHERE s.z = c.z AND s.t = CASE WHEN c.t + k // 3 - 1 < 0 THEN 0 WHEN c.t + k // 3 - 1 > 11 THEN 11 ELSE c.t + k // 3 - 1 END AND s.x = CASE WHEN c.x + k % 3 - 1 < 0 THEN 0 WHEN c.x + k % 3 - 1 > 15 THEN 15 ELSE c.x + k % 3 - 1 END GROUP BY 1, 2, 3) SELECT t, z, x, {_r('CASE WHEN v - md > 2.0 THEN md ELSE v END')} FROM st JOIN nb USING (t, z, x)",
     "darkflat": f"WITH {_STACK}, f AS (SELECT z, x, avg(CASE WHEN t >= 6 THEN v + 100 END) AS f, avg(CASE WHEN t < 6 THEN v END) AS d FROM st GROUP BY 1, 2) SELECT t, z, x, {_r('(v - d) / (f * (1 + 1e-5) - d)')} FROM st JOIN f USING (z, x)",
@@ -630,7 +645,7 @@ ORACLE_SQL = {
     "stage_throughput": f"SELECT l_returnflag, l_linestatus, {_r('sum(l_extendedprice) / max(l_quantity)', 'rate', 9)}, {_r('min(l_extendedprice / l_quantity)', 'slowest', 9)}, {_r('max(l_extendedprice / l_quantity)', 'fastest', 9)} FROM lineitem GROUP BY 1, 2",
     "human_bytes": "SELECT o_orderkey, CASE " + " ".join(f"WHEN b >= {1024**k} THEN printf('%.1f {u}', b / {1024.0**k}::DOUBLE)" for k, u in ((5, "PB"), (4, "TB"), (3, "GB"), (2, "MB"), (1, "KB"))) + " ELSE printf('%.1f B', b::DOUBLE) END AS size FROM (SELECT o_orderkey, o_orderkey * o_custkey AS b FROM orders)",
     "nufft_gather": f"WITH {_VOLUME}, {_TAPS} SELECT z, t, r, {_r('sum(w * v) / 8', 're', 2)}, {_r('sum(w * v * 0.5) / 8', 'im', 2)} FROM tp JOIN vol ON vol.y = ky AND vol.x = kx GROUP BY 1, 2, 3",
-    "nufft_scatter": f"WITH {_STACK}, {_TAPS} SELECT z, ky, kx, {_r('sum(w * v)', 're', 2)}, {_r('sum(w * v * 0.5)', 'im', 2)} FROM tp JOIN st ON st.t = tp.t AND st.x = r GROUP BY 1, 2, 3",
+    "nufft_scatter": f"WITH {_STACK}, {_taps(16, 12)} SELECT z, ky, kx, {_r('sum(w * v)', 're', 2)}, {_r('sum(w * v * 0.5)', 'im', 2)} FROM tn JOIN st ON st.t = tn.t AND st.x = r GROUP BY 1, 2, 3",
     "radon_forward": f"WITH {_VOLUME}, {_taps(16, 12)}, {_forward('vol', 16, 12)} SELECT t, z, x, {_r('v', 'v', 3)} FROM fw",
     "radon_adjoint": f"WITH {_STACK}, {_taps(16, 12)}, {_adjoint('st', 16, 12)} SELECT z, y, x, {_r('v', 'v', 5)} FROM ad",
     "radon_multiplier": f"WITH {_VOLUME} SELECT z, y, x, {_r('v * ' + _multiplier(16, 12), 'v', 9)} FROM vol",
@@ -644,7 +659,7 @@ ORACLE_SQL = {
     "store_box": f"WITH {_STACK} SELECT * FROM st WHERE z >= 3 AND z < 7 AND x >= 4 AND x < 9",
     "store_range": f"WITH {_STACK} SELECT * FROM st WHERE t >= 5 AND t < 10",
     "bank_files": f"WITH {_STACK} SELECT (floor((t % 5) / 3) + 2 * floor(t / 5))::INT AS bank, min(t) AS first, max(t) AS last, count(*) AS n, sum(v) AS total FROM st GROUP BY 1",
-    "catalog_text": f"WITH {_PARTS}, {_LAYOUT} SELECT DISTINCT zi, xi, z_center, x_center, crop_top, crop_bottom, crop_left, crop_right, 4 AS half, 4 AS overlap FROM pl WHERE scan % 10 = 3",
+    "catalog_text": f"WITH {_PARTS}, {_LAYOUT} SELECT DISTINCT zi, xi, z_center, x_center, crop_top, crop_bottom, crop_left, crop_right, 4 AS half, 4 AS overlap FROM pl",
     "tile_index": "SELECT p_size AS zi, p_partkey::INT AS xi FROM part WHERE p_partkey % 3 <> 0",
     "rectangle": f"WITH {_VOLUME} SELECT z, y - 3 AS y, x - 2 AS x, v FROM vol WHERE y >= 3 AND y < 11 AND x >= 2 AND x < 15",
     "sharp_mask": f"WITH {_VOLUME} SELECT z, y, x, v * CASE WHEN sqrt((y - 7.5) * (y - 7.5) + (x - 7.5) * (x - 7.5)) <= 6.0 THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM vol",
@@ -670,7 +685,7 @@ QUERIES = {
         tile_layout, mirror_placements, mosaic_summary, angle_grid, diag_tiles, bank_plan, vchunk_iter, task_split, theta_slab, z_slab, dataset_info, center_crop, center_pad, circular_mask, z_taper, tile_extract_360,
         fold_180, strided_slice, symmetric_pad, edge_pad, zero_pad, reflect_index, upsample_xy, upsample_z, z_resample, nearest_repeat, bin2d, gaussian_smooth, unsharp, psi_from_proj, intensity, fresnel, paganin,
         dezinger, darkflat, tent_weight, stitch, stack_stats, axis_mean, percentile_clip, rel_error, stage_throughput, human_bytes, nufft_gather, nufft_scatter, kx_bins, ky_bands, radon_forward, radon_adjoint,
-        fbp_filter, fbp_reconstruction, stripe_removal, whole_scan, radon_by_lines, radon_adjoint_by_lines, paganin_by_lines, fbp_by_lines, radon_multiplier, stitch_uneven, tile_files, store_box, store_range, bank_files,
+        fbp_filter, fbp_reconstruction, stripe_removal, whole_scan, radon_by_lines, radon_adjoint_by_lines, paganin_by_lines, fbp_by_lines, fresnel_distances, radon_multiplier, stitch_uneven, tile_files, store_box, store_range, bank_files,
         catalog_text, tile_index, rectangle, sharp_mask, zoom_xy, millimetres, standard_geometry, cone_geometry, fresnel_numbers, strip_order, theta_prefix, line_callback, plane_callback, cast_single, wavelet_bands,
         block_plan, corrected_tiles,
     )

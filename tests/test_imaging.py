@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.operators import fbp, geometry, lines, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
-from lamina.plans.scan import Scan, enlarged, measured, restored, tiled, whole
+from lamina.operators import blocks, fbp, geometry, lines, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
+from lamina.plans.scan import Scan, corrected, enlarged, measured, prepared, restored, statistics, steps, tiled, whole
 from lamina.registry import QUERIES
 from lamina.sources import arrays, store
 
@@ -263,17 +263,38 @@ def test_whole_scan_grows_with_its_tables(spark):
     assert len(rows["sf0.01"]) > len(rows["sf0.001"])
 
 
-def test_lines_give_what_planes_give(spark):
-    """Slices and projections that no task holds: the same numbers by lines, transposes and joined taps."""
+@pytest.mark.parametrize("budget, single", [(blocks.BUDGET, False), (40_000, False), (10_000, True)])
+def test_strips_give_what_planes_give(spark, budget, single):
+    """Slices and projections that no task holds: the same numbers by strips, whatever their height, in single precision too."""
     draw = np.random.default_rng(4)
     n, angles = 20, 9
     a, b, i = draw.standard_normal((2, n, n)), draw.standard_normal((angles, 2, n)), 0.5 + 0.5 * draw.random((2, 7, 10))
     volume, stack, seen = table(spark, a, "z", "y", "x"), table(spark, b, "t", "z", "x"), table(spark, i, "t", "z", "x")
-    assert np.allclose(array(radon.projected_by_lines(volume, n, angles), "t", "z", "x"), array(radon.projected(volume, angles), "t", "z", "x"), atol=1e-10)
-    assert np.allclose(array(radon.back_projected_by_lines(stack, n, angles), "z", "y", "x"), array(radon.back_projected(stack), "z", "y", "x"), atol=1e-10)
-    assert np.allclose(array(fbp.reconstructed_by_lines(stack, n, angles, "shepp"), "z", "y", "x"), array(fbp.reconstructed(stack, "shepp"), "z", "y", "x"), atol=1e-6)
-    for distance in (0.02, 1.0):
-        assert np.allclose(array(wave.retrieved_by_lines(seen, 7, 10, distance, 1e-3), "t", "z", "x"), array(wave.retrieved(seen, distance, 1e-3), "t", "z", "x"), atol=1e-10)
+    near = lambda x, y: np.allclose(x, y, atol=2e-5 if single else 1e-10)
+    forward, adjoint = array(blocks.projected(volume, n, angles, budget, single), "t", "z", "x"), array(blocks.back_projected(stack, n, angles, budget, single), "z", "y", "x")
+    assert near(forward, array(radon.projected(volume, angles), "t", "z", "x"))
+    assert near(adjoint, array(radon.back_projected(stack), "z", "y", "x"))
+    assert (forward * b).sum() == pytest.approx((adjoint * a).sum(), rel=1e-4 if single else 1e-9)
+    assert near(array(blocks.reconstructed(stack, n, angles, "shepp", budget, single), "z", "y", "x"), array(fbp.reconstructed(stack, "shepp"), "z", "y", "x"))
+    assert near(array(blocks.retrieved(seen, 7, 10, 1.0, 1e-3, budget=budget, single=single), "t", "z", "x"), array(wave.retrieved(seen, 1.0, 1e-3), "t", "z", "x"))
+    waves = wave.transmitted(seen, 20.0)
+    several = blocks.propagated(waves, 7, 10, (0.0, 0.7), budget=budget, single=single)
+    assert near(array(several.where("d = 0"), "t", "z", "x", value="re"), array(waves, "t", "z", "x", value="re"))
+    assert near(array(several.where("d = 1"), "t", "z", "x", value="im"), array(wave.propagated(waves, 0.7), "t", "z", "x", value="im"))
+
+
+def test_strips_shuffle_blocks_not_taps(spark):
+    """A few rows for each pair of strips go through the shuffles, of about the elements' bytes, and no tap is a row."""
+    n, angles = 64, 12
+    image = blocks.from_long(table(spark, np.ones((1, n, n)), "z", "y", "x"), ("z",), ("y", "x"), n, n, 16, single=True)
+    budget = 200_000
+    out = blocks.projected_strips(image, angles, budget)
+    plan = out.rows._sc._jvm.PythonSQLUtils.explainString(out.rows._jdf.queryExecution(), "simple")
+    assert "Generate" not in plan and plan.count("Exchange") == 3
+    some = blocks.samples(n, angles, blocks.height_for(n + 1, 2 * n, budget, radon.taps(n)[1]))
+    assert some.count > 2 and sum(len(some.of(k)) for k in range(some.count)) == n * angles
+    beyond = sum(len(some.columns(k)) for k in range(some.count)) - (n + 1)
+    assert beyond == 2 * some.reach * some.count
 
 
 def test_wavelets_are_orthogonal():
@@ -325,6 +346,62 @@ def test_banks_are_made_once(spark, tmp_path):
 
 def test_block_sizes():
     assert lines.block_size(96, 1000, 10_000) == 8 and lines.block_size(97, 1000, 10_000) == 1 and lines.block_size(12, 10, 10**9) == 12
-    lines.checked_plane(100, 100, 1 << 24)
-    with pytest.raises(ValueError, match="by lines"):
-        lines.checked_plane(98_304, 98_304, 1 << 34)
+
+
+def test_a_scan_obeys_its_budget(spark):
+    """Both sides of the budget: planes in tasks, or strips; the plans differ, the results don't."""
+    draw = np.random.default_rng(8)
+    n, angles, nz = 12, 6, 4
+    volume = table(spark, draw.random((nz, n, n)), "z", "y", "x")
+    found = {}
+    for budget in (blocks.BUDGET, 4_000):
+        scan = Scan(n=n, nz=nz, angles=angles, budget=budget)
+        seen = measured(volume, scan)
+        back = restored(seen, scan)
+        plan = back._sc._jvm.PythonSQLUtils.explainString(back._jdf.queryExecution(), "simple")
+        assert ("FlatMapGroupsInPandas" in plan) == (budget == blocks.BUDGET) and ("FlatMapGroupsInArrow" in plan) == (budget != blocks.BUDGET)
+        found[budget] = array(back, "z", "y", "x")
+    assert np.allclose(found[blocks.BUDGET], found[4_000], atol=1e-9)
+    assert blocks.fits_plane(1000, 600) and not blocks.fits_plane(98_304, 98_304)
+
+
+def test_each_tile_has_its_own_fields(spark):
+    """Two tiles under fields of different levels are both flat again, outliers in a field don't count, and attributes stay."""
+    draw = np.random.default_rng(2)
+    truth = 0.5 + draw.random((2, 8, 2, 6))  # tile, t, z, x
+    gain, offset = 100 + draw.random((2, 1, 2, 6)) * np.array([1, 50])[:, None, None, None], np.array([3.0, 20.0])[:, None, None, None]
+    shape = lambda a: table(spark, a, "xi", "t", "z", "x").withColumns({"scan": F.lit(0), "zi": F.lit(1)})
+    scan = Scan(n=6, nz=2, angles=4, level=0)
+    tiles = shape(truth * gain * (1 + 1e-5) + offset * (1 - truth)).withColumn("crop_top", F.col("xi") + 7)
+    out = corrected(tiles, scan, 2, 6, shape(np.broadcast_to(gain, (2, 3, 2, 6))), shape(np.broadcast_to(offset, (2, 2, 2, 6))))
+    assert np.allclose(array(out, "xi", "t", "z", "x"), truth, atol=1e-4)
+    assert {(r.xi, r.crop_top) for r in out.select("xi", "crop_top").distinct().collect()} == {(0, 7), (1, 8)}
+    hot = np.broadcast_to(gain, (2, 5, 2, 6)).copy()
+    hot[1, 2, 1, 3] += 1e5
+    mended = corrected(tiles, Scan(n=6, nz=2, angles=4, level=0, dezinger=3), 2, 6, shape(hot), shape(np.broadcast_to(offset, (2, 2, 2, 6))))
+    assert abs(array(mended, "xi", "t", "z", "x") / truth - 1).max() < 0.4
+
+
+def test_a_sample_is_prepared_scan_by_scan(spark):
+    draw = np.random.default_rng(3)
+    a = draw.random((2, 3, 4, 4))
+    volume = table(spark, a, "scan", "z", "y", "x")
+    scan = Scan(n=8, nz=6, angles=4, factor=2, radius=3.0, taper=1.0, fade=2)
+    found = array(prepared(volume, scan), "scan", "z", "y", "x")
+    for k in range(2):
+        one = array(enlarged(table(spark, a[k], "z", "y", "x"), 4, 2), "z", "y", "x")
+        rho = np.hypot(*(np.indices((8, 8)) - 3.5))
+        mask = 0.5 - 0.5 * np.cos(np.pi * np.clip((3 - rho) + 0.5, 0, 1))
+        z = np.minimum(np.arange(6), 5 - np.arange(6))
+        fade = np.where(z >= 2, 1.0, 0.5 - 0.5 * np.cos(np.pi * (z + 0.5) / 2))
+        assert np.allclose(found[k], one * mask * fade[:, None, None], atol=1e-12)
+
+
+def test_statistics_of_all_steps(spark):
+    scan = Scan(n=16, nz=8, angles=4, level=0)
+    volumes = model.grid(spark, scan=2, z=8, y=16, x=16).withColumn("v", F.col("scan") * 1e-3)
+    geometry_ = volumes.select("scan").distinct().select("scan", *[F.lit(v).alias(c) for c, v in dict(det_h=5, det_w=6, overlap=2, inset=2, z_overlap=2, sample_r=8.0, sample_h=8.0, n=16, nz=8, z_pad=0).items()])
+    found = {(r.step, r.scan): r for r in statistics(steps(volumes, geometry_, scan)).collect()}
+    assert {s for s, _ in found} == {"sample", "projections", "intensities", "tiles", "corrected", "stitched", "phases", "volumes"}
+    assert found["stitched", 1].n == 4 * 8 * 16 and found["volumes", 0].n == 8 * 16 * 16 and not any(r.has_nan for r in found.values())
+    assert found["intensities", 0].least == pytest.approx(1.0) and found["intensities", 1].least < 1

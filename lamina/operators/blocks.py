@@ -15,7 +15,7 @@ bands are cut across and put together again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.sources import store
+
 from . import fbp, radon, wave
 
 #: Bytes that a task's strip may take.
@@ -42,6 +44,12 @@ class Strips:
     height: int
     kind: str
 
+    def kept(self) -> Strips:
+        """The same, read from a table written in the shared folder: for strips that are read more than once."""
+        path = store.scratch(self.rows.sparkSession)
+        self.rows.write.parquet(path)
+        return replace(self, rows=self.rows.sparkSession.read.schema(self.rows.schema).parquet(path))
+
 
 def height_for(lines: int, length: int, budget: int = BUDGET, halo: int = 0) -> int:
     """How many lines (of at most 16 bytes an element) a strip has, so that it fits the budget; 1 at least."""
@@ -122,10 +130,27 @@ def exchanged(strips: Strips, send: Send, receive: Receive, lines: int, length:
     return Strips(sent.groupBy(*keys, "target").applyInArrow(put, f"{kinds}strip int, data binary"), keys, lines, length, height, kind)
 
 
+def beside(sources: list[int], blocks: list[bytes], kind: str, height: int, lines: int, shape: tuple[int, ...]) -> np.ndarray:
+    """Blocks put together along their last axis, which has ``lines`` of the sources' lines; those of a strip that isn't there are 0."""
+    out = np.zeros((*shape, lines), kind)
+    for source, block in zip(sources, blocks, strict=True):
+        first = source * height
+        out[..., first : first + height] = np.frombuffer(block, kind).reshape(*shape, -1)
+    return out
+
+
+def stacked(sources: list[int], blocks: list[bytes], kind: str, height: int, lines: int, width: int) -> np.ndarray:
+    """The same along the first axis."""
+    out = np.zeros((lines, width), kind)
+    for source, block in zip(sources, blocks, strict=True):
+        out[source * height : (source + 1) * height] = np.frombuffer(block, kind).reshape(-1, width)
+    return out
+
+
 def transposed(strips: Strips, width: int, height: int, before: Callable[[np.ndarray], np.ndarray], after: Callable[[int, np.ndarray], np.ndarray], length: int, kind: str) -> Strips:
     """Strips of the other axis: before() works on lines and makes them ``width`` long; after(first line, lines) on those of the
     other axis, which it makes ``length`` long."""
-    lines, each = strips.lines, "<c8" if strips.kind in ("<c8", "<f4") else "<c16"
+    lines, tall, each = strips.lines, strips.height, "<c8" if strips.kind in ("<c8", "<f4") else "<c16"
 
     def send(strip: int, m: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         out = before(m).astype(each)
@@ -134,10 +159,7 @@ def transposed(strips: Strips, width: int, height: int, before: Callable[[np.nda
 
     def receive(target: int, sources: list[int], blocks: list[bytes]) -> np.ndarray:
         rows = min(height, width - target * height)
-        whole = np.concatenate([np.frombuffer(b, each).reshape(rows, -1) for b in blocks], axis=1)
-        if whole.shape[1] != lines:
-            raise ValueError(f"a plane of {lines} lines has {whole.shape[1]}")
-        return after(target * height, whole)
+        return after(target * height, beside(sources, blocks, each, tall, lines, (rows,)))
 
     return exchanged(strips, send, receive, width, length, height, kind)
 
@@ -226,7 +248,7 @@ def projected_strips(image: Strips, angles: int, budget: int = BUDGET) -> Strips
     def gathered(strip: int, sources: list[int], blocks: list[bytes]) -> np.ndarray:
         some = samples(n, angles, width)
         columns = some.columns(strip)
-        lines = np.concatenate([np.frombuffer(b, each).reshape(-1, len(columns)) for b in blocks])
+        lines = stacked(sources, blocks, each, tall, n, len(columns))
         spectrum = np.fft.fft(np.pad(lines, ((n // 2, n - n // 2), (0, 0))), axis=0).T
         mirrored = some.folded(columns)[1]
         spectrum[mirrored] = np.conj(spectrum[mirrored][:, -np.arange(2 * n) % (2 * n)])
@@ -283,7 +305,11 @@ def back_projected_strips(stack: Strips, budget: int = BUDGET, filter_name: str
 
     def scattered(strip: int, sources: list[int], blocks: list[bytes]) -> np.ndarray:
         some = samples(n, angles, width)
-        which, values, columns = some.of(strip), np.concatenate([np.frombuffer(b, each) for b in blocks]), some.columns(strip)
+        which, columns = some.of(strip), some.columns(strip)
+        values = np.zeros(len(which), complex)
+        for source, block in zip(sources, blocks, strict=True):
+            a, b = np.searchsorted(which, (source * tall * n, (source + 1) * tall * n))
+            values[a:b] = np.frombuffer(block, each)
         re, im = np.zeros(len(columns) * 2 * n), np.zeros(len(columns) * 2 * n)
         for at, w in some.taps(strip, which):
             re += np.bincount(at, w * values.real, len(re))

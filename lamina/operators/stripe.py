@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import blocks
+from .blocks import Strips
 from .lines import planes
 
 
@@ -83,27 +88,33 @@ def synthesised(a: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray,
     return np.moveaxis(out[..., taps - 2 : out.shape[-1] - taps + 2], -1, axis)
 
 
+def _damped(hl: np.ndarray, sigma: float, axis: int) -> np.ndarray:
+    """A band of vertical detail without what stays the same along an axis."""
+    m = hl.shape[axis]
+    k = np.arange(m // 2 + 1)
+    at = k if m % 2 else np.minimum(k + 0.5, m - k - 0.5)
+    shape = [1] * hl.ndim
+    shape[axis] = -1
+    return np.fft.irfft(np.fft.rfft(hl, axis=axis) * -np.expm1(-(at**2) / (2 * sigma**2)).reshape(shape), n=m, axis=axis)
+
+
+def damped(v: np.ndarray, sigma: float, wavelet: str, level: int) -> np.ndarray:
+    """An array (angles, x) with the vertical detail of so many levels damped."""
+    if not level:
+        return v
+    la, ha, ls, hs = filters(wavelet)
+    low, high = analysed(v, la, ha, 1)
+    (ll, lh), (hl, hh) = analysed(low, la, ha, 0), analysed(high, la, ha, 0)
+    ll = damped(ll, sigma, wavelet, level - 1)
+    low, high = synthesised(ll, lh, ls, hs, 0), synthesised(_damped(hl, sigma, 0), hh, ls, hs, 0)
+    return synthesised(low, high, ls, hs, 1)[: v.shape[0], : v.shape[1]]
+
+
 def without_stripes(sino: np.ndarray, sigma: float = 2.0, wavelet: str = "sym16", level: int = 7) -> np.ndarray:
     """A sinogram (angles, x) without what stays the same over the angles in the bands of detail along x."""
-    la, ha, ls, hs = filters(wavelet)
     angles, width = sino.shape
     extra = angles // 8
-    v = np.pad(sino, ((extra // 2, extra - extra // 2), (0, 0)))
-    bands, shapes = [], []
-    for _ in range(level):
-        shapes.append(v.shape)
-        low, high = analysed(v, la, ha, 1)
-        (ll, lh), (hl, hh) = analysed(low, la, ha, 0), analysed(high, la, ha, 0)
-        m = hl.shape[0]
-        k = np.arange(m // 2 + 1)
-        at = k if m % 2 else np.minimum(k + 0.5, m - k - 0.5)
-        hl = np.fft.irfft(np.fft.rfft(hl, axis=0) * -np.expm1(-(at**2) / (2 * sigma**2))[:, None], n=m, axis=0)
-        bands.append((lh, hl, hh))
-        v = ll
-    for (lh, hl, hh), shape in zip(reversed(bands), reversed(shapes), strict=True):
-        v = v[: lh.shape[0], : lh.shape[1]]
-        low, high = synthesised(v, lh, ls, hs, 0), synthesised(hl, hh, ls, hs, 0)
-        v = synthesised(low, high, ls, hs, 1)[: shape[0], : shape[1]]
+    v = damped(np.pad(sino, ((extra // 2, extra - extra // 2), (0, 0))), sigma, wavelet, level)
     return v[extra // 2 : extra // 2 + angles, :width]
 
 
@@ -118,3 +129,87 @@ def stripes_removed(stack: DataFrame, sigma: float = 2.0, wavelet: str = "sym16"
         return {"t": t.ravel(), "x": x.ravel(), "v": out.ravel()}
 
     return planes(stack, list(keys), ("t", "x"), fn, f"t int, {kinds}, x int, v double")
+
+
+def stripes_removed_by_strips(stack: DataFrame, angles: int, width: int, sigma: float = 2.0, wavelet: str = "sym16", level: int = 7, keys: tuple[str, ...] = ("z",), budget: int = blocks.BUDGET) -> DataFrame:
+    """stripes_removed() for sinograms (angles x width) larger than a task: each level's transform is a pass along x and one
+    along the angles, over strips of lines that are whole, so that filters need no halo. Levels whose array has become small
+    enough for a task are done there."""
+    scaling(wavelet)
+    extra = angles // 8
+    wide = stack.withColumn("t", (F.col("t") + extra // 2).cast("int"))
+    lines = blocks.from_long(wide, keys, ("t", "x"), angles + extra, width, blocks.height_for(angles + extra, width, budget))
+    out = blocks.to_long(_damped_strips(lines, sigma, wavelet, level, budget), ("t", "x")).withColumn("t", (F.col("t") - extra // 2).cast("int"))
+    return out.where((F.col("t") >= 0) & (F.col("t") < angles)).select("t", *keys, "x", "v")
+
+
+def _damped_strips(strips: Strips, sigma: float, wavelet: str, level: int, budget: int) -> Strips:
+    """damped() of each key's array, by strips of its lines."""
+    if not level:
+        return strips
+    t, w, height, kind, keys = strips.lines, strips.length, strips.height, strips.kind, strips.keys
+    if blocks.fits_plane(t, w, budget):
+
+        def whole(_: int, sources: list[int], parts: list[bytes]) -> np.ndarray:
+            return damped(blocks.stacked(sources, parts, kind, height, t, w), sigma, wavelet, level)
+
+        return blocks.exchanged(strips, lambda _, m: iter([(0, m)]), whole, t, w, t, kind)
+
+    la, ha, ls, hs = filters(wavelet)
+    t2, w2 = (t + len(la) - 1) // 2, (w + len(la) - 1) // 2
+    rows, columns = blocks.height_for(t2, w2, budget), blocks.height_for(w2, 2 * t, budget)
+
+    def along_x(_: int, m: np.ndarray):
+        both = np.stack(analysed(m, la, ha, 1))
+        for a in range(0, w2, columns):
+            yield a // columns, np.ascontiguousarray(both[:, :, a : a + columns].transpose(0, 2, 1))
+
+    def along_angles(target: int, sources: list[int], parts: list[bytes]) -> np.ndarray:
+        count = min(columns, w2 - target * columns)
+        low, high = blocks.beside(sources, parts, kind, height, t, (2, count))
+        (ll, lh), (hl, hh) = analysed(low, la, ha, 1), analysed(high, la, ha, 1)
+        return np.stack([ll, lh, _damped(hl, sigma, 1), hh])
+
+    def of_lines(_: int, flat: np.ndarray):
+        ll = flat.reshape(4, -1, t2)[0]
+        for a in range(0, t2, rows):
+            yield a // rows, np.ascontiguousarray(ll[:, a : a + rows].T)
+
+    def lines_of(target: int, sources: list[int], parts: list[bytes]) -> np.ndarray:
+        return blocks.beside(sources, parts, kind, columns, w2, (min(rows, t2 - target * rows),))
+
+    def columns_of(target: int, sources: list[int], parts: list[bytes]) -> np.ndarray:
+        return blocks.beside(sources, parts, kind, tall, t2, (min(columns, w2 - target * columns),))
+
+    def of_columns(_: int, m: np.ndarray):
+        for a in range(0, w2, columns):
+            yield a // columns, np.ascontiguousarray(m[:, a : a + columns].T)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for bands, inner in zip(batch.column("bands"), batch.column("data"), strict=True):
+                _, lh, hl, hh = np.frombuffer(bands.as_buffer(), kind).reshape(4, -1, t2)
+                ll = np.frombuffer(inner.as_buffer(), kind).reshape(-1, t2)
+                out.append(np.stack([x[:, :t] for x in (synthesised(ll, lh, ls, hs, 1), synthesised(hl, hh, ls, hs, 1))]).tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (*keys, "strip")], pa.array(out, pa.binary())], names=[*keys, "strip", "data"])
+
+    def of_angles(_: int, flat: np.ndarray):
+        both = flat.reshape(2, -1, t)
+        for a in range(0, t, height):
+            yield a // height, np.ascontiguousarray(both[:, :, a : a + height].transpose(0, 2, 1))
+
+    def back(target: int, sources: list[int], parts: list[bytes]) -> np.ndarray:
+        count = min(height, t - target * height)
+        low, high = blocks.beside(sources, parts, kind, columns, w2, (2, count))
+        return synthesised(low, high, ls, hs, 1)[:, :w]
+
+    # Bands are read twice, for the next level and to go back, so they're written.
+    bands = blocks.exchanged(strips, along_x, along_angles, w2, 0, columns, kind).kept()
+    lines = _damped_strips(blocks.exchanged(bands, of_lines, lines_of, t2, w2, rows, kind), sigma, wavelet, level - 1, budget)
+    tall = lines.height
+    inner = blocks.exchanged(lines, of_columns, columns_of, w2, t2, columns, kind)
+    both = inner.rows.join(bands.rows.withColumnRenamed("data", "bands"), [*keys, "strip"])
+    kinds = "".join(f"{k} {dict(inner.rows.dtypes)[k]}, " for k in keys)
+    joined = Strips(both.mapInArrow(made, f"{kinds}strip int, data binary"), keys, w2, 0, columns, kind)
+    return blocks.exchanged(joined, of_angles, back, t, w, height, kind)

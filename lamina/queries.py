@@ -320,6 +320,10 @@ def fresnel_distances(spark, d):
     return rounded(blocks.propagated(waves, 8, 16, (0.2, 0.7), budget=5_000), "re", "im", digits=5)
 
 
+def stripes_by_strips(spark, d):
+    return rounded(stripe.stripes_removed_by_strips(stack(spark, d), 12, 16, 2.0, "haar", 2, budget=4_000), digits=5)
+
+
 def radon_multiplier(spark, d):
     return volume(spark, d).select("z", "y", "x", model.rounded(F.col("v") * radon.multiplier(16, 12), 9).alias("v"))
 
@@ -677,7 +681,7 @@ ORACLE_SQL = {
     "kx_bins": f"WITH {_TAPS}, b AS (SELECT (CASE WHEN k > 8 THEN 16 - k ELSE k END // 3)::INT AS bin FROM (SELECT ((round_even(16 * x0, 0)::INT % 16) + 16) % 16 AS k FROM pt)), c AS (SELECT bin, count(*) AS n FROM b GROUP BY 1) SELECT bin, n, (sum(n) OVER (ORDER BY bin) - n)::BIGINT AS first FROM c",
     "ky_bands": f"WITH {_TAPS} SELECT band, count(*) AS n FROM (SELECT DISTINCT t, r, (ky // 4)::INT AS band FROM tp) GROUP BY 1",
 }
-ORACLE_SQL |= {"radon_by_lines": ORACLE_SQL["radon_forward"], "radon_adjoint_by_lines": ORACLE_SQL["radon_adjoint"], "fbp_by_lines": ORACLE_SQL["fbp_reconstruction"], "paganin_by_lines": ORACLE_SQL["paganin"]}
+ORACLE_SQL |= {"stripes_by_strips": ORACLE_SQL["stripe_removal"], "radon_by_lines": ORACLE_SQL["radon_forward"], "radon_adjoint_by_lines": ORACLE_SQL["radon_adjoint"], "fbp_by_lines": ORACLE_SQL["fbp_reconstruction"], "paganin_by_lines": ORACLE_SQL["paganin"]}
 
 QUERIES = {
     f.__name__: f
@@ -685,7 +689,7 @@ QUERIES = {
         tile_layout, mirror_placements, mosaic_summary, angle_grid, diag_tiles, bank_plan, vchunk_iter, task_split, theta_slab, z_slab, dataset_info, center_crop, center_pad, circular_mask, z_taper, tile_extract_360,
         fold_180, strided_slice, symmetric_pad, edge_pad, zero_pad, reflect_index, upsample_xy, upsample_z, z_resample, nearest_repeat, bin2d, gaussian_smooth, unsharp, psi_from_proj, intensity, fresnel, paganin,
         dezinger, darkflat, tent_weight, stitch, stack_stats, axis_mean, percentile_clip, rel_error, stage_throughput, human_bytes, nufft_gather, nufft_scatter, kx_bins, ky_bands, radon_forward, radon_adjoint,
-        fbp_filter, fbp_reconstruction, stripe_removal, whole_scan, radon_by_lines, radon_adjoint_by_lines, paganin_by_lines, fbp_by_lines, fresnel_distances, radon_multiplier, stitch_uneven, tile_files, store_box, store_range, bank_files,
+        fbp_filter, fbp_reconstruction, stripe_removal, whole_scan, radon_by_lines, radon_adjoint_by_lines, paganin_by_lines, fbp_by_lines, fresnel_distances, stripes_by_strips, radon_multiplier, stitch_uneven, tile_files, store_box, store_range, bank_files,
         catalog_text, tile_index, rectangle, sharp_mask, zoom_xy, millimetres, standard_geometry, cone_geometry, fresnel_numbers, strip_order, theta_prefix, line_callback, plane_callback, cast_single, wavelet_bands,
         block_plan, corrected_tiles,
     )

@@ -348,6 +348,36 @@ def test_block_sizes():
     assert lines.block_size(96, 1000, 10_000) == 8 and lines.block_size(97, 1000, 10_000) == 1 and lines.block_size(12, 10, 10**9) == 12
 
 
+@pytest.mark.parametrize("wavelet, level, budget", [("sym16", 7, 60_000), ("haar", 3, 3_000), ("db4", 2, blocks.BUDGET)])
+def test_stripes_by_strips(spark, wavelet, level, budget):
+    """The same as in one task, for several levels by strips, of odd sizes, for two tiles at once."""
+    draw = np.random.default_rng(9)
+    a = draw.random((2, 37, 41))
+    stack = table(spark, a, "z", "t", "x")
+    found = array(stripe.stripes_removed_by_strips(stack, 37, 41, 1.5, wavelet, level, budget=budget), "z", "t", "x")
+    for k in range(2):
+        assert np.allclose(found[k], stripe.without_stripes(a[k], 1.5, wavelet, level), atol=1e-9)
+
+
+def test_percentiles_are_exact_and_spread(spark):
+    """Against numpy: ties, one value, a wide spread of magnitudes, infinities, nulls, NaN, a null key, and a key without values."""
+    draw = np.random.default_rng(1)
+    groups = {"ties": [1.0] * 50 + [2.0] * 3, "one": [5.0], "two": [1.0, 2.0], "wide": (10.0 ** draw.uniform(-300, 300, 300)).tolist(), "far": [-1.7e308, 1.7e308, 0.0, 1.0], "normal": draw.standard_normal(5000).tolist(), None: [3.0, 4.0, 9.0], "ends": [-math.inf, 1.0, 2.0, 3.0, math.inf]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("one", None), ("two", math.nan), ("none", None)]
+    found = {r.k: r for r in stats.clip_range(spark.createDataFrame(rows, "k string, v double"), 0.25, 0.9, "k").collect()}
+    assert set(found) == set(groups)
+    for k, vs in groups.items():
+        for p, v in ((0.25, found[k].low), (0.9, found[k].high)):
+            s, at = sorted(vs), p * (len(vs) - 1)
+            a, b = s[math.floor(at)], s[math.ceil(at)]
+            exact = a if a == b else (math.ceil(at) - at) * a + (at - math.floor(at)) * b if at % 1 else a
+            assert v == pytest.approx(exact, rel=1e-12), (k, p)
+    whole = stats.clip_range(spark.createDataFrame(rows, "k string, v double").where("k = 'normal'")).collect()
+    assert [*whole[0]] == pytest.approx(np.percentile(groups["normal"], [1, 99]).tolist())
+    plan = stats.clip_range(spark.createDataFrame(rows, "k string, v double"), 0.25, 0.9, "k")
+    assert "percentile" not in plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple")
+
+
 def test_a_scan_obeys_its_budget(spark):
     """Both sides of the budget: planes in tasks, or strips; the plans differ, the results don't."""
     draw = np.random.default_rng(8)

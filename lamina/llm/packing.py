@@ -26,8 +26,10 @@ from .bpe import read_ranks
 from .common import BoundedCache, saved, small_batches, table
 
 CAPACITY = 2048
-#: Groups that documents of one length are dealt into to be ranked; the table of their counts has CAPACITY * SALTS rows at most.
-SALTS = 64
+#: Documents of one length are dealt into groups of about so many to be ranked, so no task sorts more.
+RANKED = 10_000
+#: Groups whose offsets are broadcast at most; beyond, the join is a shuffled one.
+BROADCAST = 1_000_000
 WORD_LIMIT = 300_000
 #: Ranges of sizes that a round's runs are dealt into; the share of the sequences that what is left needs at least which is
 #: opened when nothing fits.
@@ -189,26 +191,28 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, sweeper: Callable[[li
     return placed
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, ranked_at_once: int = RANKED) -> DataFrame:
     """Adds sequence_id and offset to items (doc_id, piece, length, ...), lengths from 1 to capacity.
 
     Sequences are filled from offset 0 without gaps and never beyond the capacity. Rows that repeat are placed each by
-    itself. items is read twice and must give the same rows each time, as a written table does.
+    itself. items is read several times and must give the same rows each time, as a written table does; a column ``_row`` that
+    tells its rows apart, if there is one, spreads even equal rows over groups, and is left out of the result.
     """
     spark = items.sparkSession
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # capacity * salts rows at most
-    total: dict[int, int] = {}
-    first = []
-    for r in sorted(counts):
-        first.append((r["length"], r["_salt"], total.get(r["length"], 0)))
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
+    total = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs = plan(total, capacity, lambda some: swept(spark, some))
-    offsets = spark.createDataFrame(first, "length long, _salt int, _first long")
+    # A length has as many groups as its documents need.
+    groups = spark.createDataFrame([(length, -(-n // ranked_at_once)) for length, n in total.items()], "length long, _groups long")
+    by = [c for c in ("doc_id", "piece", "start", "_row") if c in items.columns]
+    salted = items.join(F.broadcast(groups), "length").withColumn("_salt", F.pmod(F.xxhash64(*by), F.col("_groups")))
+    counts = saved(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), "groups")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_first"))
+    few = counts.count() <= BROADCAST
     places = spark.createDataFrame([(size, a, a + each * n, each, gap, sequence) for size, a, each, gap, sequence, n in runs], "length long, _from long, _to long, _each long, _gap long, _sequence long")
     ranked = (
-        salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")) - 1)
-        .join(F.broadcast(offsets), ["length", "_salt"])  # bounded as above
+        salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*by)) - 1)
+        .join(F.broadcast(offsets) if few else offsets, ["length", "_salt"])
         .withColumn("_rank", F.col("_rank") + F.col("_first"))
     )
     # A length's runs are few, and all runs are bounded by rounds and sizes, not by documents.
@@ -216,7 +220,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Data
     return (
         ranked.join(F.broadcast(places), (ranked.length == places.length) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
         .withColumns({"sequence_id": F.col("_sequence") + F.floor(at / F.col("_each")), "offset": F.lit(capacity) - F.col("_gap") + (at % F.col("_each")) * ranked.length})
-        .select(*(ranked[c] for c in items.columns), "sequence_id", "offset")
+        .select(*(ranked[c] for c in items.columns if c != "_row"), "sequence_id", "offset")
     )
 
 
@@ -228,7 +232,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     empty table gives an empty one. Texts are encoded whole, of any length.
     """
     small_batches(docs.sparkSession)
-    return pack(saved(pieces(docs, capacity), "pieces"), capacity)
+    return pack(saved(pieces(docs, capacity).withColumn("_row", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

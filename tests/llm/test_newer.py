@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import merkle, negatives, ngrams
+from lamina.llm import common, merkle, negatives, ngrams, packing
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -222,3 +222,23 @@ def test_a_better_model_than_single_words(spark):
     """Held-out texts are likelier under the model than by single words."""
     found = ngrams.op13_lm_scores(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert found[0] > found[1] + 0.5 * found[2]
+
+
+def test_a_length_of_nearly_all_rows_is_ranked_in_groups(spark):
+    """A third of the rows are one row again and again, and nearly all have one length: no group is larger than its bound says."""
+    rows = [(7, 0, 0, 100)] * 3000 + [(i, 0, 0, 100) for i in range(5000)] + [(i, 1, 100, 1 + i % 90) for i in range(500)] + [(None, 0, 0, 100)] * 50
+    items = common.saved(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long").withColumn("_row", F.monotonically_increasing_id()), "items")
+    out = packing.pack(items, 100, 500)
+    assert out.columns == ["doc_id", "piece", "start", "length", "sequence_id", "offset"]
+    found = out.toPandas()
+    assert len(found) == len(rows) and (found.groupby("sequence_id").length.sum() <= 100).all()
+    for _, own in found.sort_values("offset").groupby("sequence_id"):
+        assert (own.offset.to_numpy() == np.r_[0, np.cumsum(own.length)[:-1]]).all()
+    groups = items.join(spark.createDataFrame([(100, 17)], "length long, g long"), "length").groupBy(F.pmod(F.xxhash64("doc_id", "piece", "start", "_row"), F.col("g"))).count()
+    assert groups.agg(F.max("count")).first()[0] < 750
+
+
+def test_packing_of_null_ids_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "x"), (3, "x"), (4, None)], "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("_row", "_salt", "length", "piece")})
+    found = packing.packed(docs).toPandas()
+    assert len(found) == 5 and found.doc_id.isna().sum() == 2 and found.sequence_id.nunique() == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -107,11 +108,12 @@ class BoundedCache(dict):
     """Values by key, computed on a miss. When full, the younger half goes: what came first came because it is frequent.
     Keys longer than ``longest`` aren't kept, so that a few very long words can't fill a worker's memory.
 
-    A worker that goes on with another operator's tasks gives up the caches of the one before: see ``working_on``.
+    A worker that goes on with another operator's tasks gives up the caches and models of the one before: see ``working_on``.
     """
 
-    #: The operator that this worker works on, and the caches that are in use.
+    #: The operator that this worker works on, the caches that are in use, and dictionaries of models that were given to it.
     owner, alive = "", weakref.WeakSet()
+    models: list[dict] = []
 
     def __init__(self, compute: Callable, limit: int, longest: int = 128):
         super().__init__()
@@ -123,8 +125,10 @@ class BoundedCache(dict):
     @staticmethod
     def working_on(owner: str) -> None:
         if BoundedCache.owner != owner:
-            for cache in list(BoundedCache.alive):
-                cache.clear()
+            for held in (*BoundedCache.models, *BoundedCache.alive):
+                held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
             BoundedCache.owner = owner
 
     def __missing__(self, key):

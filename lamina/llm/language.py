@@ -28,7 +28,7 @@ SAMPLE, GRAMS = 20_000, 100_000
 SWITCH, WORD_MOST, WORD_LETTERS = 8.0, 6.0, 32
 #: The share of a language's letters from which on it is held to be written in a script.
 SCRIPT_SHARE = 0.01
-KEPT = 800_000
+KEPT = 300_000
 
 #: First code points of script ranges (fixed values of Unicode), "" between them; letters elsewhere count as "other".
 SCRIPTS = [
@@ -199,6 +199,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 _scorers: dict[str, Scorer] = {}
+BoundedCache.models.append(_scorers)
 
 
 def _scorer(key: str, model: dict) -> Scorer:

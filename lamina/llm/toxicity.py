@@ -29,7 +29,7 @@ PRIOR, ODDS_LEAST, DRIFT = 0.1, 0.25, 1.0
 #: Lengths of word beginnings that stand for words without log-odds themselves.
 STEMS = (6, 5, 4)
 THRESHOLD = 0.3
-KEPT = 800_000
+KEPT = 300_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -195,6 +195,7 @@ def learn(rows: DataFrame) -> dict:
 
 
 _scorers: dict[str, Scorer] = {}
+BoundedCache.models.append(_scorers)
 
 
 def _scorer(key: str, model: dict) -> Scorer:

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, by_key, saved, table
 
-#: Nodes of a cell as aimed at, and of a shard at most (as dealt by a hash); centroids at most.
-CELL_NODES, SHARD_NODES, MOST_CELLS = 4096, 32_768, 1024
+#: Nodes of a cell as aimed at, and of a shard on average at most (as dealt by a hash); centroids at most. A larger cell is
+#: several shards, all of which are searched: one search of SEARCH_BREADTH finds too few in a larger graph without clusters.
+CELL_NODES, SHARD_NODES, MOST_CELLS = 4096, 4096, 1024
 #: Vectors that centroids are fitted to at most, those of them whose neighbours among the sample are looked for in cells, how
 #: many neighbours, and the share of these that the cells searched must hold.
 SAMPLE, ASKED, LOOKED_FOR, HELD = 20_000, 400, 20, 0.99

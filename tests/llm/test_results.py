@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -336,6 +337,21 @@ def test_recall_over_cells(spark, monkeypatch):
     assert len(found) == 203 and hits >= 0.95 * 20 * 203
 
 
+def test_recall_without_clusters(spark, monkeypatch):
+    """Independent components, more of them than any graph of few links suits: one cell of several shards of the usual size."""
+    monkeypatch.setattr(hnsw, "CELL_NODES", 20_000)
+    points = np.random.default_rng(7).normal(size=(12_500, 64)).astype(np.float32).astype(float)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(points)), "embedding": list(points)})).repartition(4)
+    found = {}
+    for r in hnsw.nearest(table, "vec_id % 125 = 0").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, near in found.items():
+        order = np.argsort(-(points @ points[q]), kind="stable")
+        hits += len(near & set(order[order != q][:20].tolist()))
+    assert len(found) == 100 and hits >= 0.92 * 20 * 100, hits
+
+
 def brute_components(texts):
     sets = {i: frozenset(jaccard.shingles(t).tolist()) for i, t in texts.items()}
     parent = {i: i for i in sets}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import blocks, fbp, geometry, lines, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
 from lamina.plans import scan as scans
-from lamina.sources import store
+from lamina.sources import store, tiff
 
 VOLUME = {"z": 8, "y": 16, "x": 16}
 STACK = {"t": 12, "z": 8, "x": 16}
@@ -364,6 +364,16 @@ def bank_files(spark, d):
     return spark.read.parquet(path).groupBy("bank").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
+def tiff_pages(spark, d):
+    """A page for each supplier, written as files of pages and read again: of all pages but the first the lines from 4 to 11."""
+    path = store.scratch(spark)
+    last = table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0]
+    sums = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("z"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_orderkey") % 16).cast("int").alias("x")).agg(F.sum("l_quantity").alias("v"))
+    tiff.write(model.to_rows(model.filled(sums, {"z": (last or 0) + 1, "y": 16, "x": 16}), "z", "y"), path)
+    some = tiff.read(spark, path).where("z >= 1 and y >= 4 and y < 12")
+    return rounded(model.to_long(some, "z", "y").withColumn("v", F.col("v").cast("double")), digits=3)
+
+
 def catalog_text(spark, d):
     """The catalog written as text and parsed again."""
     header = dict(NZ=24, N=40, DET_H=12, DET_W=16, n_z=2, n_x=2, NTHETA=8, N_HALF=4, OVERLAP=4)
@@ -663,6 +673,7 @@ ORACLE_SQL = {
     "store_box": f"WITH {_STACK} SELECT * FROM st WHERE z >= 3 AND z < 7 AND x >= 4 AND x < 9",
     "store_range": f"WITH {_STACK} SELECT * FROM st WHERE t >= 5 AND t < 10",
     "bank_files": f"WITH {_STACK} SELECT (floor((t % 5) / 3) + 2 * floor(t / 5))::INT AS bank, min(t) AS first, max(t) AS last, count(*) AS n, sum(v) AS total FROM st GROUP BY 1",
+    "tiff_pages": f"SELECT g.z, g.y, g.x, {_r('coalesce(s.v, 0.0)::FLOAT::DOUBLE', 'v', 3)} FROM (SELECT a.range::INT AS z, b.range::INT AS y, c.range::INT AS x FROM range((SELECT max(s_suppkey) + 1 FROM supplier)) a, range(4, 12) b, range(16) c WHERE a.range >= 1) g LEFT JOIN (SELECT l_suppkey AS z, l_partkey % 16 AS y, l_orderkey % 16 AS x, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3) s USING (z, y, x)",
     "catalog_text": f"WITH {_PARTS}, {_LAYOUT} SELECT DISTINCT zi, xi, z_center, x_center, crop_top, crop_bottom, crop_left, crop_right, 4 AS half, 4 AS overlap FROM pl",
     "tile_index": "SELECT p_size AS zi, p_partkey::INT AS xi FROM part WHERE p_partkey % 3 <> 0",
     "rectangle": f"WITH {_VOLUME} SELECT z, y - 3 AS y, x - 2 AS x, v FROM vol WHERE y >= 3 AND y < 11 AND x >= 2 AND x < 15",
@@ -691,6 +702,6 @@ QUERIES = {
         dezinger, darkflat, tent_weight, stitch, stack_stats, axis_mean, percentile_clip, rel_error, stage_throughput, human_bytes, nufft_gather, nufft_scatter, kx_bins, ky_bands, radon_forward, radon_adjoint,
         fbp_filter, fbp_reconstruction, stripe_removal, whole_scan, radon_by_lines, radon_adjoint_by_lines, paganin_by_lines, fbp_by_lines, fresnel_distances, stripes_by_strips, radon_multiplier, stitch_uneven, tile_files, store_box, store_range, bank_files,
         catalog_text, tile_index, rectangle, sharp_mask, zoom_xy, millimetres, standard_geometry, cone_geometry, fresnel_numbers, strip_order, theta_prefix, line_callback, plane_callback, cast_single, wavelet_bands,
-        block_plan, corrected_tiles,
+        block_plan, corrected_tiles, tiff_pages,
     )
 }

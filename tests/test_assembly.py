@@ -16,12 +16,12 @@ def tiles_of(spark):
     return geometry.footprints(geometry.placements(scans))
 
 
-def run(spark, path, batches, tiles, name):
+def run(spark, path, batches, tiles, name, band=64):
     """Each batch of lines is a file, read in order."""
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, assembly.LINE).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
         query = (
-            assembly.stitched(spark.readStream.schema(assembly.LINE).parquet(f"{path}/{name}"), tiles, 2, "1 minute", 60)
+            assembly.stitched(spark.readStream.schema(assembly.LINE).parquet(f"{path}/{name}"), tiles, 2, "1 minute", 60, band)
             .writeStream.format("parquet").option("path", f"{path}/{name}-out").option("checkpointLocation", f"{path}/{name}-at").start()
         )
         query.processAllAvailable()
@@ -44,7 +44,7 @@ def test_any_order_gives_the_batch(spark, tmp_path, cut):
     tiles, lines, want = cut
     third = len(lines) // 3
     parts = [lines[:third], lines[third : 2 * third] + lines[:50], lines[2 * third :] + lines[-9:]]  # some come twice
-    rows = run(spark, tmp_path, [[(*r, START + timedelta(seconds=k)) for r in part] for k, part in enumerate(parts)], tiles, "all").collect()
+    rows = run(spark, tmp_path, [[(*r, START + timedelta(seconds=k)) for r in part] for k, part in enumerate(parts)], tiles, "all", 10).collect()
     found = {(r.scan, r.t, r.z, r.x): r.v for r in rows}
     assert len(rows) == len(found) and all(r.complete for r in rows) and set(found) == set(want)
     assert max(abs(found[k] - want[k]) for k in want) < 1e-9

@@ -5,13 +5,14 @@ suppliers."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.operators import blocks, fbp, geometry, lines, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
 from lamina.plans import scan as scans
-from lamina.sources import store, tiff
+from lamina.sources import boxes, store, tiff
 
 VOLUME = {"z": 8, "y": 16, "x": 16}
 STACK = {"t": 12, "z": 8, "x": 16}
@@ -357,6 +358,17 @@ def store_range(spark, d):
     return store.read(spark, path, "t", 5, 10, band=4).select("t", "z", "x", "v")
 
 
+def store_boxes(spark, d):
+    """Embeddings as elements (vector, label, component) laid out in boxes: the whole, a range of each axis and a box read again."""
+    path, layout = store.scratch(spark), boxes.Boxes((("t", 64), ("z", 2), ("x", 16)), levels=1)
+    elements = table(spark, d, "embeddings").select(F.col("vec_id").alias("t"), F.col("label").alias("z"), F.posexplode("embedding").alias("x", "v"))
+    boxes.write(elements.withColumn("v", F.col("v").cast("double")), path, layout)
+    ranges = {"t": (200, None), "z": (3, 7), "x": (16, 40)}
+    read = {"whole": {}, **{a: {a: r} for a, r in ranges.items()}, "box": ranges}
+    parts = [boxes.read(spark, path, r, layout).withColumn("part", F.lit(name)) for name, r in read.items()]
+    return rounded(reduce(DataFrame.unionByName, parts).groupBy("part", "z", "x").agg(F.count("*").alias("n"), F.sum("v").alias("total")), "total", digits=3)
+
+
 def bank_files(spark, d):
     """A stack in bank files: of chunks of 5 projections in 2 banks."""
     path = store.scratch(spark)
@@ -672,6 +684,7 @@ ORACLE_SQL = {
     "tile_files": f"WITH {_MOSAIC}, {_SIDES} SELECT scan, zi, xi, count(*) AS n, {_r('sum(v)', 'total')} FROM px WHERE zi <= xi GROUP BY 1, 2, 3",
     "store_box": f"WITH {_STACK} SELECT * FROM st WHERE z >= 3 AND z < 7 AND x >= 4 AND x < 9",
     "store_range": f"WITH {_STACK} SELECT * FROM st WHERE t >= 5 AND t < 10",
+    "store_boxes": f"WITH el AS (SELECT vec_id AS t, label AS z, (unnest(range(len(embedding))))::INT AS x, unnest(embedding)::DOUBLE AS v FROM embeddings), pa AS (SELECT unnest(['whole', 't', 'z', 'x', 'box']) AS part) SELECT part, z, x, count(*) AS n, {_r('sum(v)', 'total', 3)} FROM el, pa WHERE part = 'whole' OR ((part NOT IN ('t', 'box') OR t >= 200) AND (part NOT IN ('z', 'box') OR z >= 3 AND z < 7) AND (part NOT IN ('x', 'box') OR x >= 16 AND x < 40)) GROUP BY 1, 2, 3",
     "bank_files": f"WITH {_STACK} SELECT (floor((t % 5) / 3) + 2 * floor(t / 5))::INT AS bank, min(t) AS first, max(t) AS last, count(*) AS n, sum(v) AS total FROM st GROUP BY 1",
     "tiff_pages": f"SELECT g.z, g.y, g.x, {_r('coalesce(s.v, 0.0)::FLOAT::DOUBLE', 'v', 3)} FROM (SELECT a.range::INT AS z, b.range::INT AS y, c.range::INT AS x FROM range((SELECT max(s_suppkey) + 1 FROM supplier)) a, range(4, 12) b, range(16) c WHERE a.range >= 1) g LEFT JOIN (SELECT l_suppkey AS z, l_partkey % 16 AS y, l_orderkey % 16 AS x, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3) s USING (z, y, x)",
     "catalog_text": f"WITH {_PARTS}, {_LAYOUT} SELECT DISTINCT zi, xi, z_center, x_center, crop_top, crop_bottom, crop_left, crop_right, 4 AS half, 4 AS overlap FROM pl",
@@ -700,7 +713,7 @@ QUERIES = {
         tile_layout, mirror_placements, mosaic_summary, angle_grid, diag_tiles, bank_plan, vchunk_iter, task_split, theta_slab, z_slab, dataset_info, center_crop, center_pad, circular_mask, z_taper, tile_extract_360,
         fold_180, strided_slice, symmetric_pad, edge_pad, zero_pad, reflect_index, upsample_xy, upsample_z, z_resample, nearest_repeat, bin2d, gaussian_smooth, unsharp, psi_from_proj, intensity, fresnel, paganin,
         dezinger, darkflat, tent_weight, stitch, stack_stats, axis_mean, percentile_clip, rel_error, stage_throughput, human_bytes, nufft_gather, nufft_scatter, kx_bins, ky_bands, radon_forward, radon_adjoint,
-        fbp_filter, fbp_reconstruction, stripe_removal, whole_scan, radon_by_lines, radon_adjoint_by_lines, paganin_by_lines, fbp_by_lines, fresnel_distances, stripes_by_strips, radon_multiplier, stitch_uneven, tile_files, store_box, store_range, bank_files,
+        fbp_filter, fbp_reconstruction, stripe_removal, whole_scan, radon_by_lines, radon_adjoint_by_lines, paganin_by_lines, fbp_by_lines, fresnel_distances, stripes_by_strips, radon_multiplier, stitch_uneven, tile_files, store_box, store_range, store_boxes, bank_files,
         catalog_text, tile_index, rectangle, sharp_mask, zoom_xy, millimetres, standard_geometry, cone_geometry, fresnel_numbers, strip_order, theta_prefix, line_callback, plane_callback, cast_single, wavelet_bands,
         block_plan, corrected_tiles, tiff_pages,
     )

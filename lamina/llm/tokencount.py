@@ -1,17 +1,15 @@
 """Token counts by a two-tier lookup on the map side.
 
 A word with the space before it is a pre-token: no piece of the model has a space after another character. The lengths of
-the most frequent pre-tokens are broadcast as a compact table of bounded size; every other one is encoded where it occurs,
-through a cache of bounded size in each worker. No pre-token of a text is shuffled: only each task's few most frequent
-ones are, when the table is made. The table and the caches only save work; a count never depends on them.
+frequent pre-tokens, those that the model's own vocabulary ranks as pieces, are broadcast as a compact table of bounded size;
+every other one is encoded where it occurs, through a cache of bounded size in each worker, which soon holds what is frequent in
+the texts at hand. Texts are read once and nothing is shuffled. The table and the caches only save work; a count never depends
+on them.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, map_batches, table
 
-#: Entries of the broadcast table, and what each task offers for it: under 2 MB at any input.
-FREQUENT, OFFERED = 65_536, 4_096
-#: Different words counted at once in a task, and lengths kept in a worker.
-COUNTED, KEPT = 300_000, 400_000
+#: Entries of the broadcast table at most: under 2 MB for any vocabulary.
+FREQUENT = 65_536
+#: Lengths kept in a worker.
+KEPT = 400_000
 
 _UNIT = regex.compile(" +[^ ]*")
 
@@ -61,28 +59,15 @@ class Lengths:
         return total
 
 
-def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", entries: int = FREQUENT) -> tuple[str, bytes]:
-    """The most frequent pre-tokens of all texts, joined by spaces, and their lengths: at most ``entries`` of them.
+def frequent_lengths(path: str, entries: int = FREQUENT) -> tuple[str, bytes]:
+    """Pre-tokens that the model's vocabulary has as pieces, joined by spaces, and their lengths: the first ``entries`` by rank.
 
-    Each task counts in bounded memory (when it holds too many words, those seen least go) and offers its top ones.
+    A vocabulary ranks pieces by how frequent they are, so no text is read for it, and no pre-token of any is counted.
     """
-
-    def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            counts.update(chain.from_iterable(t.split(" ") for t in batch.column(0).to_pylist() if t))
-            if len(counts) > COUNTED:
-                counts = Counter(dict(counts.most_common(COUNTED // 4)))
-        top = [(w, n) for w, n in counts.most_common(OFFERED) if 0 < len(w) <= 16 and "▁" not in w]
-        yield pa.RecordBatch.from_pydict({"word": [w for w, _ in top], "n": pa.array([n for _, n in top], pa.int64())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
-
-    def measured(batch: pa.RecordBatch) -> dict:
-        encode = _processor(path).encode
-        return {"word": batch.column(0), "tokens": [len(encode(w, num_threads=1)) for w in batch.column(0).to_pylist()]}
-
-    top = docs.select(F.col(text_col)).mapInArrow(offered, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries)
-    rows = map_batches(top.select("word"), measured, "word string, tokens int").collect()  # bounded by entries
-    return " ".join(r.word for r in rows), np.array([r.tokens for r in rows], "<u4").tobytes()
+    model = _processor(path)
+    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+    words = [p[1:] for p in pieces if p[:1] == "▁" and len(p) > 1 and "▁" not in p[1:] and " " not in p][:entries]
+    return " ".join(words), np.array([len(ids) for ids in model.encode(words, num_threads=1)], "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -93,9 +78,10 @@ def _lengths(path: str, key: tuple[str, bytes]) -> Lengths:
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Per row: id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    A null or empty text has none of either. Repeated rows each have a row; other columns are left out, so none can clash.
+    A null or empty text has none of either. Repeated rows each have a row, and so do rows with a null id; other columns are
+    left out, so none can clash. An empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path))
 
     def run(batch: pa.RecordBatch) -> dict:
         BoundedCache.working_on(__name__)

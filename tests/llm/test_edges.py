@@ -50,6 +50,19 @@ def test_repeated_rows(spark, name):
     assert set(out.doc_id) == {0, 1, 2}
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_rows_without_an_id(spark, name):
+    docs = documents(spark)
+    more = docs.where("doc_id in (5, 6)").withColumn("doc_id", F.lit(None).cast("long"))
+    out = OPERATORS[name](docs.unionByName(more)).toPandas()
+    assert set(out.doc_id.dropna().astype(int)) == set(range(len(TEXTS)))
+    without = out[out.doc_id.isna()]
+    if name == "packing":
+        assert (without.piece == 0).sum() == 2 and out.groupby("sequence_id").length.sum().max() <= 2048
+    else:
+        assert len(without) == 2
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_no_rows(spark, name):
     assert OPERATORS[name](documents(spark).where("false")).count() == 0

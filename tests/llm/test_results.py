@@ -82,6 +82,24 @@ def test_token_counts_are_the_librarys(texts):
         assert lengths.of(text) == len(model.encode(text))
 
 
+def test_table_of_frequent_pre_tokens(spark, texts):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    words, counts = tokencount.frequent_lengths(path)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    known = tokencount.Lengths(path, (words, counts))
+    assert 10_000 < len(known.known) <= tokencount.FREQUENT and known.known["the"] == 1
+    assert all(n == len(model.encode(w)) for w, n in known.known.items())
+    few = tokencount.Lengths(path, tokencount.frequent_lengths(path, 10))
+    assert len(few.known) == 10
+    for text in [*list(texts.values())[:80], *made_up(300, 2)]:
+        assert known.of(text) == few.of(text) == len(model.encode(text))
+    docs = spark.createDataFrame(list(texts.items())[:50], "doc_id long, text string")
+    plan = tokencount.token_counts(docs, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_token_count_query(spark, texts):
     import sentencepiece
 

@@ -360,7 +360,7 @@ def store_range(spark, d):
 
 def store_boxes(spark, d):
     """Embeddings as elements (vector, label, component) laid out in boxes: the whole, a range of each axis and a box read again."""
-    path, layout = store.scratch(spark), boxes.Boxes((("t", 64), ("z", 2), ("x", 16)), levels=1)
+    path, layout = store.scratch(spark), boxes.Boxes((("t", 1024), ("z", 2), ("x", 16)), levels=1)
     elements = table(spark, d, "embeddings").select(F.col("vec_id").alias("t"), F.col("label").alias("z"), F.posexplode("embedding").alias("x", "v"))
     boxes.write(elements.withColumn("v", F.col("v").cast("double")), path, layout)
     ranges = {"t": (200, None), "z": (3, 7), "x": (16, 40)}

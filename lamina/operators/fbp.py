@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .lines import along
-from .radon import back_projected
+from .radon import adjoint, back_projected
 
 FILTERS = ("none", "ramp", "shepp", "cosine", "cosine2", "hamming", "hann", "parzen")
 #: Points of the quadrature and samples of its linear end (fixed values).
@@ -76,6 +76,13 @@ def filtered(stack: DataFrame, name: str = "ramp") -> DataFrame:
     return along(stack, "x", ["t", "z"], filtered_lines(name))
 
 
+def reconstruction(name: str = "ramp"):
+    """The function from sinograms (slices, angles, x) to slices (slices, y, x), as reconstructed() gives them."""
+    weights(name, 64)
+    along_lines = filtered_lines(name)
+    return lambda v: adjoint(along_lines(v.reshape(-1, v.shape[-1]))[0].reshape(v.shape))
+
+
 def reconstructed(stack: DataFrame, name: str = "ramp") -> DataFrame:
     """(z, y, x, v) from projections (t, z, x, v) at evenly spaced angles over half a turn."""
     return back_projected(filtered(stack, name))

@@ -6,9 +6,12 @@ bands of BAND lines, so that no pair of pixel and tile is tried that doesn't sha
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import lines
 from .model import filled
 
 BAND = 64
@@ -27,6 +30,45 @@ def cut(stack: DataFrame, tiles: DataFrame, half: int) -> DataFrame:
     return both.select(*keys, "_p.t", F.col("z").cast("int").alias("z"), "_p.x", "v")
 
 
+def cut_lines(stack: DataFrame, tiles: DataFrame, half: int) -> DataFrame:
+    """cut() in row form: lines (scan, zi, xi, t, z, v array) of tiles from lines (scan, t, z, v array)."""
+    keys = ["scan", "zi", "xi"]
+    bands = tiles.select(*keys, "r_lo", "r_hi", "c_lo", "c_hi", "c_lo_mirror", "c_hi_mirror", F.explode(F.sequence(F.floor(F.col("r_lo") / BAND), F.floor((F.col("r_hi") - 1) / BAND))).alias("_band"))
+    near = stack.withColumn("_band", F.floor(F.col("z") / BAND)).join(bands, ["scan", "_band"]).where((F.col("z") >= F.col("r_lo")) & (F.col("z") < F.col("r_hi")))
+    part = lambda low, high: F.slice("v", (F.col(low) + 1).cast("int"), (F.col(high) - F.col(low)).cast("int"))
+    direct = F.struct(F.col("t").cast("int").alias("t"), part("c_lo", "c_hi").alias("v"))
+    mirrored = F.struct((F.col("t") + half).cast("int").alias("t"), F.reverse(part("c_lo_mirror", "c_hi_mirror")).alias("v"))
+    both = near.select(*keys, (F.col("z") - F.col("r_lo")).cast("int").alias("z"), F.explode(F.array(direct, mirrored)).alias("_p"))
+    return both.select(*keys, "_p.t", "z", "_p.v")
+
+
+def stitched_planes(tile_lines: DataFrame, tiles: DataFrame, half: int, nz: int, n: int, fill: float = 1.0) -> DataFrame:
+    """stitched() in row form: planes (scan, t, lines, v) of lines (scan, zi, xi, t, z, v array). What no tile covers is air."""
+    catalog = tiles.select("scan", "zi", "xi", "r_lo", "r_hi", "c_lo", "c_lo_mirror", "overlap")
+    near = tile_lines.join(catalog, ["scan", "zi", "xi"])
+    second = F.col("t") >= half
+    weight = F.least(F.col("z") + 0.5, F.col("r_hi") - F.col("r_lo") - 0.5 - F.col("z"), F.col("overlap"))
+    line = F.struct(
+        ((F.col("r_lo") + F.col("z")) * n + F.when(second, F.col("c_lo_mirror")).otherwise(F.col("c_lo"))).cast("int").alias("at"),
+        weight.cast("double").alias("w"), F.col("overlap").cast("double").alias("cap"), F.when(second, F.reverse("v")).otherwise(F.col("v")).alias("v"),
+    )
+    listed = near.groupBy("scan", (F.col("t") % half).cast("int").alias("t")).agg(F.collect_list(line).alias("_l"))
+    every = tiles.select("scan").distinct().select("scan", F.explode(F.sequence(F.lit(0), F.lit(half - 1))).alias("t"))
+    found = every.join(listed, ["scan", "t"], "left").select("scan", "t", *[F.col(f"_l.{c}").alias(c) for c in ("at", "w", "cap", "v")])
+
+    def fn(some: pa.RecordBatch) -> np.ndarray:
+        at, w, cap, rows = (some.column(c).flatten() for c in ("at", "w", "cap", "v"))
+        sizes = lines.lengths(rows)
+        first = np.repeat(np.arange(some.num_rows) * (nz * n), lines.lengths(some.column("at"))) + at.to_numpy()
+        j = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        weights = np.repeat(w.to_numpy(), sizes) * np.minimum(np.minimum(j + 0.5, np.repeat(sizes, sizes) - 0.5 - j), np.repeat(cap.to_numpy(), sizes))
+        place, total = np.repeat(first, sizes) + j, some.num_rows * nz * n
+        v, all_weights = np.bincount(place, weights * rows.flatten().to_numpy(), total), np.bincount(place, weights, total)
+        return np.divide(v, all_weights, out=np.full(total, fill), where=all_weights != 0).reshape(some.num_rows, -1)
+
+    return lines.planes_of(found, ["scan", "t"], fn, nz, n)
+
+
 def tent(i: Column, j: Column, height: Column, width: Column, cap: Column) -> Column:
     """A pixel's weight in the blend: its distance to the nearest edge of its tile, at most cap, along each axis, multiplied."""
     along = lambda k, n: F.least(k + 0.5, n - 0.5 - k, cap)

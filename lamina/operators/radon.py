@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import planes
+from .lines import stacks
 
 #: The accuracy that the Gaussian's width is chosen for (fixed value).
 EPS = 1e-3
@@ -50,30 +50,32 @@ class Transform:
             self.lines.append((ly.astype(int) % (2 * n), np.exp(-np.pi**2 / mu * (ly / (2 * n) - y) ** 2) * (1 - 2 * (ly.astype(int) % 2)) * np.pi / mu))
 
     def forward(self, image: np.ndarray) -> np.ndarray:
-        """(angles, n) projections of an image (n, n): line integrals over sqrt(n * angles)."""
-        n = self.n
-        wide = np.zeros((2 * n, 2 * n))
-        wide[n // 2 : n // 2 + n, n // 2 : n // 2 + n] = image * self.phi
-        spectrum = np.fft.fft2(wide)
-        lines = np.zeros(len(self.theta) * n, complex)
+        """(angles, n) projections of an image (n, n), or of each in a stack: line integrals over sqrt(n * angles)."""
+        n, some = self.n, image.shape[:-2]
+        wide = np.zeros((*some, 2 * n, 2 * n))
+        wide[..., n // 2 : n // 2 + n, n // 2 : n // 2 + n] = image * self.phi
+        spectrum = np.fft.fft2(wide).reshape(*some, -1)
+        lines = np.zeros((*some, len(self.theta) * n), complex)
         for row, wy in self.lines:
             for column, wx in self.columns:
-                lines += wx * wy * spectrum[row, column]
-        lines = lines.reshape(-1, n) / n
-        return np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(lines, axes=1), axis=1), axes=1).real / 4
+                lines += wx * wy * spectrum[..., row * 2 * n + column]
+        lines = lines.reshape(*some, -1, n) / n
+        return np.fft.fftshift(np.fft.ifft(np.fft.ifftshift(lines, axes=-1), axis=-1), axes=-1).real / 4
 
     def adjoint(self, sino: np.ndarray) -> np.ndarray:
-        """(n, n) from (angles, n): the transpose of forward()."""
-        n = self.n
-        lines = np.fft.fftshift(np.fft.fft(np.fft.ifftshift(sino, axes=1), axis=1), axes=1).ravel() / (4 * n * n)
-        spectrum = np.zeros(4 * n * n, complex)
+        """(n, n) from (angles, n), or each in a stack: the transpose of forward()."""
+        n, some = self.n, sino.shape[:-2]
+        lines = np.fft.fftshift(np.fft.fft(np.fft.ifftshift(sino, axes=-1), axis=-1), axes=-1).reshape(-1, len(self.theta) * n) / (4 * n * n)
+        spectrum = np.zeros(len(lines) * 4 * n * n, complex)
+        first = np.arange(len(lines))[:, None] * (4 * n * n)
         for row, wy in self.lines:
             for column, wx in self.columns:
-                at = row * 2 * n + column
-                values = wx * wy * lines
-                spectrum += np.bincount(at, values.real, 4 * n * n) + 1j * np.bincount(at, values.imag, 4 * n * n)
-        wide = np.fft.ifft2(spectrum.reshape(2 * n, 2 * n)) * (4 * n * n)
-        return (wide[n // 2 : n // 2 + n, n // 2 : n // 2 + n] * self.phi).real
+                at = (first + (row * 2 * n + column)).ravel()
+                values = (wx * wy * lines).ravel()
+                spectrum.real += np.bincount(at, values.real, len(spectrum))
+                spectrum.imag += np.bincount(at, values.imag, len(spectrum))
+        wide = np.fft.ifft2(spectrum.reshape(*some, 2 * n, 2 * n)) * (4 * n * n)
+        return (wide[..., n // 2 : n // 2 + n, n // 2 : n // 2 + n] * self.phi).real
 
 
 @lru_cache(maxsize=2)
@@ -82,26 +84,24 @@ def transform(n: int, angles: int) -> Transform:
     return Transform(n, np.arange(angles) * math.pi / angles)
 
 
-def projected(volume: DataFrame, angles: int) -> DataFrame:
-    """(t, z, x, v): projections of each slice (z, y, x, v) at evenly spaced angles over half a turn. A slice is one task's work."""
+def forward(angles: int):
+    """A function of slices (slices, n, n): their projections (slices, angles, n)."""
+    return lambda v: transform(v.shape[-1], angles).forward(v)
 
-    def fn(at: dict, plane: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        out = transform(plane["v"].shape[0], angles).forward(plane["v"])
-        t, x = np.indices(out.shape)
-        return {"t": t.ravel(), "x": x.ravel(), "v": out.ravel()}
 
-    return planes(volume, ["z"], ("y", "x"), fn, "t int, z int, x int, v double")
+def adjoint(v: np.ndarray) -> np.ndarray:
+    return transform(v.shape[-1], v.shape[-2]).adjoint(v)
 
 
-def back_projected(stack: DataFrame) -> DataFrame:
-    """(z, y, x, v): the adjoint of projected(), slice by slice."""
+def projected(volume: DataFrame, angles: int) -> DataFrame:
+    """(t, z, x, v): projections of each slice (z, y, x, v) at evenly spaced angles over half a turn. A slice is one task's work."""
+    made = stacks(volume, ["z"], ("y", "x"), forward(angles), ("t", "x"))
+    return made.select("t", F.col("z").cast("int").alias("z"), "x", "v")
 
-    def fn(at: dict, plane: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        out = transform(plane["v"].shape[1], plane["v"].shape[0]).adjoint(plane["v"])
-        y, x = np.indices(out.shape)
-        return {"y": y.ravel(), "x": x.ravel(), "v": out.ravel()}
 
-    return planes(stack, ["z"], ("t", "x"), fn, "z int, y int, x int, v double")
+def back_projected(stack: DataFrame) -> DataFrame:
+    """(z, y, x, v): the adjoint of projected(), slice by slice."""
+    return stacks(stack, ["z"], ("t", "x"), adjoint, ("y", "x")).withColumn("z", F.col("z").cast("int"))
 
 
 def multiplier(n: int, angles: int) -> Column:

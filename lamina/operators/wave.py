@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lines import along, planes
+from .lines import along, stacks
 
 
 def wavelength(energy_kev: float) -> float:
@@ -50,13 +50,33 @@ def propagated(waves: DataFrame, distance: float, voxel: float = 1.38e-6, energy
 
 def retrieved(values: DataFrame, distance: float, alpha: float = 5e-4, voxel: float = 1.38e-6, energy_kev: float = 30.0) -> DataFrame:
     """Single-distance phase retrieval of intensities (t, z, x, v): a low-pass filter, then minus the logarithm."""
+    return stacks(values, ["t"], ("z", "x"), retrieval(distance, alpha, voxel, energy_kev), ("z", "x")).withColumn("t", F.col("t").cast("int"))
 
-    def fn(at: dict, plane: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        v = plane["v"]
-        fz, fx = np.meshgrid(np.fft.fftfreq(v.shape[0], voxel), np.fft.rfftfreq(v.shape[1], voxel), indexing="ij")
+
+def retrieval(distance: float, alpha: float = 5e-4, voxel: float = 1.38e-6, energy_kev: float = 30.0):
+    """The function of retrieved(), of intensities (projections, z, x)."""
+
+    def fn(v: np.ndarray) -> np.ndarray:
+        fz, fx = np.meshgrid(np.fft.fftfreq(v.shape[-2], voxel), np.fft.rfftfreq(v.shape[-1], voxel), indexing="ij")
         low_pass = alpha / (wavelength(energy_kev) * distance * (fx**2 + fz**2) / (4 * np.pi) + alpha)
-        out = -np.log(np.maximum(np.fft.irfft2(np.fft.rfft2(v) * low_pass, s=v.shape), 1e-6))
-        z, x = np.indices(v.shape)
-        return {"z": z.ravel(), "x": x.ravel(), "v": out.ravel()}
+        return -np.log(np.maximum(np.fft.irfft2(np.fft.rfft2(v) * low_pass, s=v.shape[-2:]), 1e-6))
+
+    return fn
+
 
-    return planes(values, ["t"], ("z", "x"), fn, "t int, z int, x int, v double")
+def measurement(norm: float, beta_ratio: float, phase_scale: float, distance: float, voxel: float, energy_kev: float):
+    """The function from projections (projections, z, x) to the intensities after the distance, as transmitted(), propagated()
+    and intensity() give them."""
+    along_lines = _propagated_lines(voxel, energy_kev, distance)
+
+    def along_last(wave: np.ndarray) -> np.ndarray:
+        re, im = along_lines(wave.real.reshape(-1, wave.shape[-1]), wave.imag.reshape(-1, wave.shape[-1]))
+        return (re + 1j * im).reshape(wave.shape)
+
+    def fn(v: np.ndarray) -> np.ndarray:
+        phase = v * (phase_scale / norm)
+        wave = along_last(np.exp(-phase / beta_ratio) * np.exp(1j * phase))
+        wave = along_last(np.ascontiguousarray(wave.swapaxes(-1, -2))).swapaxes(-1, -2)
+        return wave.real**2 + wave.imag**2
+
+    return fn

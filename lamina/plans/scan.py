@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators import blocks, fbp, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
+from lamina.operators import blocks, fbp, lines, model, mosaic, radon, resample, reshape, stats, stencil, stripe, wave
 from lamina.operators.geometry import footprints, placements
 
 
@@ -180,9 +180,40 @@ def steps(volumes: DataFrame, scans: DataFrame, scan: Scan) -> dict[str, DataFra
     return out
 
 
-def whole(volumes: DataFrame, scans: DataFrame, scan: Scan) -> DataFrame:
-    """Volumes (scan, z, y, x, v) again, after all steps()."""
-    return steps(volumes, scans, scan)["volumes"]
+def whole(volumes: DataFrame, scans: DataFrame, scan: Scan, keys: DataFrame | None = None) -> DataFrame:
+    """Volumes (scan, z, y, x, v) again, after all steps(). With keys (scan), volumes have elements other than 0 only, or some
+    of them, and these scans are done. Where planes fit the budget and no medians are asked for, whole lines go through the
+    shuffles, not elements, and planes are worked on many at once: the same results but for rounding errors."""
+    fits = blocks.fits_plane(2 * scan.n, 2 * scan.n, scan.budget) and blocks.fits_plane(2 * scan.nz, 2 * scan.n, scan.budget) and blocks.fits_plane(2 * scan.angles, scan.n, scan.budget)
+    plain = scan.factor == 1 and scan.radius is None and not scan.fade
+    if keys is not None and not (fits and plain and not scan.dezinger):
+        full = keys.crossJoin(model.grid(keys.sparkSession, z=scan.nz // scan.factor, y=scan.n // scan.factor, x=scan.n // scan.factor))
+        volumes, keys = full.join(volumes, ["scan", "z", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)).cast("double")), None
+    if not fits or scan.dezinger:
+        return steps(volumes, scans, scan)["volumes"]
+    if keys is None:
+        slices = lines.gathered(prepared(volumes, scan), ["scan", "z"], ("y", "x"))
+    else:
+        every = keys.select("scan", F.explode(F.sequence(F.lit(0), F.lit(scan.nz - 1))).alias("z"))
+        slices = lines.scattered(volumes, ["scan", "z"], ("y", "x"), (scan.n, scan.n), every)
+    return _by_lines(slices, scans, scan)
+
+
+def _by_lines(slices: DataFrame, scans: DataFrame, scan: Scan) -> DataFrame:
+    """The steps in row form, from planes (scan, z, lines, v): each gathers the lines that it needs for its planes."""
+    seen = lines.of_planes(slices, ["scan", "z"], radon.forward(scan.angles), "t")
+    through = wave.measurement(scan.norm, scan.beta_ratio, scan.phase_scale, scan.distance, scan.voxel, scan.energy_kev)
+    intensities = lines.of_planes(lines.stacked(seen, ["scan", "t"], "z"), ["scan", "t"], through, "z")
+    catalog = footprints(placements(scans))
+    out = mosaic.cut_lines(intensities, catalog, scan.angles)
+    if scan.level:
+        stripe.scaling(scan.wavelet)
+        own = [*TILE, "z"]
+        out = lines.of_planes(lines.stacked(out, own, "t"), own, stripe.removal(scan.sigma, scan.wavelet, scan.level), "t")
+    stitched = mosaic.stitched_planes(out, catalog, scan.angles, scan.nz, scan.n)
+    phases = lines.of_planes(stitched, ["scan", "t"], wave.retrieval(scan.distance, scan.alpha, scan.voxel, scan.energy_kev), "z")
+    volumes = lines.of_planes(lines.stacked(phases, ["scan", "z"], "t"), ["scan", "z"], fbp.reconstruction(scan.filter), "y")
+    return volumes.select("scan", "z", "y", F.posexplode("v").alias("x", "v"))
 
 
 def statistics(found: dict[str, DataFrame]) -> DataFrame:

@@ -504,9 +504,9 @@ def whole_scan(spark, d):
     scan = scans.Scan(n=16, nz=8, angles=12)
     keys = table(spark, d, "supplier").select(F.floor(F.col("s_suppkey") / 8).cast("int").alias("scan")).distinct()
     sums = table(spark, d, "lineitem").groupBy(F.floor(F.col("l_suppkey") / 8).cast("int").alias("scan"), (F.col("l_suppkey") % 8).cast("int").alias("z"), (F.col("l_partkey") % 16).cast("int").alias("y"), (F.col("l_orderkey") % 16).cast("int").alias("x")).agg(F.sum("l_quantity").alias("v"))
-    volumes = keys.crossJoin(model.grid(spark, **VOLUME)).join(sums, ["scan", *VOLUME], "left").withColumn("v", F.coalesce("v", F.lit(0.0)).cast("double") / 1e4)
+    volumes = sums.withColumn("v", F.col("v").cast("double") / 1e4)
     geometries = keys.select("scan", F.lit(5).alias("det_h"), F.lit(6).alias("det_w"), F.lit(2).alias("overlap"), F.lit(2).alias("inset"), F.lit(2).alias("z_overlap"), F.lit(8.0).alias("sample_r"), F.lit(8.0).alias("sample_h"), F.lit(16).alias("n"), F.lit(8).alias("nz"), F.lit(0).alias("z_pad"))
-    return rounded(scans.whole(volumes, geometries, scan), digits=3)
+    return rounded(scans.whole(volumes, geometries, scan, keys), digits=3)
 
 
 _VOLUME = """vol AS (SELECT g.z, g.y, g.x, coalesce(s.v, 0.0)::DOUBLE AS v FROM (SELECT a.range::INT AS z, b.range::INT AS y, c.range::INT AS x FROM range(8) a, range(16) b, range(16) c) g

@@ -435,3 +435,39 @@ def test_statistics_of_all_steps(spark):
     assert {s for s, _ in found} == {"sample", "projections", "intensities", "tiles", "corrected", "stitched", "phases", "volumes"}
     assert found["stitched", 1].n == 4 * 8 * 16 and found["volumes", 0].n == 8 * 16 * 16 and not any(r.has_nan for r in found.values())
     assert found["intensities", 0].least == pytest.approx(1.0) and found["intensities", 1].least < 1
+
+
+def test_whole_scans_shuffle_lines(spark):
+    """Planes are worked on many at once and whole lines are shuffled; elements that are 0 need no row; the steps' results."""
+    draw = np.random.default_rng(11)
+    v = 0.02 * draw.random((3, 8, 16, 16)) * (draw.random((3, 8, 16, 16)) < 0.5)
+    v[2] = 0
+    v[0, 3] = 0
+    scan = Scan(n=16, nz=8, angles=12)
+    scans = spark.createDataFrame([(k, 5, 6, 2, 2, 2, 8.0, 8.0, 16, 8, 0) for k in range(3)], "scan int, det_h int, det_w int, overlap int, inset int, z_overlap int, sample_r double, sample_h double, n int, nz int, z_pad int")
+    volumes = table(spark, v, "scan", "z", "y", "x")
+    expected = array(steps(volumes, scans, scan)["volumes"], "scan", "z", "y", "x")
+    sparse = whole(volumes.where("v <> 0"), scans, scan, scans.select("scan"))
+    for found in (whole(volumes, scans, scan), sparse):
+        assert np.allclose(array(found, "scan", "z", "y", "x"), expected, rtol=0, atol=1e-12)
+    plan = sparse._sc._jvm.PythonSQLUtils.explainString(sparse._jdf.queryExecution(), "simple")
+    assert "FlatMapGroupsInPandas" not in plan
+    by_strips = Scan(n=16, nz=8, angles=12, budget=40_000)
+    assert np.allclose(array(whole(volumes.where("v <> 0"), scans, by_strips, scans.select("scan")), "scan", "z", "y", "x"), expected, rtol=0, atol=1e-9)
+    with pytest.raises(Exception, match="lacks elements"):
+        whole(volumes.where("scan <> 1 or z <> 3 or y <> 5 or x <> 7"), scans, scan).count()
+
+
+def test_stacks_give_what_planes_give():
+    draw = np.random.default_rng(12)
+    image, sino = draw.standard_normal((5, 16, 16)), draw.standard_normal((5, 12, 16))
+    t = radon.transform(16, 12)
+    assert np.allclose(t.forward(image), [t.forward(x) for x in image], atol=1e-13)
+    assert np.allclose(t.adjoint(sino), [t.adjoint(x) for x in sino], atol=1e-13)
+    for shape in ((4, 24, 6), (3, 13, 9), (2, 40, 30)):
+        v = draw.standard_normal(shape)
+        assert np.allclose(stripe.removal(1.5, "sym16", 3)(v), [stripe.without_stripes(x, 1.5, "sym16", 3) for x in v], atol=1e-12)
+    v = draw.standard_normal((2, 24, 6))
+    v[1, 3, 2] = np.nan
+    found = stripe.removal()(v)
+    assert np.isfinite(found[0]).all() and np.isnan(found[1]).any()

@@ -23,15 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, by_key, saved, table
 
-#: Nodes of a cell as aimed at, and of a shard on average at most (as dealt by a hash); centroids at most. A larger cell is
-#: several shards, all of which are searched: one search of SEARCH_BREADTH finds too few in a larger graph without clusters.
-CELL_NODES, SHARD_NODES, MOST_CELLS = 4096, 4096, 1024
+#: Nodes of a cell as aimed at; and of a shard on average at most (as dealt by a hash), which is what a task builds and holds;
+#: centroids at most. A larger cell is several shards, all of which are searched.
+CELL_NODES, SHARD_NODES, MOST_CELLS = 16_384, 65_536, 1024
+#: Where a query would be searched in more cells than this, as vectors have few clusters, cells grow up to SHARD_NODES: then
+#: the shards searched don't become more with the vectors, and a search costs little more in a larger graph.
+MOST_SEARCHED = 8
 #: Vectors that centroids are fitted to at most, those of them whose neighbours among the sample are looked for in cells, how
 #: many neighbours, and the share of these that the cells searched must hold.
 SAMPLE, ASKED, LOOKED_FOR, HELD = 20_000, 400, 20, 0.99
 #: Links of a node on each upper level (twice as many on the lowest), nearest nodes that they are chosen among, and breadth of
 #: the search on the lowest level and above.
-LINKS, NEAREST, SEARCH_BREADTH, ENTRIES = 16, 128, 96, 8
+LINKS, NEAREST, SEARCH_BREADTH, ENTRIES = 16, 128, 192, 8
 #: Query vectors that are searched together in one group, and vectors or results that are broadcast at most.
 BLOCK, BROADCAST_VECTORS = 4096, 10_000
 
@@ -159,8 +162,17 @@ def cells_of(sample: np.ndarray, square: float, count: int) -> tuple[np.ndarray,
 
     The latter is the least number of cells, nearest to the query first, that hold HELD of the nearest vectors of the sample.
     """
+    nodes = CELL_NODES
+    while True:
+        centroids, searched = _cells(sample, square, -(-count // nodes))
+        if searched <= MOST_SEARCHED or nodes >= SHARD_NODES:
+            return centroids, searched
+        nodes *= 2
+
+
+def _cells(sample: np.ndarray, square: float, aimed: int) -> tuple[np.ndarray, int]:
     points = _augmented(sample, square)
-    k = max(1, min(MOST_CELLS, len(points) // 4, -(-count // CELL_NODES)))
+    k = max(1, min(MOST_CELLS, len(points) // 4, aimed))
     draw = np.random.default_rng(k)
     centroids = points[draw.choice(len(points), k, replace=False)]
     for _ in range(8 if k > 1 else 0):

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, by_key, saved, table
+from .common import BoundedCache, by_key, given_back, saved, table
 
 N, PERCENT = 5, 75
 #: An n-gram that so many sets within one block of a task have is put last; a block holds about so many n-grams.
@@ -50,6 +50,8 @@ SETTLED = 0.5
 BROADCAST_IDS = 2_000_000
 #: Bytes of sets that leave a task at once.
 BATCH_BYTES = 8 << 20
+#: N-grams of a block that are looked up at once.
+LOOKED_UP = 1 << 18
 KEPT = 250_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -91,6 +93,25 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def often_seen(grams: list[np.ndarray], owners: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets, whose ids and sizes owners has: for each n-gram that FREQUENT or more have the smallest id among them, the n-gram,
+    and how many have it. All n-grams are held twice, and what is found of them LOOKED_UP at once."""
+    every = np.concatenate(grams)
+    found = np.sort(every)
+    often = np.unique(found[FREQUENT - 1 :][found[FREQUENT - 1 :] == found[: len(found) - FREQUENT + 1]])  # sets have an n-gram once
+    del found
+    least, seen = np.full(len(often), np.iinfo(np.int64).max), np.zeros(len(often), np.int64)
+    ends, ids = np.cumsum([k for _, k in owners]), np.array([i for i, _ in owners], np.int64)
+    for start in range(0, len(every) if len(often) else 0, LOOKED_UP):
+        some = every[start : start + LOOKED_UP]
+        at = np.minimum(np.searchsorted(often, some), len(often) - 1)
+        has = np.flatnonzero(often[at] == some)
+        at = at[has]
+        np.minimum.at(least, at, ids[np.searchsorted(ends, start + has, "right")])
+        np.add.at(seen, at, 1)
+    return least, often, seen
+
+
 SETS = "doc_id long, n long, high long, low long, grams binary, gram long, seen long"
 
 
@@ -109,21 +130,12 @@ def described(docs: DataFrame) -> DataFrame:
         def frequent() -> Iterator[pa.RecordBatch]:
             nonlocal grams, owners, known, held
             if grams:
-                all_grams = np.concatenate(grams)
+                least, often, seen = often_seen(grams, owners)
                 grams = []
-                found = np.sort(all_grams)
-                often = np.unique(found[FREQUENT - 1 :][found[FREQUENT - 1 :] == found[: len(found) - FREQUENT + 1]])  # sets have an n-gram once
-                del found
-                at = np.minimum(np.searchsorted(often, all_grams), max(0, len(often) - 1)).astype(np.int32) if len(often) else np.zeros(0, np.int32)
-                has = np.flatnonzero(often[at] == all_grams) if len(often) else at
-                ends = np.cumsum([k for _, k in owners])
-                ids = np.array([i for i, _ in owners], np.int64)[np.searchsorted(ends, has, "right")]
-                at = at[has]
-                least = np.full(len(often), np.iinfo(np.int64).max)
-                np.minimum.at(least, at, ids)
                 none = pa.nulls(len(often), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(least), none, none, none, pa.nulls(len(often), pa.binary()), pa.array(often.view(np.int64)), pa.array(np.bincount(at, minlength=len(often)).astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(least), none, none, none, pa.nulls(len(often), pa.binary()), pa.array(often.view(np.int64)), pa.array(seen)], names=names)
             grams, owners, known, held = [], [], set(), 0
+            given_back()
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             none = pa.nulls(len(rows), pa.int64())
@@ -217,6 +229,7 @@ def members(sets: DataFrame, shared: Broadcast) -> DataFrame:
             left = [x[cut:] for x in now]
         if left is not None:
             yield met(left)
+        given_back()
 
     def met(rows: list[np.ndarray]) -> pa.RecordBatch:
         out: list[tuple] = []
@@ -358,6 +371,7 @@ def _partial(group: pa.Table) -> pa.Table:
         out.append((key[x], ids[x], tags[x], n[x], ids[y], tags[y], n[y], counts[a, b]))
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
     columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 8
+    given_back()
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "a", "a_tag", "a_n", "b", "b_tag", "b_n", "common"])
 
 

@@ -11,6 +11,7 @@ of the vocabulary, which bounds the lookahead.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from functools import lru_cache
@@ -26,7 +27,7 @@ from .common import BoundedCache, map_batches, table
 #: States and pair checks kept at once; beyond them the tables start anew.
 STATE_LIMIT, PAIR_LIMIT = 200_000, 200_000
 #: Ids of so many different words are kept in each worker.
-WORD_LIMIT = 300_000
+WORD_LIMIT = 600_000
 
 
 class Transducer:
@@ -147,7 +148,16 @@ class Utf8:
         return size, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
+        """The characters that data ends. Where none has begun, those that are whole are taken together: only the bytes of a last
+        one that goes on, and data that no text has, go through the machine byte by byte."""
         out, pending = [], self.pending
+        if not pending:
+            try:
+                return data.decode()
+            except UnicodeDecodeError as e:
+                if e.end == len(data):
+                    out.append(data[: e.start].decode())
+                    data = data[e.start :]
         for byte in data:
             if pending:
                 size, low, high = self._room(pending)
@@ -226,16 +236,13 @@ class ByteBpe:
         self.piece = BoundedCache(lambda piece: self.fst.encode(piece.encode()), WORD_LIMIT)
         size = max(ranks.values()) + 1
         self.tokens = [self.fst.tokens.get(i, b"") for i in range(size)]
-        self.texts: list[str | None] = []
-        for token in self.tokens:
-            try:
-                self.texts.append(token.decode())
-            except UnicodeDecodeError:
-                self.texts.append(None)
 
     def _ids(self, text: str) -> bytes:
         pattern = self.same if self.unlike and not text.isascii() and self.unlike.search(text) else self.pattern
-        ids = list(chain.from_iterable(self.piece[p] if len(p) < 64 else self.fst.encode(p.encode()) for p in pattern.findall(text)))
+        found = pattern.findall(text)
+        if len(found) == 1 and len(text) < 64:  # a word, whose ids are kept as such
+            return np.array(self.fst.encode(found[0].encode()), "<u4").tobytes()
+        ids = list(chain.from_iterable(self.piece[p] if len(p) < 64 else self.fst.encode(p.encode()) for p in found))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, spaced: str) -> bytes | None:
@@ -260,18 +267,7 @@ class ByteBpe:
         out, machine = [], Utf8()
         all_ids = np.frombuffer(ids, "<u4")
         for at in range(0, len(all_ids), chunk):
-            part = all_ids[at : at + chunk].tolist()
-            if not machine.pending:
-                try:
-                    out.append("".join(map(self.texts.__getitem__, part)))
-                    continue
-                except TypeError:  # a token that is part of a character
-                    pass
-            for i in part:
-                if machine.pending or (text := self.texts[i]) is None:
-                    out.append(machine.feed(self.tokens[i]))
-                else:
-                    out.append(text)
+            out.append(machine.feed(b"".join(map(self.tokens.__getitem__, all_ids[at : at + chunk].tolist()))))
         out.append(machine.end())
         return "".join(out)
 
@@ -284,7 +280,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 @lru_cache(maxsize=2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     """One coder for each worker process; the tokenizer's file is on every machine."""
-    return ByteBpe(read_ranks(path), pattern)
+    coder = ByteBpe(read_ranks(path), pattern)
+    # The vocabulary and the tables that grow with the words hold no garbage, and are large: they are searched for it less often.
+    gc.freeze()
+    gc.set_threshold(100_000)
+    return coder
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
